@@ -10,6 +10,7 @@ from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievemark.functions.arrays import argmax, unit
 from sievemark.operators.joins import new_keys
@@ -29,14 +30,15 @@ def embed_new(
 
     ``make_predict`` is run once per Python worker and returns a batch function.
     """
-    predict = predict_batch_udf(make_predict, return_type="array<float>", batch_size=batch_size)
+    predict = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
     todo = new_keys(rows.select(key, content), store, key)
     return todo.select(key, predict(content).alias("emb"))
 
 
 def score_rows(
-    rows: DataFrame, inputs: str, make_predict: Callable, return_type: str = "array<double>", batch_size: int = 32
+    rows: DataFrame, inputs: str, make_predict: Callable, return_type: T.DataType = T.ArrayType(T.DoubleType()), batch_size: int = 32
 ) -> Column:
+    """Output column of a user model run in batches; ``return_type`` may be a struct of several outputs."""
     return predict_batch_udf(make_predict, return_type=return_type, batch_size=batch_size)(F.col(inputs))
 
 

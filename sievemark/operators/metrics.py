@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.functions.arrays import argmax
-from sievemark.functions.hashing import hash_uniform
+from sievemark.functions.hashing import hash_order
 from sievemark.operators.ordered import quantiles, with_running_sums
 from sievemark.session import freeze
 
@@ -209,8 +209,8 @@ POISSON_STEPS = (
 )
 
 
-def poisson_weight(seed: str, key: Column | str) -> Column:
-    u = hash_uniform(seed, key)
+def poisson_weight(u: Column) -> Column:
+    """Poisson(1) count of a uniform number."""
     out = F.lit(len(POISSON_STEPS))
     for k in reversed(range(len(POISSON_STEPS))):
         out = F.when(u < POISSON_STEPS[k], F.lit(k)).otherwise(out)
@@ -220,11 +220,17 @@ def poisson_weight(seed: str, key: Column | str) -> Column:
 def poisson_cells(df: DataFrame, key: str, columns: Sequence[str], replicates: int, seed: str = "boot") -> DataFrame:
     """Confusion cells of every replicate in one pass over the rows: ``(*columns, rep, n)``.
 
-    Each row gets a Poisson(1) weight per replicate from its hash, summed as one column per
-    replicate, so the rows are neither multiplied nor shuffled.
+    Each row gets a Poisson(1) weight per replicate from its hash (four per digest), summed as one
+    column per replicate, so the rows are neither multiplied nor shuffled.
     """
-    sums = [F.sum(poisson_weight(f"{seed}{b}", key)).alias(f"w{b}") for b in range(replicates)]
-    wide = df.groupBy(*columns).agg(*sums)
+    digests = [hash_order(f"{seed}{d}", key).alias(f"d{d}") for d in range(-(-replicates // 4))]
+    rows = df.select(*columns, *digests)
+    uniform = [
+        (F.conv(F.substring(f"d{b // 4}", 1 + 8 * (b % 4), 8), 16, 10).cast("double") / 4294967296.0).alias(f"u{b}")
+        for b in range(replicates)
+    ]
+    sums = [F.sum(poisson_weight(F.col(f"u{b}"))).alias(f"w{b}") for b in range(replicates)]
+    wide = rows.select(*columns, *uniform).groupBy(*columns).agg(*sums)
     reps = F.array(*[F.struct(F.lit(b).alias("rep"), F.col(f"w{b}").alias("n")) for b in range(replicates)])
     return wide.select(*columns, F.inline(reps)).where("n > 0")
 

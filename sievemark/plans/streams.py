@@ -1 +1,56 @@
-"""Queries."""
+"""Streaming queries over the shared tables, drained to the end and compared with batch results."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sievemark.plans.gating import _FLAT, _sql_decide, decide_column, flat_decision, with_quality
+from sievemark.functions import arrays
+from sievemark.plans.datasets import SCALE, VECTORS, centroids, sql_scored
+from sievemark.plans.registry import Tables, query
+from sievemark.streaming import jobs
+
+
+@query(f"""WITH {VECTORS}, {sql_scored(train_only=True, known=False)},
+inputs AS (SELECT id, y, '' AS source, split, '' AS kind, probs, pred, conf, correct, 1.5 * (1 - conf) AS score FROM scored), {_sql_decide('inputs')} SELECT {_FLAT} FROM decided""")
+def gated_stream(t: Tables):
+    """The gates on a stream of vectors: the fitted centroids and the batch decision column."""
+    weights = SCALE * centroids(t, True)
+    rows = jobs.table_stream(t.spark, t.folder, "embeddings")
+    scored = rows.select(F.col("vec_id").alias("id"), arrays.linear_scores("embedding", weights).alias("logits"))
+    ready = with_quality(scored.withColumn("probs", arrays.softmax("logits"))).withColumn(
+        "score", 1.5 * (1 - F.array_max("probs"))
+    )
+    gated = jobs.gate_stream(ready, decide_column)
+    return flat_decision(jobs.run_append(gated.select("id", "decision"), "gated"))
+
+
+_WINDOWS = """w AS (SELECT epoch(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01'))::BIGINT AS start, event_type, value FROM events)"""
+
+
+@query(f"""WITH {_WINDOWS} SELECT start, event_type, count(*) AS n, count(*) FILTER (value > 80) AS failed,
+  quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM w GROUP BY 1, 2""")
+def log_monitor(t: Tables):
+    """Request-log monitor in update mode: the last state of every window equals the batch result."""
+    events = jobs.event_time(jobs.table_stream(t.spark, t.folder, "events"), "ts", "1 hour")
+    monitor = jobs.log_monitor(events, "ts", "6 hours", "event_type", F.col("value") > 80, "value")
+    done = jobs.run_update(monitor, "monitor", ["start", "event_type"])
+    return done.withColumn("start", F.unix_timestamp("start"))
+
+
+@query(f"""WITH {_WINDOWS}, edge AS (SELECT epoch(max(ts))::DOUBLE - 3600 AS mark FROM events)
+SELECT start, event_type, count(*) AS n, count(*) FILTER (value > 80) AS failed FROM w WHERE start + 21600 <= (SELECT mark FROM edge) GROUP BY 1, 2""")
+def closed_windows(t: Tables):
+    """The same monitor in append mode: only windows the watermark has passed are final."""
+    events = jobs.event_time(jobs.table_stream(t.spark, t.folder, "events"), "ts", "1 hour")
+    monitor = jobs.log_monitor(events, "ts", "6 hours", "event_type", F.col("value") > 80, "value")
+    done = jobs.run_append(monitor, "closed")
+    return done.select(F.unix_timestamp("start").alias("start"), "event_type", "n", "failed")
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2")
+def suppressed_copies(t: Tables):
+    """First arrival of each content within a watermark wider than the data."""
+    events = jobs.event_time(jobs.table_stream(t.spark, t.folder, "events"), "ts", "60 days")
+    first = jobs.suppress_copies(events.select("ts", "user_id", "event_type"), ["user_id", "event_type"])
+    return jobs.run_append(first, "first").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
