@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.operators.ordered import quantiles
+from sievemark.session import broadcast_if_small
 
 
 def value_counts(df: DataFrame, column: str | Column, name: str = "value") -> DataFrame:
@@ -95,7 +96,7 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int, low: float, high
 
 def boxplot(long_rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Quartiles and whiskers: the extreme values within 1.5 IQR of the box."""
-    box = quantiles(long_rows, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+    box = broadcast_if_small(quantiles(long_rows, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by))
     fence = (F.col("q3") - F.col("q1")) * 1.5
     inside = long_rows.join(box, list(by)).where(
         (F.col("value") >= F.col("q1") - fence) & (F.col("value") <= F.col("q3") + fence)
@@ -117,17 +118,14 @@ def latency(df: DataFrame, value: str, by: Sequence[str] = (), approximate: bool
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """n / (classes · count) per class, from the class counts only."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    whole = counts.agg(F.sum("n").alias("_all"), F.count("*").alias("_classes"))
-    return counts.join(F.broadcast(whole)).select(  # one row of totals
-        label, "n", (F.col("_all") / (F.col("_classes") * F.col("n"))).alias("weight")
-    )
+    rows_per_class = counts.agg(F.sum("n") / F.count("*")).scalar()
+    return counts.select(label, "n", (rows_per_class / F.col("n")).alias("weight"))
 
 
 def shares(df: DataFrame, column: str) -> DataFrame:
     """Counts and their share of all rows."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    whole = counts.agg(F.sum("n").alias("_all"))
-    return counts.join(F.broadcast(whole)).select(column, "n", (F.col("n") / F.col("_all")).alias("share"))
+    return counts.select(column, "n", (F.col("n") / counts.agg(F.sum("n")).scalar()).alias("share"))
 
 
 def labels_differ(df: DataFrame, key: str, label: str) -> DataFrame:

@@ -1,47 +1,49 @@
-"""Per-run histories: stage starts, best steps and areas. One run is a small window."""
+"""Per-run histories: stage starts, best steps and areas.
 
-from __future__ import annotations
+A run may be as long as the table (one busy user), so rows are put in global order once and every
+lag or running maximum works on range partitions with a carried value.
+"""
 
-from collections.abc import Sequence
+from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievemark.operators.ordered import previous, running_max, scan, unscan, with_position
+
 
 def stage_starts(rows: DataFrame, run: str, order: str, stage: str) -> DataFrame:
     """Continuous step number of each run and whether the stage differs from the step before."""
-    w = Window.partitionBy(run).orderBy(order)
-    before = F.lag(stage).over(w)
-    return rows.withColumn("step", F.row_number().over(w)).withColumn(
-        "starts", before.isNull() | (F.col(stage) != before)
-    )
+    numbered = with_position(rows.select(run, order, stage), [order], by=[run], name="step")
+    seen = previous(scan(numbered, [run], ["step"]), [run], ["step", stage])
+    changed = F.col("previous_step").isNull() | ~F.col(stage).eqNullSafe(F.col(f"previous_{stage}"))
+    return unscan(seen.withColumn("starts", changed)).drop("previous_step", f"previous_{stage}")
 
 
 def best_step(rows: DataFrame, run: str, order: str, value: Column) -> DataFrame:
     """First step with the highest value, as an aggregate (no window)."""
     scored = rows.where(value.isNotNull()).select(run, order, value.alias("_v"))
-    return scored.groupBy(run).agg(
-        F.max(F.struct(F.col("_v"), -F.col(order))).alias("_b"), F.count("*").alias("steps")
-    ).select(run, "steps", (-F.col("_b.col2")).alias("best_step"), F.col("_b._v").alias("best_value"))
+    best = scored.groupBy(run).agg(
+        F.max(F.struct("_v", (-F.col(order)).alias("_o"))).alias("_b"), F.count("*").alias("steps")
+    )
+    return best.select(run, "steps", (-F.col("_b._o")).alias("best_step"), F.col("_b._v").alias("best_value"))
 
 
 def running_best(rows: DataFrame, run: str, order: str, value: str) -> DataFrame:
     """Best value so far and steps since it last improved (patience)."""
-    w = Window.partitionBy(run).orderBy(order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = (
-        rows.withColumn("step", F.row_number().over(w))
-        .withColumn("_prev", F.max(value).over(before))
-        .withColumn("_improved", F.when(F.col("_prev").isNull() | (F.col(value) > F.col("_prev")), F.col("step")))
+    numbered = with_position(rows.select(run, order, value), [order], by=[run], name="step")
+    seen = running_max(scan(numbered, [run], ["step"]), [run], value, "_before")
+    improved = F.col("_before").isNull() | (F.col(value) > F.col("_before"))
+    seen = seen.withColumn("_hit", F.when(improved, F.col("step")))
+    seen = running_max(seen, [run], "_hit", "_last")
+    out = seen.withColumn("best", F.greatest("_before", value)).withColumn(
+        "patience", F.col("step") - F.greatest("_last", "_hit")
     )
-    return marked.withColumn("best", F.max(value).over(so_far)).withColumn(
-        "patience", F.col("step") - F.max("_improved").over(so_far)
-    ).drop("_prev", "_improved")
+    return unscan(out).drop("_before", "_hit", "_last")
 
 
 def area_under(rows: DataFrame, run: str, x: str, y: str) -> DataFrame:
     """Trapezoid area per run, divided by its last x."""
-    w = Window.partitionBy(run).orderBy(x)
-    piece = (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
-    return rows.withColumn("_piece", piece).groupBy(run).agg((F.sum("_piece") / F.max(x)).alias("area"))
+    seen = previous(scan(rows.select(run, x, y), [run], [x]), [run], [x, y])
+    piece = (F.col(x) - F.col(f"previous_{x}")) * (F.col(y) + F.col(f"previous_{y}")) / 2
+    return seen.withColumn("_piece", piece).groupBy(run).agg((F.sum("_piece") / F.max(x)).alias("area"))

@@ -18,7 +18,7 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
 
 def missing_keys(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """Distinct keys of ``rows`` without a lookup row; must be empty before an inner lookup."""
-    return rows.select(key).join(lookup.select(key), key, "left_anti").distinct()
+    return rows.select(key).distinct().join(lookup.select(key), key, "left_anti")
 
 
 def lookup_all(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
@@ -29,8 +29,8 @@ def lookup_all(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
 
 
 def new_keys(rows: DataFrame, store: DataFrame, key: str) -> DataFrame:
-    """One row per key that the store does not hold yet."""
-    return rows.join(store.select(key), key, "left_anti").dropDuplicates([key])
+    """One row per key that the store does not hold yet (copies are folded before the join)."""
+    return rows.dropDuplicates([key]).join(store.select(key), key, "left_anti")
 
 
 def aligned_vectors(rows: DataFrame, store: DataFrame, row_key: str, store_key: str, vector: str) -> DataFrame:
@@ -71,4 +71,4 @@ def optional_join(base: DataFrame, parts: Sequence[DataFrame], key: str) -> Data
 def referenced(records: DataFrame, users: Sequence[DataFrame], key: str) -> DataFrame:
     """Records named by any of the user tables."""
     named = reduce(lambda x, y: x.unionByName(y), [u.select(key) for u in users])
-    return records.join(named, key, "left_semi")
+    return records.join(named.distinct(), key, "left_semi")

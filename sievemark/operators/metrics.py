@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions.arrays import argmax
 from sievemark.functions.hashing import hash_order
-from sievemark.operators.ordered import quantiles, with_running_sums
-from sievemark.session import freeze
+from sievemark.operators.ordered import quantile_bin, quantiles, with_position, with_running_sums
 
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
@@ -210,11 +209,9 @@ POISSON_STEPS = (
 
 
 def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count of a uniform number."""
-    out = F.lit(len(POISSON_STEPS))
-    for k in reversed(range(len(POISSON_STEPS))):
-        out = F.when(u < POISSON_STEPS[k], F.lit(k)).otherwise(out)
-    return out.cast("long")
+    """Poisson(1) count of a uniform number: how many cumulative steps it has reached."""
+    steps = F.array(*[F.lit(p) for p in POISSON_STEPS])
+    return F.size(F.filter(steps, lambda s: s <= u)).cast("long")
 
 
 def poisson_cells(df: DataFrame, key: str, columns: Sequence[str], replicates: int, seed: str = "boot") -> DataFrame:
@@ -289,16 +286,12 @@ def right_closed_bin(value: Column, edges: Sequence[float], include_lowest: bool
 
 def error_rate_by_quartile(long_rows: DataFrame, measure: str, value: str, wrong: Column, key: str, bins: int = 4) -> DataFrame:
     """Error rate per rank quantile of each measure (rows with a NULL measure are skipped)."""
-    from sievemark.operators.ordered import quantile_bin, with_position
-
     rows = long_rows.where(F.col(value).isNotNull()).select(
         measure, value, key, wrong.cast("double").alias("_wrong")
     )
-    placed = with_position(rows, [value, key], by=[measure], name="_rank")
-    sizes = rows.groupBy(measure).agg(F.count("*").alias("_n"))
+    placed = with_position(rows, [value, key], by=[measure], name="_rank", total="_n")
     return (
-        placed.join(F.broadcast(sizes), measure)  # one row per measure name
-        .groupBy(measure, quantile_bin(F.col("_rank"), F.col("_n"), bins).alias("bin"))
+        placed.groupBy(measure, quantile_bin(F.col("_rank"), F.col("_n"), bins).alias("bin"))
         .agg(F.count("*").alias("n"), F.avg("_wrong").alias("error_rate"))
     )
 
@@ -306,12 +299,14 @@ def error_rate_by_quartile(long_rows: DataFrame, measure: str, value: str, wrong
 def median_confidence(df: DataFrame, conf: str, correct: str) -> DataFrame:
     """Rows, accuracy, and the median confidence of right and of wrong rows."""
     medians = quantiles(df, conf, {"median": 0.5}, [correct])
-    facts = df.agg(F.count("*").alias("n"), F.avg(F.col(correct).cast("double")).alias("accuracy"))
-    wide = medians.agg(
-        F.max(F.when(F.col(correct), F.col("median"))).alias("median_right"),
-        F.max(F.when(~F.col(correct), F.col("median"))).alias("median_wrong"),
+    facts = df.groupBy(correct).agg(F.count("*").alias("n")).join(medians, correct)  # at most two rows
+    right = F.col(correct)
+    return facts.agg(
+        F.sum("n").alias("n"),
+        (F.coalesce(F.sum(F.when(right, F.col("n"))), F.lit(0)) / F.sum("n")).alias("accuracy"),
+        F.max(F.when(right, F.col("median"))).alias("median_right"),
+        F.max(F.when(~right, F.col("median"))).alias("median_wrong"),
     )
-    return facts.join(F.broadcast(wide))  # one row with one row
 
 
 def predicted(df: DataFrame, probs: str = "probs", y: str = "y") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sievemark.functions.arrays import energy, quadratic_scores, softmax, to_matrix
 from sievemark.operators.metrics import auroc
 from sievemark.operators.ordered import quantiles
+from sievemark.session import broadcast_if_small, freeze
 
 # Order of preference among scorers whose mean area is within TIE of the best.
 PREFERENCE = ("knn", "mahalanobis", "energy", "msp")
@@ -39,8 +40,6 @@ def class_means(df: DataFrame, vector: str, label: str) -> DataFrame:
     summed = df.groupBy(label).agg(
         Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>"))).alias("m"), F.count("*").alias("n")
     )
-    from pyspark.ml.functions import vector_to_array
-
     return summed.select(label, vector_to_array("m").alias("mean"), "n")
 
 
@@ -103,13 +102,9 @@ def choose_scorer(areas: DataFrame) -> DataFrame:
     """The preferred scorer among those within TIE of the best mean area."""
     order = F.array_position(F.array(*[F.lit(p) for p in PREFERENCE]), F.col("scorer"))
     means = areas.groupBy("scorer").agg(F.avg("auroc").alias("mean_auroc"))  # one row per scorer
-    best = means.agg(F.max("mean_auroc").alias("_top"))
-    return (
-        means.join(F.broadcast(best), F.col("mean_auroc") >= F.col("_top") - TIE)
-        .orderBy(order)
-        .limit(1)
-        .select("scorer", "mean_auroc")
-    )
+    means = freeze(means)
+    top = means.agg(F.max("mean_auroc")).scalar()
+    return means.where(F.col("mean_auroc") >= top - TIE).orderBy(order).limit(1)
 
 
 def test_report(scores: DataFrame, accept: float = 0.95) -> DataFrame:
@@ -120,7 +115,7 @@ def test_report(scores: DataFrame, accept: float = 0.95) -> DataFrame:
     """
     val = scores.where("split = 'val' and kind = 'id'")
     tau = quantiles(val, "score", {"tau": accept}, ["scorer"])
-    test = scores.where("split = 'test'").join(F.broadcast(tau), "scorer")  # one row per scorer
+    test = scores.where("split = 'test'").join(broadcast_if_small(tau), "scorer")
     kept = F.avg((F.col("score") <= F.col("tau")).cast("double"))
     accepted = test.where("kind = 'id'").groupBy("scorer").agg(kept.alias("id_acceptance"))
     foreign = test.where("kind <> 'id'").withColumn(

@@ -7,11 +7,12 @@ totals (one row per partition and group) are summed to give the offsets of the n
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from sievemark.session import broadcast_if_small, freeze
 
@@ -31,11 +32,16 @@ def _attach(ranged: DataFrame, starts: DataFrame, by: Sequence[str], extra: Sequ
 
 
 def with_position(
-    df: DataFrame, order: Sequence[Column | str], by: Sequence[str] = (), name: str = "position"
+    df: DataFrame,
+    order: Sequence[Column | str],
+    by: Sequence[str] = (),
+    name: str = "position",
+    total: str | None = None,
 ) -> DataFrame:
-    """1-based row number in ``order`` (which must end in a unique key) within each ``by`` group.
+    """1-based row number in ``order`` (which must end in a unique key) within each ``by`` group,
+    and the group's row count under the name ``total``.
 
-    For groups that may be huge (classes, statuses). Many small groups need only a plain window.
+    For groups that may be huge (classes, statuses, one busy user).
     """
     ranged = _ranged(df, by, order)
     offset = F.col("_slot").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
@@ -43,9 +49,50 @@ def with_position(
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn(
         "_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")
+    ).withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
+    placed = _attach(ranged, starts, by, ["_base", "_total"])
+    placed = placed.withColumn(name, offset + F.col("_base") + 1)
+    if total:
+        placed = placed.withColumn(total, F.col("_total"))
+    return placed.drop("_slot", "_part", "_base", "_total")
+
+
+def scan(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """Rows in global order for :func:`previous` and :func:`running_max`; end with :func:`unscan`."""
+    return _ranged(df, by, order)
+
+
+def unscan(scanned: DataFrame) -> DataFrame:
+    return scanned.drop("_slot", "_part")
+
+
+def _carry(scanned: DataFrame, by: Sequence[str], tail: Column, over: Callable[[Column, WindowSpec], Column]) -> DataFrame:
+    """One value per (group, partition), combined over the group's earlier partitions."""
+    parts = scanned.groupBy(*by, "_part").agg(tail.alias("_tail"))
+    earlier = Window.partitionBy(*by).orderBy("_part")
+    return parts.withColumn("_carry", over(F.col("_tail"), earlier))
+
+
+def previous(scanned: DataFrame, by: Sequence[str], columns: Sequence[str], prefix: str = "previous_") -> DataFrame:
+    """The columns of the row before, within ``by``: a lag that never gathers a group in one task."""
+    local = Window.partitionBy(*by, "_part").orderBy("_slot")
+    starts = _carry(scanned, by, F.max_by(F.struct(*columns), "_slot"), lambda v, w: F.lag(v).over(w))
+    out = _attach(scanned.withColumn("_local", F.lag(F.struct(*columns)).over(local)), starts, by, ["_carry"])
+    before = F.coalesce("_local", "_carry")
+    return out.withColumns({f"{prefix}{c}": before[c] for c in columns}).drop("_local", "_carry")
+
+
+def running_max(scanned: DataFrame, by: Sequence[str], column: str, name: str) -> DataFrame:
+    """Largest value over the earlier rows of the group (NULL on the first)."""
+    local = Window.partitionBy(*by, "_part").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = _carry(
+        scanned,
+        by,
+        F.max(column),
+        lambda v, w: F.max(v).over(w.rowsBetween(Window.unboundedPreceding, -1)),
     )
-    placed = _attach(ranged, starts, by, ["_base"])
-    return placed.withColumn(name, offset + F.col("_base") + 1).drop("_slot", "_part", "_base")
+    out = _attach(scanned.withColumn("_local", F.max(column).over(local)), starts, by, ["_carry"])
+    return out.withColumn(name, F.greatest("_local", "_carry")).drop("_local", "_carry")
 
 
 def with_running_sums(

@@ -113,11 +113,8 @@ def deletion_summary(df: DataFrame, guided: str, random: str, fractions: Sequenc
 
 def severity_terciles(df: DataFrame, key: str, label: str, value: str, healthy: str, bins: int = 3) -> DataFrame:
     """Outcome rates per class and rank tercile; needs status, pred and confidence (may be NULL)."""
-    placed = with_position(df, [value, key], by=[label], name="_rank")
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    binned = placed.join(F.broadcast(sizes), label).withColumn(  # one row per class
-        "tercile", quantile_bin(F.col("_rank"), F.col("_n"), bins)
-    )
+    placed = with_position(df, [value, key], by=[label], name="_rank", total="_n")
+    binned = placed.withColumn("tercile", quantile_bin(F.col("_rank"), F.col("_n"), bins))
     differs = F.coalesce(F.col("pred") != F.col(label), F.lit(False))
     # status = 'accepted' with no pred counts as wrong in the reference comparison
     answered = (F.col("status") == "accepted") & F.coalesce(F.col("pred") != F.col(label), F.lit(True))

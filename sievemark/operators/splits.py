@@ -130,7 +130,7 @@ def sample_per_group(rows: DataFrame, key: str, by: str, n: int, seed: int | str
     return rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def fingerprint(rows: DataFrame, fields: Sequence[str], classes: Sequence[str], depth: int = 4) -> DataFrame:
+def fingerprint(rows: DataFrame, fields: Sequence[str], classes: Sequence[str], depth: int = 6) -> DataFrame:
     """Order-independent content hash of the lines ``a:b:c`` and the class list (16 hex digits).
 
     A hash tree: equal lines are first folded into one line with a count, lines are then grouped by

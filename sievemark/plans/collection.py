@@ -328,9 +328,9 @@ def exclusion_list(t: Tables):
 SELECT doc_id, coalesce(quality <> 1, false) AS wrong, (SELECT whole FROM s) AS all_labelled FROM documents LEFT JOIN labels USING (doc_id)""")
 def null_aware_rules(t: Tables):
     d = t("documents").select("doc_id").join(t("labels"), "doc_id", "left")
-    whole = d.agg(F.bool_and(F.col("quality").isNotNull()).alias("all_labelled"))
+    whole = d.agg(F.bool_and(F.col("quality").isNotNull()))
     wrong = F.coalesce(F.col("quality") != 1, F.lit(False))
-    return d.select("doc_id", wrong.alias("wrong")).join(F.broadcast(whole))  # one row
+    return d.select("doc_id", wrong.alias("wrong"), whole.scalar().alias("all_labelled"))
 
 
 @query(f"""WITH {MANIFEST}, l AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1)
@@ -496,7 +496,8 @@ def class_weights(t: Tables):
 
 def _sql_tree(lines: str, head: str) -> str:
     return f"""WITH {lines}, leaf AS (SELECT sha256(line || '#' || n) AS h FROM (SELECT line, count(*) AS n FROM lines GROUP BY 1)),
-l4 AS (SELECT substr(h, 1, 4) AS p, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM leaf GROUP BY 1),
+l6 AS (SELECT substr(h, 1, 6) AS p, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM leaf GROUP BY 1),
+l4 AS (SELECT substr(p, 1, 4) AS p, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM l6 GROUP BY 1),
 l2 AS (SELECT substr(p, 1, 2) AS p, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM l4 GROUP BY 1)
 SELECT substr(sha256('{head}' || chr(10) || coalesce((SELECT string_agg(h, chr(10) ORDER BY h) FROM l2), '')), 1, 16) AS fingerprint"""
 
@@ -516,16 +517,14 @@ SELECT l_returnflag, greatest(1, ((r - 1) * 4 + n - 2) // (n - 1))::INT AS bin,
 def rank_bins(t: Tables):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     li = t("lineitem").select("l_returnflag", "l_extendedprice", *keys)
-    placed = with_position(li, ["l_extendedprice", *keys], by=["l_returnflag"])
-    sizes = li.groupBy("l_returnflag").agg(F.count("*").alias("total"))
-    binned = placed.join(F.broadcast(sizes), "l_returnflag")  # one row per flag
-    return binned.groupBy("l_returnflag", quantile_bin(F.col("position"), F.col("total"), 4).alias("bin")).agg(
+    placed = with_position(li, ["l_extendedprice", *keys], by=["l_returnflag"], total="total")
+    return placed.groupBy("l_returnflag", quantile_bin(F.col("position"), F.col("total"), 4).alias("bin")).agg(
         F.count("*").alias("n"), F.sum("position").alias("ranks")
     )
 
 
 @query("""WITH w AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS step, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)
-SELECT conv_id, turn, step::INT AS step, b IS NULL OR role <> b AS starts FROM w""")
+SELECT conv_id, turn, step, b IS NULL OR role <> b AS starts FROM w""")
 def stage_starts(t: Tables):
     return histories.stage_starts(t("conversations"), "conv_id", "turn", "role").select("conv_id", "turn", "step", "starts")
 
@@ -539,7 +538,7 @@ def best_steps(t: Tables):
 
 @query("""WITH s AS (SELECT user_id, event_id, value, row_number() OVER w AS step, max(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 i AS (SELECT *, CASE WHEN p IS NULL OR value > p THEN step END AS hit FROM s)
-SELECT user_id, event_id, step::INT AS step, greatest(p, value) AS best, (step - max(hit) OVER (PARTITION BY user_id ORDER BY event_id))::INT AS patience FROM i""")
+SELECT user_id, event_id, step, greatest(p, value) AS best, step - max(hit) OVER (PARTITION BY user_id ORDER BY event_id) AS patience FROM i""")
 def running_best(t: Tables):
     return histories.running_best(t("events"), "user_id", "event_id", "value").select("user_id", "event_id", "step", "best", "patience")
 

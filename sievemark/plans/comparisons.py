@@ -132,7 +132,7 @@ def shortcut_comparison(t: Tables):
     for name, limit in (("foreground", 0.2), ("background", 0.9)):
         variants = variants.unionByName(used.select("id", "y", F.lit(name).alias("variant"), guess(limit).alias("pred")))
     scores = core_metrics(cells(variants, by=["variant"]), ["variant"]).select("variant", "n", "errors", "accuracy", "macro_f1")
-    return rounded(scores.join(F.broadcast(rollups.majority_rate(used, "y"))))  # one row
+    return rounded(scores.withColumn("majority_rate", rollups.majority_rate(used, "y").scalar()))
 
 
 @query(f"""WITH {_MASKED} SELECT count(*) AS n_used, round(avg(focus), 6) AS mean_focus, round(avg(mask), 6) AS mean_mask,

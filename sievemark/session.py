@@ -63,8 +63,9 @@ def freeze(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting; larger tables go through the ordinary join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Broadcast hint only for a result that was written and counted; a larger one is joined by key."""
+    small = freeze(df)
+    return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small
 
 
 def spread(df: DataFrame) -> DataFrame:
