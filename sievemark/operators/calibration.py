@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions.arrays import nll_term, probability_of, softmax, to_matrix
 from sievemark.operators.metrics import right_closed_bin
-from sievemark.operators.ordered import ranked_values, value_at
+from sievemark.operators.ordered import value_at_rank
 
 
 def nll(df: DataFrame, logits: str, y: str, temperature: float = 1.0) -> DataFrame:
@@ -97,8 +97,7 @@ def conformal_rank(total: Column, alpha: float) -> Column:
 def qhat(df: DataFrame, probs: str, y: str, alpha: float = 0.1) -> DataFrame:
     """Conformal threshold: an exact order statistic of 1 - p(true) over all rows."""
     scores = df.select((1 - probability_of(probs, y)).alias("score"))
-    ranked = ranked_values(scores, "score")
-    return value_at(ranked, "score", conformal_rank(F.col("n_total"), alpha), name="qhat")
+    return value_at_rank(scores, "score", lambda total: conformal_rank(total, alpha), name="qhat")
 
 
 def set_metrics(df: DataFrame, members: str, y: str, by: Sequence[str] = ()) -> DataFrame:

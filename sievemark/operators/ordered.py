@@ -96,66 +96,95 @@ def running_max(scanned: DataFrame, by: Sequence[str], column: str, name: str) -
 
 
 def with_running_sums(
-    df: DataFrame, order: Sequence[Column | str], sums: Sequence[str], by: Sequence[str] = ()
+    df: DataFrame,
+    order: Sequence[Column | str],
+    sums: Sequence[str],
+    by: Sequence[str] = (),
+    keep: Column | None = None,
 ) -> DataFrame:
-    """Adds ``<c>_before`` (sum over earlier rows) and ``<c>_total`` for every column in ``sums``."""
+    """Adds ``<c>_before`` (sum over earlier rows) and ``<c>_total`` for every column in ``sums``.
+
+    ``keep`` is a condition on partition facts (``_base_<c>``, ``_part_<c>``, ``<c>_total``): only
+    partitions that satisfy it are looked at further.
+    """
     ranged = _ranged(df, by, order)
-    parts = ranged.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_p_{c}") for c in sums])
+    parts = ranged.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_part_{c}") for c in sums])
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     starts = parts.select(
         *by,
         "_part",
-        *[F.coalesce(F.sum(f"_p_{c}").over(earlier), F.lit(0)).alias(f"_base_{c}") for c in sums],
-        *[F.sum(f"_p_{c}").over(whole).alias(f"{c}_total") for c in sums],
+        *[F.col(f"_part_{c}") for c in sums],
+        *[F.coalesce(F.sum(f"_part_{c}").over(earlier), F.lit(0)).alias(f"_base_{c}") for c in sums],
+        *[F.sum(f"_part_{c}").over(whole).alias(f"{c}_total") for c in sums],
     )
+    if keep is not None:
+        starts = starts.where(keep)
+    extra = [f"_base_{c}" for c in sums] + [f"{c}_total" for c in sums]
+    placed = _attach(ranged, starts, by, extra)
     inside = (
         Window.partitionBy(*by, "_part").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = ranged
-    for c in sums:
-        local = local.withColumn(f"_in_{c}", F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    extra = [f"_base_{c}" for c in sums] + [f"{c}_total" for c in sums]
-    placed = _attach(local, starts, by, extra)
     for c in sums:
-        placed = placed.withColumn(f"{c}_before", F.col(f"_in_{c}") + F.col(f"_base_{c}"))
-    return placed.drop("_slot", "_part", *[f"_in_{c}" for c in sums], *[f"_base_{c}" for c in sums])
+        local = F.coalesce(F.sum(c).over(inside), F.lit(0))
+        placed = placed.withColumn(f"{c}_before", local + F.col(f"_base_{c}"))
+    return placed.drop("_slot", "_part", *[f"_base_{c}" for c in sums])
 
 
-def ranked_values(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def ranked_values(
+    df: DataFrame,
+    value: str,
+    by: Sequence[str] = (),
+    ranks: Callable[[Column], Sequence[Column]] | None = None,
+) -> DataFrame:
     """Distinct values with ``n`` (copies), ``n_before`` (smaller rows) and ``n_total`` (rows).
 
-    Equal values are counted before anything is sorted, so one hot value is a single row here.
+    Equal values are counted before anything is sorted, so one hot value is a single row here. With
+    ``ranks`` (0-based, from the total), partitions that hold none of them are skipped.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    return with_running_sums(counts, [value], ["n"], by)
+    keep = None
+    if ranks:
+        base, size = F.col("_base_n"), F.col("_part_n")
+        keep = reduce(
+            lambda a, b: a | b, [(r >= base) & (r < base + size) for r in ranks(F.col("n_total"))]
+        )
+    return with_running_sums(counts, [value], ["n"], by, keep)
 
 
 def _holds(rank: Column) -> Column:
     return (rank >= F.col("n_before")) & (rank < F.col("n_before") + F.col("n"))
 
 
+def _spot(p: float, total: Column) -> Column:
+    return F.lit(float(p)) * (total - 1)
+
+
 def _interpolated(value: str, p: float) -> Column:
-    spot = F.lit(float(p)) * (F.col("n_total") - 1)
-    low = F.floor(spot)
-    high = F.ceil(spot)
-    a = F.max(F.when(_holds(low), F.col(value).cast("double")))
-    b = F.max(F.when(_holds(high), F.col(value).cast("double")))
-    part = F.max(spot - low)
-    return a + (b - a) * part
+    spot = _spot(p, F.col("n_total"))
+    a = F.max(F.when(_holds(F.floor(spot)), F.col(value).cast("double")))
+    b = F.max(F.when(_holds(F.ceil(spot)), F.col(value).cast("double")))
+    return a + (b - a) * F.max(spot - F.floor(spot))
 
 
 def quantiles(
     df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per group, one column per entry."""
-    ranked = ranked_values(df, value, by)
+
+    def ranks(total: Column) -> list[Column]:
+        return [f(_spot(p, total)) for p in probs.values() for f in (F.floor, F.ceil)]
+
+    ranked = ranked_values(df, value, by, ranks)
     return ranked.groupBy(*by).agg(*[_interpolated(value, p).alias(n) for n, p in probs.items()])
 
 
-def value_at(ranked: DataFrame, value: str, rank: Column, by: Sequence[str] = (), name: str = "value") -> DataFrame:
-    """The value at a 0-based rank, which may depend on ``n_total``."""
-    return ranked.where(_holds(rank)).groupBy(*by).agg(F.max(value).alias(name))
+def value_at_rank(
+    df: DataFrame, value: str, rank: Callable[[Column], Column], by: Sequence[str] = (), name: str = "value"
+) -> DataFrame:
+    """The value at the 0-based rank that ``rank`` derives from the number of rows."""
+    ranked = ranked_values(df, value, by, lambda total: [rank(total)])
+    return ranked.where(_holds(rank(F.col("n_total")))).groupBy(*by).agg(F.max(value).alias(name))
 
 
 def quantile_bin(position: Column, total: Column, bins: int) -> Column:

@@ -22,9 +22,9 @@ def test_precedence_copies_conflicts_and_bridges(spark):
         ("b1", "s2", "x", 0xF0),
         ("b2", "s2", "y", 0xF0),  # same content, two labels: both go
         ("c1", "s3", "x", 0b1),  # near a1
-        ("c2", "s4", "x", 0b111 << 40),
-        ("c3", "s5", "y", 0b110 << 40),  # near c2 under another label: both conflict
-        ("c4", "s6", "x", (0b111 << 40) ^ (0b11 << 8)),  # near c2, too far from c3
+        ("c2", "s4", "x", 0b1111111 << 40),
+        ("c3", "s5", "y", 0b1111110 << 40),  # near c2 under another label: both conflict
+        ("c4", "s6", "x", (0b1111111 << 40) ^ (0b11 << 8)),  # near c2, too far from c3
         ("d1", "s7", "x", -1),
         ("e1", "s8", "y", 0b1111 << 20),
         ("e2", "s9", "y", 1 << 50 | 1 << 55 | 1 << 60),
