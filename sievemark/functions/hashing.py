@@ -62,18 +62,10 @@ def text_signatures(texts: DataFrame, key: str, text: str) -> DataFrame:
         key,
         F.when(F.col("_word") != "", hex_to_long(F.substring(F.md5(F.col("_word")), 1, 16))).alias("_hash"),
     )
-    lanes = [
-        F.sum(F.shiftright("_hash", i).bitwiseAND(F.lit(0x0000000100000001))).alias(f"s{i}")
-        for i in range(32)
-    ]
+    # One SQL string per result: hundreds of Column objects would cost more than the query.
+    lanes = [F.expr(f"sum(shiftright(_hash, {i}) & 4294967297L)").alias(f"s{i}") for i in range(32)]
     counts = words.groupBy(key).agg(F.count("_hash").alias("_words"), *lanes)
-    signature = F.lit(0).cast("long")
-    for i in range(32):
-        low = F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF))
-        high = F.shiftrightunsigned(f"s{i}", 32)
-        for count, bit in ((low, i), (high, i + 32)):
-            weight = F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")
-            signature = signature.bitwiseOR(
-                F.when(count * 2 > F.col("_words"), weight).otherwise(F.lit(0).cast("long"))
-            )
-    return counts.select(key, signature.alias("signature"))
+    majority = "if(2 * ({count}) > _words, shiftleft(1L, {bit}), 0L)"
+    bits = [majority.format(count=f"s{i} & 4294967295L", bit=i) for i in range(32)]
+    bits += [majority.format(count=f"shiftrightunsigned(s{i}, 32)", bit=i + 32) for i in range(32)]
+    return counts.select(key, F.expr(" | ".join(bits)).alias("signature"))

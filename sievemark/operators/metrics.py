@@ -208,28 +208,24 @@ POISSON_STEPS = (
 )
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count of a uniform number: how many cumulative steps it has reached."""
-    steps = F.array(*[F.lit(p) for p in POISSON_STEPS])
-    return F.size(F.filter(steps, lambda s: s <= u)).cast("long")
-
-
 def poisson_cells(df: DataFrame, key: str, columns: Sequence[str], replicates: int, seed: str = "boot") -> DataFrame:
     """Confusion cells of every replicate in one pass over the rows: ``(*columns, rep, n)``.
 
-    Each row gets a Poisson(1) weight per replicate from its hash (four per digest), summed as one
-    column per replicate, so the rows are neither multiplied nor shuffled.
+    Each row gets a Poisson(1) weight per replicate from its hash (four per digest): the number of
+    cumulative steps its uniform number has reached. Weights are summed as one column per
+    replicate, so the rows are neither multiplied nor shuffled. Written as SQL text because the
+    expression is wide.
     """
+    steps = "array(" + ", ".join(f"{p!r}D" for p in POISSON_STEPS) + ")"
     digests = [hash_order(f"{seed}{d}", key).alias(f"d{d}") for d in range(-(-replicates // 4))]
     rows = df.select(*columns, *digests)
-    uniform = [
-        (F.conv(F.substring(f"d{b // 4}", 1 + 8 * (b % 4), 8), 16, 10).cast("double") / 4294967296.0).alias(f"u{b}")
-        for b in range(replicates)
+    weights = [
+        f"conv(substring(d{b // 4}, {1 + 8 * (b % 4)}, 8), 16, 10) / 4294967296D as u{b}" for b in range(replicates)
     ]
-    sums = [F.sum(poisson_weight(F.col(f"u{b}"))).alias(f"w{b}") for b in range(replicates)]
-    wide = rows.select(*columns, *uniform).groupBy(*columns).agg(*sums)
-    reps = F.array(*[F.struct(F.lit(b).alias("rep"), F.col(f"w{b}").alias("n")) for b in range(replicates)])
-    return wide.select(*columns, F.inline(reps)).where("n > 0")
+    sums = [F.expr(f"sum(size(filter({steps}, s -> s <= u{b})))").alias(f"w{b}") for b in range(replicates)]
+    wide = rows.selectExpr(*[f"`{c}`" for c in columns], *weights).groupBy(*columns).agg(*sums)
+    pairs = ", ".join(f"named_struct('rep', {b}, 'n', w{b})" for b in range(replicates))
+    return wide.select(*columns, F.expr(f"inline(array({pairs}))")).where("n > 0")
 
 
 def confidence_buckets(df: DataFrame, conf: str, correct: str, edges: Sequence[float]) -> DataFrame:

@@ -310,6 +310,14 @@ def dashboard_reliability(t: Tables):
     return rounded(calibration.reliability_at(scored(t), "conf", "correct", RELIABILITY_EDGES))
 
 
+@query(f"""WITH {SCORED}, b AS (SELECT *, CASE WHEN conf = 0.5 THEN 0 ELSE len(list_filter(list_transform(range(11), lambda i: 0.5::DOUBLE + i * 0.05::DOUBLE), lambda e: conf > e)) - 1 END AS bin FROM scored)
+SELECT bin::INT AS bin, round(avg(conf), 6) AS confidence, round(avg(correct::INT), 6) AS accuracy, count(*) AS n FROM b WHERE bin BETWEEN 0 AND 9 GROUP BY 1""")
+def notebook_reliability(t: Tables):
+    """Ten bins on .5-1.0, the lowest edge included."""
+    edges = [0.5 + i * 0.05 for i in range(11)]
+    return rounded(calibration.reliability_at(scored(t), "conf", "correct", edges, include_lowest=True))
+
+
 _QHAT = """score AS (SELECT 1 - probs[y + 1] AS s, row_number() OVER (ORDER BY 1 - probs[y + 1]) - 1 AS r, count(*) OVER () AS n FROM scored WHERE split = 'val'),
 qhat AS (SELECT s AS qhat FROM score WHERE r = ceil(least(1.0, ceil((n + 1) * (1 - 0.1)) / n) * (n - 1)))"""
 
