@@ -20,7 +20,7 @@ from sievemark.functions.arrays import from_matrix, to_matrix
 from sievemark.functions.hashing import hash_order
 from sievemark.session import freeze
 
-PIVOTS = 64
+MAX_PIVOTS = 1024
 BLOCK_ROWS = 4096
 BANK_BYTES = 64 << 20
 _SLACK = 1e-9
@@ -40,6 +40,11 @@ def _pivots(vectors: DataFrame, key: str, vector: str, count: int) -> np.ndarray
     return _unit_rows(np.array([r[0] for r in rows], dtype=np.float64))
 
 
+def _pivot_count(rows: int) -> int:
+    """Cells of about a quarter block, within fixed bounds, so the pivots always fit the driver."""
+    return max(8, min(MAX_PIVOTS, rows * 4 // BLOCK_ROWS))
+
+
 def _with_home(vectors: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
     @F.arrow_udf("struct<cell:int,radius:double>")
     def home(v: pa.Array) -> pa.Array:
@@ -102,20 +107,23 @@ def cosine_pairs(
     vector: str,
     threshold: float,
     same: str | None = None,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    forest: bool = False,
 ) -> DataFrame:
     """``(a, b, cosine)`` for a < b with cosine ≥ ``threshold``; exact.
 
-    With ``same`` given, only pairs that agree on that column are returned. Identical vectors should
-    be collapsed first (``collapse_copies``): copies of one vector would make all their pairs.
+    With ``same`` given, only pairs that agree on that column are returned. Expects distinct vectors:
+    see :func:`similar_links`, which collapses copies first. ``forest`` keeps, per pair of blocks,
+    just enough pairs to connect what is connected there, so a crowd of near copies gives one link
+    per row instead of all its pairs; components over these links are the same.
     """
     base = freeze(
         vectors.select(
             F.col(key).alias("id"), F.col(vector).alias("vec"), *([F.col(same).alias("tag")] if same else [])
         ).where(F.col(vector).isNotNull())
     )
-    centres = _pivots(base, "id", "vec", pivots)
+    centres = _pivots(base, "id", "vec", pivots or _pivot_count(base.count()))
     if not len(centres):
         return base.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("cosine")).limit(0)
     homes = freeze(_with_home(base, "vec", centres))
@@ -153,7 +161,10 @@ def cosine_pairs(
             if same:
                 hit &= left["tag"].to_numpy()[s : s + 512, None] == right["tag"].to_numpy()[None, :]
             i, j = np.nonzero(hit)
-            found.append(pd.DataFrame({"p": li[s + i], "q": ri[j], "cosine": sims[i, j]}))
+            chunk = pd.DataFrame({"p": li[s + i], "q": ri[j], "cosine": sims[i, j]})
+            found.append(chunk)
+            if forest:
+                found = [_spanning(pd.concat(found))]
         out = pd.concat(found)
         swap = out["p"] > out["q"]
         return pd.DataFrame(
@@ -164,6 +175,71 @@ def cosine_pairs(
     return work.groupBy("cell", "hb", "vb").applyInPandas(compare, f"a {kind}, b {kind}, cosine double")
 
 
+def _spanning(edges: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of one block's edges (hook each root to the smallest root it touches)."""
+    if len(edges) < 2:
+        return edges
+    nodes, flat = np.unique(np.concatenate([edges["p"].to_numpy(), edges["q"].to_numpy()]), return_inverse=True)
+    u, v = flat[: len(edges)], flat[len(edges) :]
+    root = np.arange(len(nodes))
+    kept = np.zeros(len(edges), dtype=bool)
+    while True:
+        ru, rv = root[u], root[v]
+        open_edges = np.nonzero(ru != rv)[0]
+        if not len(open_edges):
+            return edges[kept]
+        high, low = np.maximum(ru, rv)[open_edges], np.minimum(ru, rv)[open_edges]
+        order = np.lexsort((low, high))
+        first = order[np.unique(high[order], return_index=True)[1]]  # one edge per root that moves
+        kept[open_edges[first]] = True
+        root[high[first]] = low[first]
+        while True:  # every node points at its root again
+            nxt = root[root]
+            if (nxt == root).all():
+                break
+            root = nxt
+
+
+def similar_links(
+    vectors: DataFrame, key: str, vector: str, threshold: float, same: str | None = None, **options: int
+) -> DataFrame:
+    """Similar pairs without writing out pairs of copies: ``(a, b, cosine, pairs)``.
+
+    One row per pair of similar distinct vectors, named by their first records, and one row (a = b,
+    cosine 1) per vector with copies; ``pairs`` is the number of record pairs a row stands for.
+    """
+    by = [same] if same else []
+    single = freeze(collapse_copies(vectors.where(F.col(vector).isNotNull()), key, vector, by))
+    near = cosine_pairs(single, key, vector, threshold, same=same, **options)
+    size = single.select(F.col(key).alias("k"), "copies")
+    sa, sb = size.alias("sa"), size.alias("sb")
+    across = (
+        near.join(sa, F.col("a") == F.col("sa.k"))
+        .join(sb, F.col("b") == F.col("sb.k"))
+        .select("a", "b", "cosine", (F.col("sa.copies") * F.col("sb.copies")).alias("pairs"))
+    )
+    inside = single.where("copies > 1").select(
+        F.col(key).alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("cosine"), F.expr("copies * (copies - 1) div 2").alias("pairs")
+    )
+    return across.unionByName(inside)
+
+
+def component_links(
+    vectors: DataFrame, key: str, vector: str, threshold: float, same: str | None = None, **options: int
+) -> DataFrame:
+    """Links ``(a, b)`` whose components are those of all similar pairs; at most a few per record.
+
+    Copies hang on their first record; distinct vectors give a spanning forest per pair of blocks.
+    """
+    by = [same] if same else []
+    known = vectors.where(F.col(vector).isNotNull())
+    single = freeze(collapse_copies(known, key, vector, by))
+    near = cosine_pairs(single, key, vector, threshold, same=same, forest=True, **options)
+    repeated = single.where("copies > 1").select(*by, vector, F.col(key).alias("a"))
+    copies = known.join(repeated, [*by, vector]).select("a", F.col(key).alias("b")).where("a <> b")
+    return near.select("a", "b").unionByName(copies)
+
+
 def collapse_copies(vectors: DataFrame, key: str, vector: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct vector (and ``by``): its first key and the number of copies."""
     return vectors.groupBy(*by, vector).agg(F.min(key).alias(key), F.count("*").alias("copies"))
@@ -178,7 +254,7 @@ def kth_cosine(
     bank_vector: str,
     k: int = 10,
     bank_bytes: int = BANK_BYTES,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``(key, kth)``: cosine to the k-th nearest bank vector, k at most the size of the bank.
@@ -208,7 +284,7 @@ def kth_cosine(
 
         return queries.select(key, nearest(vector).alias("kth"))
 
-    centres = _pivots(base, "id", "vec", pivots)
+    centres = _pivots(base, "id", "vec", pivots or _pivot_count(n))
     homes = freeze(_with_home(base, "vec", centres))
     stats = {
         r["cell"]: (r["n"], r["r"])

@@ -118,22 +118,29 @@ def near_variant_pairs(t: Tables):
     return pairs.variant_pairs(first.select("id", F.array(*turned).alias("variants")), "id", "variants", DISTANCE)
 
 
-@query(f"""WITH {VECTORS} SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS cosine
-FROM emb a JOIN emb b ON a.vec_id < b.vec_id AND list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= {COSINE}""")
+_SIMILAR = f"""{VECTORS}, one AS (SELECT v, min(vec_id) AS id, count(*) AS copies FROM emb GROUP BY v),
+alike AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS cosine, a.copies * b.copies AS pairs
+  FROM one a JOIN one b ON a.id < b.id AND list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= {COSINE}
+  UNION ALL SELECT id, id, 1.0, copies * (copies - 1) // 2 FROM one WHERE copies > 1)"""
+
+
+@query(f"WITH {_SIMILAR} SELECT a, b, round(cosine, 6) AS cosine, pairs FROM alike")
 def similar_vectors(t: Tables):
-    return rounded(vector_pairs.cosine_pairs(t("embeddings"), "vec_id", "embedding", COSINE))
+    return rounded(vector_pairs.similar_links(t("embeddings"), "vec_id", "embedding", COSINE))
 
 
-@query(f"""WITH {VECTORS}, p AS (SELECT a.label = b.label AS same FROM emb a JOIN emb b ON a.vec_id < b.vec_id AND list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= {COSINE})
-SELECT same, count(*) AS n FROM p GROUP BY 1""")
+@query(f"""WITH {_SIMILAR}, p AS (SELECT x.label = y.label AS same, s.pairs FROM alike s JOIN emb x ON x.vec_id = s.a JOIN emb y ON y.vec_id = s.b)
+SELECT same, count(*) AS links, sum(pairs)::BIGINT AS pairs FROM p GROUP BY 1""")
 def similar_by_class(t: Tables):
-    """Similar pairs split into kept (same class) and ignored (other class)."""
-    found = vector_pairs.cosine_pairs(t("embeddings"), "vec_id", "embedding", COSINE)
+    """Similar links split into kept (same class) and ignored (other class)."""
+    found = vector_pairs.similar_links(t("embeddings"), "vec_id", "embedding", COSINE)
     labels = t("embeddings").select("vec_id", "label")
     both = found.join(labels.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), "a").join(
         labels.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b"
     )
-    return both.groupBy((F.col("la") == F.col("lb")).alias("same")).agg(F.count("*").alias("n"))
+    return both.groupBy((F.col("la") == F.col("lb")).alias("same")).agg(
+        F.count("*").alias("links"), F.sum("pairs").alias("pairs")
+    )
 
 
 @query(f"""WITH RECURSIVE {VECTORS}, links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM emb a JOIN emb b ON a.vec_id <> b.vec_id AND a.label = b.label
@@ -141,8 +148,8 @@ def similar_by_class(t: Tables):
 reach(node, root) AS (SELECT DISTINCT a, a FROM links UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node)
 SELECT node, min(root) AS component FROM reach GROUP BY 1""")
 def similar_components(t: Tables):
-    links = vector_pairs.cosine_pairs(t("embeddings"), "vec_id", "embedding", COSINE, same="label")
-    return components.connected_components(links.select("a", "b"))
+    links = vector_pairs.component_links(t("embeddings"), "vec_id", "embedding", COSINE, same="label")
+    return components.connected_components(links)
 
 
 @query(f"""WITH {sql_signature('documents', 'doc_id', 'sig')}, {sql_signature('benchmark', 'item_id', 'bank')}

@@ -119,6 +119,16 @@ def chosen_scorer(t: Tables):
     return rounded(ood.choose_scorer(_areas(t)))
 
 
+@query()
+def all_scorer_areas(t: Tables):
+    """Areas of all four scorers; the quadratic one needs a matrix inverse, so rows only."""
+    far = _mahalanobis(t).withColumnsRenamed({"vec_id": "id", "score": "mahalanobis"})
+    rows = _rows(t).join(far, "id").where("split in ('val', 'cal')")
+    names = ["msp", "energy", "mahalanobis", "knn"]
+    long_rows = rows.unpivot(["id", "split", "kind", "source"], names, "scorer", "score")
+    return rounded(ood.scorer_comparison(long_rows))
+
+
 @query(f"""WITH {_SCORES}, tau AS (SELECT scorer, quantile_cont(score, 0.95) AS tau FROM long WHERE split = 'val' GROUP BY 1),
 test AS (SELECT scorer, kind, score, score <= tau AS kept FROM long JOIN tau USING (scorer) WHERE split = 'test'),
 acc AS (SELECT scorer, avg(kept::INT) AS id_acceptance FROM test WHERE kind = 'id' GROUP BY 1),

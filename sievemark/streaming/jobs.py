@@ -11,20 +11,31 @@ from pyspark.sql import types as T
 from sievemark.session import scratch_path
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """A table's Parquet files as a file stream with the table's own schema."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A table's Parquet files as a file stream with the table's own schema.
+
+    The table may be one file in ``folder`` or a directory of files.
+    """
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getFileStatus(target).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def event_time(events: DataFrame, column: str, delay: str) -> DataFrame:
-    """Event time as TIMESTAMP (a zone-less type is rejected) with a watermark."""
-    return events.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
+    """Event time as TIMESTAMP with a watermark.
+
+    A zone-less type is rejected by the watermark; its values are read as UTC in any session zone.
+    """
+    instant = F.col(column).cast("timestamp")
+    if isinstance(events.schema[column].dataType, T.TimestampNTZType):
+        instant = F.from_utc_timestamp(instant, events.sparkSession.conf.get("spark.sql.session.timeZone"))
+    return events.withColumn(column, instant).withWatermark(column, delay)
 
 
 def gate_stream(rows: DataFrame, decide: Callable[[], Column], name: str = "decision") -> DataFrame:

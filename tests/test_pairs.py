@@ -114,6 +114,21 @@ def test_copies_of_vectors_collapse(spark):
     assert {(r.i, r.copies) for r in vector_pairs.collapse_copies(df, "i", "v").collect()} == {(0, 40), (40, 1)}
 
 
+@pytest.mark.parametrize("threshold,block", [(0.95, 25), (0.5, 4096)])
+def test_forest_links_keep_the_components(spark, clustered, threshold, block):
+    x, label = clustered
+    x = np.concatenate([x, np.repeat(x[:1], 60, axis=0)])  # a crowd of copies
+    label = np.concatenate([label, np.repeat(label[:1], 60)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    edges = [(int(i), int(j)) for i, j in np.argwhere((u @ u.T >= threshold) & (label[:, None] == label[None, :])) if i < j]
+    links = vector_pairs.component_links(vectors(spark, x, label), "i", "v", threshold, same="label", pivots=10, block_rows=block)
+    links = [(r.a, r.b) for r in links.collect()]
+    assert len(links) < len(edges) / 2
+    assert roots(len(x), links) == roots(len(x), edges)
+    whole = vector_pairs.similar_links(vectors(spark, x, label), "i", "v", threshold, same="label", pivots=10, block_rows=block)
+    assert whole.agg(F.sum("pairs")).first()[0] == len(edges)
+
+
 @pytest.mark.parametrize("k,block", [(1, 4096), (10, 30), (500, 30)])
 def test_kth_neighbour_broadcast_and_cells_agree(spark, clustered, k, block):
     x, _ = clustered

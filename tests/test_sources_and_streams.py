@@ -62,8 +62,9 @@ def test_streams_over_several_files(spark, tmp_path):
     for i in range(3):
         rows = [(f"2024-01-01 0{i}:{m:02d}:00", m % 4, "ok", float(m)) for m in range(0, 60, 5)]
         part = spark.createDataFrame(rows, "ts string, user int, kind string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in.parquet"))
+    stream = jobs.table_stream(spark, str(tmp_path), "in", 1)
+    assert stream.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
     timed = jobs.event_time(stream, "ts", "2 days")
     first = jobs.run_append(jobs.suppress_copies(timed.select("ts", "user"), ["user"]), "t-first")
     assert sorted(r.user for r in first.collect()) == [0, 1, 2, 3]
