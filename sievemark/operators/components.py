@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.session import freeze
+from sievemark.session import stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """``edges`` must be stored: then the join below has a plain scan on each side."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    lowest = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars")
     return (
         both.where(F.col("v") > F.col("u"))
         .join(lowest, "u")
@@ -22,30 +23,30 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    lowest = down.groupBy("u").agg(F.min("v").alias("m"))
+    lowest = stored(down.groupBy("u").agg(F.min("v").alias("m")), "stars")
     moved = down.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(lowest.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node on an edge; the component is its smallest node.
 
     Each round replaces a node's neighbours by its smallest one through two equi-joins, so no
-    neighbour list is ever collected; rounds grow with log²(nodes), not with the path length.
+    neighbour list is ever collected; rounds grow with log²(nodes), not with the path length. The
+    smallest neighbours are stored before they are joined, so the node of a giant component is split
+    by AQE. Rounds go on until nothing changes; every round merges or shortens, so they end.
     """
-    current = freeze(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    current = stored(
+        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
     state = None
-    for _ in range(max_rounds):
-        current = freeze(_small_star(_large_star(current)))
+    while True:
         seen = current.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
         ).first()
-        if seen == state:
+        if seen == state or not seen[0]:
             break
         state = seen
-    else:
-        raise RuntimeError("connected components did not settle")
+        current = stored(_small_star(stored(_large_star(current), "edges")), "edges")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
