@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievemark.llm import quality, simhash
+import corpus_pipeline
+from sievemark.llm import mixing, packing, quality, simhash, surrogates
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,15 +20,37 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.clean_lines(docs, keep=["doc_id"]).drop("clean_text")
 
 
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"))
+
+
+def op7_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    mix = mixing.mix(_table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_copies(_table(spark, folder, "documents"))
 
 
+def op10_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    made = surrogates.pseudonymised(_table(spark, folder, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"size(filter(entities, e -> e.kind = '{k}'))").alias(f"n_{k}") for k in surrogates.KINDS]
+    return made.select("doc_id", "text", *counts)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op7_source_mixture": op7_source_mixture,
     "op8_simhash": op8_simhash,
+    "op10_surrogates": op10_surrogates,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.oracle(),
+    "op7_source_mixture": mixing.oracle(),
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
