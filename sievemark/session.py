@@ -71,7 +71,7 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     tables under a join leave plain shuffles on both sides, which AQE can split at a hot key.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
