@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievemark.llm import mixing, packing, quality, simhash, surrogates
+from sievemark.llm import mixing, packing, quality, simhash, surrogates, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.clean_lines(docs, keep=["doc_id"]).drop("clean_text")
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(_table(spark, folder, "pages")).drop("url", "payload", "intact")
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
@@ -41,6 +45,7 @@ def op10_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_warc": op2_warc,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_source_mixture": op7_source_mixture,
     "op8_simhash": op8_simhash,
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.oracle(),
+    "op2_warc": warc.oracle(),
     "op7_source_mixture": mixing.oracle(),
 }
 if corpus_pipeline.ORACLE_SQL:
