@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievemark.llm import mixing, packing, quality, simhash, surrogates, warc
+from sievemark.llm import huffman, mixing, packing, quality, simhash, surrogates, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def op6_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return huffman.round_trip(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
     mix = mixing.mix(_table(spark, folder, "documents").select("doc_id", "text", "source"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_huffman_ids": op6_huffman_ids,
     "op7_source_mixture": op7_source_mixture,
     "op8_simhash": op8_simhash,
     "op10_surrogates": op10_surrogates,
