@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievemark.llm import huffman, mixing, packing, quality, simhash, surrogates, warc
+from sievemark.llm import curves, huffman, mixing, packing, quality, simhash, surrogates, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def op5_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return curves.search(_table(spark, folder, "embeddings"))
+
+
 def op6_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_hilbert_neighbours": op5_hilbert_neighbours,
     "op6_huffman_ids": op6_huffman_ids,
     "op7_source_mixture": op7_source_mixture,
     "op8_simhash": op8_simhash,
