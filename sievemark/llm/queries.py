@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievemark.llm import curves, huffman, mixing, packing, quality, simhash, surrogates, warc
+from sievemark.llm import curves, huffman, licenses, mixing, packing, quality, simhash, surrogates, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_copies(_table(spark, folder, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 def op10_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     made = surrogates.pseudonymised(_table(spark, folder, "documents").select("doc_id", "text"))
     counts = [F.expr(f"size(filter(entities, e -> e.kind = '{k}'))").alias(f"n_{k}") for k in surrogates.KINDS]
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_huffman_ids": op6_huffman_ids,
     "op7_source_mixture": op7_source_mixture,
     "op8_simhash": op8_simhash,
+    "op9_license_scan": op9_license_scan,
     "op10_surrogates": op10_surrogates,
     "pipeline": corpus_pipeline.run,
 }
