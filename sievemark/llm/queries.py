@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievemark.llm import curves, huffman, licenses, mixing, packing, quality, simhash, surrogates, warc
+from sievemark.llm import crf, curves, huffman, licenses, mixing, packing, quality, simhash, surrogates, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,13 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def op4_crf_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = crf.fit(docs.where(~crf.held_out()))
+    marked = docs.select("doc_id", "text", crf.held_out().alias("held_out"))
+    return crf.identify(marked, model, keep=["doc_id", "held_out"])
+
+
 def op5_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return curves.search(_table(spark, folder, "embeddings"))
 
@@ -61,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_crf_language": op4_crf_language,
     "op5_hilbert_neighbours": op5_hilbert_neighbours,
     "op6_huffman_ids": op6_huffman_ids,
     "op7_source_mixture": op7_source_mixture,
