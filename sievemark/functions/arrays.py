@@ -100,14 +100,31 @@ def trapezoid(y: Column | str, x: Sequence[float]) -> Column:
     return total(steps) / F.lit(float(x[-1]))
 
 
-def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """An Arrow list column of equal lengths as a 2-D float64 array, without Python objects."""
+def to_matrix(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of an Arrow list column as a 2-D float64 array, without Python objects.
+
+    Returns the rows that are not NULL and the mask of those rows in the column; the vectors must
+    agree in length.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if len(column) == 0:
-        return np.zeros((0, 0))
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    present = column.is_valid().to_numpy(zero_copy_only=False)
+    known = column.drop_null()
+    if len(known) == 0:
+        return np.zeros((0, 0)), present
+    widths = known.value_lengths().to_numpy(zero_copy_only=False)
+    if (widths != widths[0]).any():
+        raise ValueError(f"vectors of {widths.min()} to {widths.max()} components in one column")
+    flat = known.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(known), -1), present
+
+
+def spread_out(values: pa.Array, present: np.ndarray) -> pa.Array:
+    """Results of the rows that :func:`to_matrix` kept, with NULL for the others."""
+    if present.all():
+        return values
+    at = np.cumsum(present) - 1
+    return values.take(pa.array(at, pa.int64(), mask=~present))
 
 
 def from_matrix(matrix: np.ndarray) -> pa.Array:
@@ -128,8 +145,10 @@ def linear_scores(vectors: Column | str, weights: np.ndarray, bias: np.ndarray |
 
     @F.arrow_udf("array<double>")
     def scores(v: pa.Array) -> pa.Array:
-        x = to_matrix(v)
-        return from_matrix(x @ w.T + b) if len(x) else pa.array([], pa.list_(pa.float64()))
+        x, present = to_matrix(v)
+        if not len(x):
+            return pa.nulls(len(v), pa.list_(pa.float64()))
+        return spread_out(from_matrix(x @ w.T + b), present)
 
     return scores(_col(vectors))
 
@@ -141,13 +160,13 @@ def quadratic_scores(vectors: Column | str, means: np.ndarray, precision: np.nda
 
     @F.arrow_udf("double")
     def scores(v: pa.Array) -> pa.Array:
-        x = to_matrix(v)
+        x, present = to_matrix(v)
         if not len(x):
-            return pa.array([], pa.float64())
+            return pa.nulls(len(v), pa.float64())
         best = np.full(len(x), np.inf)
         for mean in m:
             d = x - mean
             best = np.minimum(best, np.einsum("ij,jk,ik->i", d, p, d))
-        return pa.array(best)
+        return spread_out(pa.array(best), present)
 
     return scores(_col(vectors))

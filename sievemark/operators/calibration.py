@@ -25,10 +25,10 @@ def nll_grid(df: DataFrame, logits: str, y: str, temperatures: Sequence[float])
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = np.zeros(len(grid)), 0
         for batch in batches:
-            z = to_matrix(batch.column(0))
+            z, present = to_matrix(batch.column(0))
             if not len(z):
                 continue
-            label = batch.column(1).to_numpy(zero_copy_only=False).astype(int)
+            label = batch.column(1).to_numpy(zero_copy_only=False)[present].astype(int)
             z = z - z.max(axis=1, keepdims=True)
             n += len(z)
             for i, t in enumerate(grid):

@@ -13,17 +13,6 @@ from sievemark.operators.ordered import quantiles, with_running_sums
 
 LADDER = (0.95, 0.96, 0.97, 0.98, 0.99, 0.995)
 
-# Advice shown with each issue or reason; pass another mapping to decide() to change it.
-ADVICE = {
-    "too_dark": "Too little light. Use daylight or a lamp.",
-    "too_bright": "Too much light. Avoid direct sun or flash.",
-    "too_blurry": "Out of focus. Keep still and focus on the subject.",
-    "low_contrast": "Flat picture. Move closer and avoid reflections.",
-    "no_leaf": "The expected subject colours are missing. Fill the frame with the subject.",
-    "ood": "This does not look like the data the model was trained on.",
-    "low_confidence": "The model cannot commit to one class. Try another record or ask an expert.",
-}
-
 
 def quality_issues(
     brightness: Column,
@@ -108,13 +97,16 @@ def decide(
     tau: float | Column,
     qhat: float | Column,
     tau_conf: float | Column,
-    advice: dict[str, str] | None = None,
+    advice: dict[str, str],
 ) -> Column:
-    """Decision struct: quality gate, then foreignness, then set size and confidence."""
+    """Decision struct: quality gate, then foreignness, then set size and confidence.
+
+    ``advice`` holds a text for each issue and for the reasons ``ood`` and ``low_confidence``.
+    """
     p = F.col(probs) if isinstance(probs, str) else probs
     s = F.col(score) if isinstance(score, str) else score
     names = F.array(*[F.lit(c) for c in classes])
-    texts = F.create_map(*[F.lit(v) for item in (advice or ADVICE).items() for v in item])
+    texts = F.create_map(*[F.lit(v) for item in advice.items() for v in item])
     members = prediction_set(p, qhat)
     top = argmax(p)
     conf = F.array_max(p)

@@ -11,7 +11,7 @@ from sievemark.functions.text import matches_any
 from sievemark.operators.components import connected_components
 from sievemark.operators.ordered import with_position
 from sievemark.operators.pairs import signature_pairs
-from sievemark.session import freeze
+from sievemark.session import freeze, stored
 
 
 def base_status(
@@ -31,11 +31,12 @@ def mark_exact(df: DataFrame, path: str, digest: str, label: str) -> DataFrame:
 
     Equal content with one label keeps its first path; with several labels every copy is a conflict.
     Per-content facts come from an aggregate with map-side combine rather than a window, so a group
-    that holds a third of the rows is never gathered in one task; the join back is split by AQE.
+    that holds a third of the rows is never gathered in one task. The facts are stored before they
+    are joined back: only then does a plain shuffle lie on both sides, which AQE splits at a hot key.
     A missing label is not a label of its own.
     """
     ok = df.where("status = 'ok'")
-    facts = (
+    facts = stored(
         ok.groupBy(digest)
         .agg(
             F.count("*").alias("_copies"),
@@ -43,7 +44,8 @@ def mark_exact(df: DataFrame, path: str, digest: str, label: str) -> DataFrame:
             F.min(label).alias("_low"),
             F.max(label).alias("_high"),
         )
-        .where("_copies > 1")
+        .where("_copies > 1"),
+        "contents",
     )
     joined = df.join(facts, digest, "left")
     mine = (F.col("status") == "ok") & F.col("_copies").isNotNull()
@@ -60,22 +62,26 @@ def mark_exact(df: DataFrame, path: str, digest: str, label: str) -> DataFrame:
 
 
 def content_nodes(ok: DataFrame, path: str, signature: str, label: str) -> DataFrame:
-    """One node per (signature, label) with its first path and size: copies are collapsed here."""
-    return ok.groupBy(F.col(signature).alias("signature"), F.col(label).alias("label")).agg(
+    """One node per (signature, label) with its first path and size: copies are collapsed here.
+
+    Records without a signature resemble nothing and have no node.
+    """
+    return ok.where(F.col(signature).isNotNull()).groupBy(F.col(signature).alias("signature"), F.col(label).alias("label")).agg(
         F.min(path).alias("node"), F.count("*").alias("n")
     )
 
 
 def near_conflicts(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Nodes with a differently labelled node at the same or a near signature."""
-    span = nodes.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    span = stored(nodes.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")), "spans")
     reached = pairs.select("a", "b").unionByName(
         pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
     ).unionByName(span.where("low <> high").select(F.col("signature").alias("a"), F.col("signature").alias("b")))
-    seen = (
+    seen = stored(
         reached.join(span, F.col("b") == F.col("signature"))
         .groupBy("a")
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        .agg(F.min("low").alias("low"), F.max("high").alias("high")),
+        "seen",
     )
     return (
         nodes.join(seen, F.col("signature") == F.col("a"))
@@ -148,7 +154,8 @@ def assign_groups(
     ``manifest`` carries ``status`` from :func:`base_status`. ``similar`` holds further links
     (a, b) between paths of one label, for example from cosine pairs. ``variants`` replaces the
     plain signature pairs by pairs (a, b) of signatures found over turned and mirrored variants.
-    Rows in near conflict leave their group but still connect the rows around them.
+    Rows in near conflict leave their group but still connect the rows around them. A row without a
+    signature is a group of its own unless ``similar`` links it.
     """
     marked = freeze(mark_exact(manifest, path, digest, label))
     ok = marked.where("status = 'ok'").select(path, signature, label)
@@ -156,10 +163,12 @@ def assign_groups(
     pairs = variants if variants is not None else signature_pairs(nodes, max_distance)
     pairs = freeze(pairs.select("a", "b"))
     bad = freeze(near_conflicts(nodes, pairs))
-    member = ok.join(
-        nodes.select(F.col("signature").alias(signature), F.col("label").alias(label), "node"),
-        [signature, label],
-    ).select(path, "node")
+    known = nodes.select(F.col("signature").alias("_s"), F.col("label").alias("_l"), "node")
+    member = (
+        ok.join(known, (ok[signature] == known["_s"]) & ok[label].eqNullSafe(known["_l"]))
+        .select(path, "node")
+        .unionByName(ok.where(F.col(signature).isNull()).select(path, F.col(path).alias("node")))
+    )
     links = near_links(nodes, pairs)
     if similar is not None:
         ends = similar.join(member.select(F.col(path).alias("a"), F.col("node").alias("na")), "a").join(

@@ -8,12 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievemark.session import stored
+
 
 def attach(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """Left join on a lookup reduced to one row per key, so no row is multiplied."""
     others = [c for c in lookup.columns if c != key]
     single = lookup.groupBy(key).agg(F.min(F.struct(*others)).alias("_l")).select(key, "_l.*")
-    return rows.join(single, key, "left")
+    return rows.join(stored(single, "lookup"), key, "left")  # stored: AQE then splits a hot key of the rows
 
 
 def missing_keys(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,8 @@ shrinks any table to at most classes² rows per group.
 
 from __future__ import annotations
 
+from itertools import accumulate
+from math import exp, factorial
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -194,18 +196,8 @@ def paired_bootstrap(triples: DataFrame, n_boot: int = 2000, seed: int = 0) -> D
     )
 
 
-# Cumulative Poisson(1) probabilities for 0, 1, … 8 events.
-POISSON_STEPS = (
-    0.36787944117144233,
-    0.73575888234288467,
-    0.91969860292860584,
-    0.98101184312384615,
-    0.99634015317265634,
-    0.99940581518241833,
-    0.99991675885071190,
-    0.99998975080332540,
-    0.99999887479740216,
-)
+# Cumulative Poisson(1) probabilities of 0, 1, … events, as long as a uniform number of 32 bits can tell them from 1.
+POISSON_STEPS = tuple(accumulate(exp(-1) / factorial(k) for k in range(13)))
 
 
 def poisson_cells(df: DataFrame, key: str, columns: Sequence[str], replicates: int, seed: str = "boot") -> DataFrame:

@@ -60,10 +60,10 @@ def shrunk_precision(df: DataFrame, vector: str, label: str, means: np.ndarray,
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, total, fourth, n = np.zeros((dims, dims)), np.zeros(dims), 0.0, 0
         for batch in batches:
-            x = to_matrix(batch.column(0))
+            x, present = to_matrix(batch.column(0))
             if not len(x):
                 continue
-            y = [position[v] for v in batch.column(1).to_pylist()]
+            y = [position[v] for v, known in zip(batch.column(1).to_pylist(), present, strict=True) if known]
             x = x - means[y]
             gram += x.T @ x
             total += x.sum(axis=0)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.functions.hashing import hamming
-from sievemark.session import freeze
+from sievemark.session import freeze, stored
 
 BUCKET_ROWS = 4096
 
@@ -206,7 +206,8 @@ def nearest_distance(
 
     A bank counted at no more than ``bank_rows`` distinct signatures (0.8 MB at the default) goes to
     every task; a larger one is searched by banded joins whose reach doubles for the queries that
-    have found nothing yet, so near matches never pay for far ones.
+    have found nothing yet, so near matches never pay for far ones. A NULL signature has no distance
+    on either way.
     """
     left = freeze(queries.select(query_key, F.col(query_signature).alias("signature")))
     right = freeze(bank.select(F.col(bank_signature).alias("signature")).where("signature is not null").distinct())
@@ -215,16 +216,18 @@ def nearest_distance(
 
         @F.arrow_udf("int")
         def smallest(s: pa.Array) -> pa.Array:
-            values = s.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            # NULL is masked in Arrow: a float column would lose the low bits of every signature
+            values = s.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             best = np.full(len(values), 65, dtype=np.int64)
             for start in range(0, len(known), 1024):
                 part = np.bitwise_count(values[:, None] ^ known[None, start : start + 1024])
                 best = np.minimum(best, part.min(axis=1).astype(np.int64))
-            return pa.array(best.astype(np.int32), pa.int32(), mask=best == 65)
+            unknown = s.is_null().to_numpy(zero_copy_only=False)
+            return pa.array(best.astype(np.int32), pa.int32(), mask=unknown | (best == 65))
 
         out = left.withColumn("distance", smallest("signature"))
     else:
-        pending = freeze(left.select("signature").distinct())
+        pending = stored(left.select("signature").where("signature is not null").distinct(), "pending")
         found = None
         reach = seen_within
         while True:

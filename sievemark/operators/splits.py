@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,9 @@ def group_folds(
 ) -> DataFrame:
     """``(group, fold)``: groups dealt over folds so that sizes and label shares stay even.
 
-    Groups are taken per dominant label, largest first (ties in hash order), and dealt back and
-    forth over the folds. One row per group is ordered, never the records; a group stays whole.
+    Groups are taken label after label, largest first (ties in hash order), and dealt in one go over
+    all labels, so a label starts where the one before it stopped. One row per group is ordered,
+    never the records; a group stays whole. Rows without a group count as one group.
     """
     cells = rows.groupBy(group, label).agg(F.count("*").alias("n"))
     sized = cells.groupBy(group).agg(
@@ -30,16 +32,25 @@ def group_folds(
 def deal(
     groups: DataFrame, group: str, main: str, size: str, folds: int, seed: int = 42
 ) -> DataFrame:
-    """Snake-deal of sized groups inside each main label."""
+    """Deals sized groups to folds in turn, label after label.
+
+    Neighbouring turns go to folds a stride apart. The folds that later become test and validation
+    have low numbers, so two groups in a row never both land there: a label with few groups has
+    training rows.
+    """
     keyed = groups.withColumn("_shuffle", hash_order(seed, group))
     placed = with_position(
-        keyed, [F.col(size).desc(), F.col("_shuffle"), F.col(group)], by=[main], name="_rank"
+        keyed, [F.col(main), F.col(size).desc(), F.col("_shuffle"), F.col(group)], name="_rank"
     )
-    turn = F.pmod(F.col("_rank") - 1, F.lit(2 * folds))
-    fold = F.when(turn < folds, turn).otherwise(2 * folds - 1 - turn)
+    fold = F.pmod((F.col("_rank") - 1) * stride(folds) + folds - 1, F.lit(folds))
     return placed.select(group, fold.cast("int").alias("fold"))
 
 
+def stride(folds: int) -> int:
+    """The smallest step of at least a third of the folds that visits all of them."""
+    return next(s for s in range(max(1, -(-folds // 3)), folds + 2) if gcd(s, folds) == 1)
+
+
 def check_fractions(val: float, test: float, folds: int, train: float | None = None) -> tuple[int, int]:
     """Numbers of validation and test folds; raises when the fractions do not fit the folds."""
     if train is not None and abs(train + val + test - 1.0) > 1e-6:
@@ -67,13 +78,19 @@ def assign_splits(
     """Adds ``split``; every row of a group lands in the same one."""
     n_val, n_test = check_fractions(val, test, folds)
     dealt = group_folds(rows, group, label, folds, seed)
-    return rows.join(dealt, group).withColumn("split", split_of_fold("fold", n_val, n_test)).drop("fold")
+    return _with_fold(rows, dealt, group).withColumn("split", split_of_fold("fold", n_val, n_test)).drop("fold")
+
+
+def _with_fold(rows: DataFrame, dealt: DataFrame, group: str) -> DataFrame:
+    """Every row with the fold of its group, rows without a group too."""
+    known = dealt.select(F.col(group).alias("_group"), "fold")
+    return rows.join(known, rows[group].eqNullSafe(known["_group"])).drop("_group")
 
 
 def cv_folds(rows: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """Long table with one row per (fold, record) and its ``role``; test rows stay sealed."""
     open_rows = rows.where("split in ('train', 'val')").drop("split")
-    own = open_rows.join(group_folds(open_rows, group, label, folds, seed), group).withColumnRenamed("fold", "_own")
+    own = _with_fold(open_rows, group_folds(open_rows, group, label, folds, seed), group).withColumnRenamed("fold", "_own")
     return (
         own.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
         .withColumn("role", F.when(F.col("fold") == F.col("_own"), "val").otherwise("train"))
@@ -156,12 +173,3 @@ def fingerprint(rows: DataFrame, fields: Sequence[str], classes: Sequence[str],
     return top.select(
         F.substring(F.sha2(F.concat(F.lit(head + "\n"), F.coalesce("h", F.lit(""))), 256), 1, 16).alias("fingerprint")
     )
-
-
-def flat_fingerprint(lines: DataFrame, column: str, max_lines: int = 1_000_000) -> str:
-    """SHA-256 over the sorted lines, first 16 hex digits; for tables counted below ``max_lines``."""
-    kept = lines.select(F.col(column).alias("line"))
-    if kept.limit(max_lines + 1).count() > max_lines:
-        raise ValueError("too many lines for one task; use fingerprint()")
-    joined = kept.agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("t"))
-    return joined.select(F.substring(F.sha2(F.concat("t", F.lit("\n")), 256), 1, 16)).first()[0]

@@ -8,22 +8,22 @@ and a task compares one block with one block in numpy and emits matches only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemark.functions.arrays import from_matrix, to_matrix
+from sievemark.functions.arrays import from_matrix, spread_out, to_matrix
 from sievemark.functions.hashing import hash_order
 from sievemark.session import freeze
 
-MAX_PIVOTS = 1024
 BLOCK_ROWS = 4096
 BANK_BYTES = 64 << 20
-_SLACK = 1e-9
+_SLACK = 1e-7  # arccos near 1 is off by about 2e-8
 
 
 def _unit_rows(x: np.ndarray) -> np.ndarray:
@@ -41,23 +41,22 @@ def _pivots(vectors: DataFrame, key: str, vector: str, count: int) -> np.ndarray
 
 
 def _pivot_count(rows: int) -> int:
-    """Cells of about a quarter block, within fixed bounds, so the pivots always fit the driver."""
-    return max(8, min(MAX_PIVOTS, rows * 4 // BLOCK_ROWS))
+    """Cells of about a quarter block; of large tables no more than four times the root of the rows, so the pivots fit the driver."""
+    return max(8, min(math.isqrt(16 * rows), rows * 4 // BLOCK_ROWS))
 
 
 def _with_home(vectors: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
     @F.arrow_udf("struct<cell:int,radius:double>")
     def home(v: pa.Array) -> pa.Array:
-        x = to_matrix(v)
+        x, present = to_matrix(v)
         if not len(x):
-            return pa.StructArray.from_arrays(
-                [pa.array([], pa.int32()), pa.array([], pa.float64())], ["cell", "radius"]
-            )
+            return pa.nulls(len(v), pa.struct([("cell", pa.int32()), ("radius", pa.float64())]))
         a = _angles(x, pivots)
         cell = a.argmin(axis=1)
-        return pa.StructArray.from_arrays(
+        homes = pa.StructArray.from_arrays(
             [pa.array(cell.astype(np.int32)), pa.array(a[np.arange(len(x)), cell])], ["cell", "radius"]
         )
+        return spread_out(homes, present)
 
     return vectors.withColumn("_home", home(vector)).select("*", "_home.cell", "_home.radius").drop("_home")
 
@@ -67,13 +66,13 @@ def _visits(vectors: DataFrame, vector: str, rule) -> DataFrame:
 
     @F.arrow_udf("array<int>")
     def cells(v: pa.Array) -> pa.Array:
-        x = to_matrix(v)
+        x, present = to_matrix(v)
         if not len(x):
-            return pa.array([], pa.list_(pa.int32()))
+            return pa.nulls(len(v), pa.list_(pa.int32()))
         wanted = rule(x)
         flat = np.nonzero(wanted)[1].astype(np.int32)
         offsets = np.concatenate([[0], wanted.sum(axis=1).cumsum()]).astype(np.int32)
-        return pa.ListArray.from_arrays(offsets, pa.array(flat))
+        return spread_out(pa.ListArray.from_arrays(offsets, pa.array(flat)), present)
 
     return vectors.withColumn("cell", F.explode(cells(vector)))
 
@@ -260,7 +259,8 @@ def kth_cosine(
     """``(key, kth)``: cosine to the k-th nearest bank vector, k at most the size of the bank.
 
     A bank whose counted size fits ``bank_bytes`` goes to every task (one matrix product per batch);
-    a larger one is searched cell by cell with an exact bound on the k-th distance.
+    a larger one is searched cell by cell with an exact bound on the k-th distance. Every query row gets
+    its own answer, whether its key is repeated or not; a NULL vector has none.
     """
     base = freeze(bank.select(F.col(bank_key).cast("string").alias("id"), F.col(bank_vector).alias("vec")).where("vec is not null"))
     size = base.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
@@ -269,18 +269,18 @@ def kth_cosine(
     if k == 0:
         return queries.select(key, F.lit(None).cast("double").alias("kth"))
     if n * width * 8 <= bank_bytes:
-        known = _unit_rows(np.array([r[0] for r in base.select("vec").collect()], dtype=np.float64))
+        known = _unit_rows(to_matrix(base.select("vec").toArrow().column("vec"))[0])
 
         @F.arrow_udf("double")
         def nearest(v: pa.Array) -> pa.Array:
-            x = to_matrix(v)
+            x, present = to_matrix(v)
             if not len(x):
-                return pa.array([], pa.float64())
+                return pa.nulls(len(v), pa.float64())
             out = [
                 np.partition(_unit_rows(x[s : s + 512]) @ known.T, n - k, axis=1)[:, n - k]
                 for s in range(0, len(x), 512)
             ]
-            return pa.array(np.concatenate(out))
+            return spread_out(pa.array(np.concatenate(out)), present)
 
         return queries.select(key, nearest(vector).alias("kth"))
 
@@ -301,8 +301,8 @@ def kth_cosine(
         bound = np.take_along_axis(far, by_far, axis=1)[np.arange(len(x)), enough]
         return (counts[None, :] > 0) & (a - radius[None, :] <= bound[:, None] + _SLACK)
 
-    asked = freeze(queries.select(F.col(key).cast("string").alias("id"), F.col(vector).alias("vec")))
-    visits = _visits(asked, "vec", rule)
+    rows = freeze(queries.select(key, F.col(vector).alias("vec"), F.monotonically_increasing_id().cast("string").alias("id")))
+    visits = _visits(rows.where("vec is not null").select("id", "vec"), "vec", rule)
     work = _blocked(homes, visits, len(centres), block_rows)
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
@@ -320,7 +320,8 @@ def kth_cosine(
         return pd.DataFrame({"id": seek["id"].to_numpy(), "best": best})
 
     parts = work.groupBy("cell", "hb", "vb").applyInPandas(search, "id string, best array<double>")
-    merged = parts.groupBy("id").agg(
-        F.get(F.sort_array(F.flatten(F.collect_list("best")), asc=False), F.lit(k - 1)).alias("kth")
-    )
-    return merged.select(F.col("id").cast(dict(queries.dtypes)[key]).alias(key), "kth")
+    # the k best of each query are picked before and after the shuffle; no list grows with the blocks
+    nearest = Window.partitionBy("id").orderBy(F.desc("s"))
+    best = parts.select("id", F.explode("best").alias("s")).withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k)
+    merged = best.groupBy("id").agg(F.min("s").alias("kth"))
+    return rows.select(key, "id").join(merged, "id", "left").select(key, "kth")

@@ -232,8 +232,8 @@ def group_gallery(t: Tables):
 def _sql_deal(rows: str, group: str, label: str, folds: int, seed: int, name: str) -> str:
     return f"""{name}_cells AS (SELECT {group} AS g, {label} AS l, count(*) AS n FROM {rows} GROUP BY 1, 2),
 {name}_main AS (SELECT g, sum(n) AS size, (array_agg(l ORDER BY n DESC, l))[1] AS main FROM {name}_cells GROUP BY 1),
-{name}_rank AS (SELECT g, (row_number() OVER (PARTITION BY main ORDER BY size DESC, md5('{seed}:' || g), g) - 1) % {2 * folds} AS turn FROM {name}_main),
-{name} AS (SELECT g, CASE WHEN turn < {folds} THEN turn ELSE {2 * folds - 1} - turn END::INT AS fold FROM {name}_rank)"""
+{name}_rank AS (SELECT g, row_number() OVER (ORDER BY main NULLS FIRST, size DESC, md5('{seed}:' || g), g) - 1 AS turn FROM {name}_main),
+{name} AS (SELECT g, ((turn * {splits.stride(folds)} + {folds - 1}) % {folds})::INT AS fold FROM {name}_rank)"""
 
 
 _SPLIT = f"""{MANIFEST}, {_sql_deal('manifest', 'sha256', 'lang', 20, 42, 'dealt')},

@@ -421,7 +421,7 @@ def _folded(t: Tables, folds: int):
 @query()
 def out_of_fold_rows(t: Tables):
     """Each vector once, scored by a linear probe fitted on the other folds."""
-    oof = audit.out_of_fold(_folded(t, 5), "embedding", "label", "fold", 5, lambda: audit.Probe(max_iter=100))
+    oof = audit.out_of_fold(_folded(t, 5), "embedding", "label", "fold", 5, audit.Probe)
     return rounded(oof.select("vec_id", "label", "fold", "pred", F.array_max("probs").alias("conf")))
 
 
@@ -429,7 +429,7 @@ def out_of_fold_rows(t: Tables):
 def probe_report(t: Tables):
     """Linear probe fitted on train and reported per class on val."""
     v = vectors(t).where(F.col("label").isin(*CLASSES))
-    fitted = audit.Probe(max_iter=100).fit(v.where("split = 'train'"), "embedding", "label")
+    fitted = audit.Probe().fit(v.where("split = 'train'"), "embedding", "label")
     out = fitted.predict(v.where("split = 'val'"), "embedding")
     return rounded(metrics.class_report(metrics.cells(out, y="label"), CLASSES))
 

@@ -253,7 +253,8 @@ def with_quality(df: DataFrame) -> DataFrame:
     )
 
 
-_ADVICE = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in gates.ADVICE.items()) + "}"
+HINTS = {k: f"see {k}" for k in ("too_dark", "too_bright", "too_blurry", "low_contrast", "no_leaf", "ood", "low_confidence")}
+_ADVICE = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in HINTS.items()) + "}"
 
 
 def _sql_decide(source: str, name: str = "decided") -> str:
@@ -272,7 +273,7 @@ _DECIDED = f"""{_SCORES}, inputs AS (SELECT id, y, source, split, kind, probs, p
 
 
 def decide_column(score: str = "score"):
-    return gates.decide("probs", score, _gate(), NAMES, TAU, QHAT, TAU_CONF)
+    return gates.decide("probs", score, _gate(), NAMES, TAU, QHAT, TAU_CONF, HINTS)
 
 
 def _decided(t: Tables) -> DataFrame:

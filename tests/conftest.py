@@ -47,24 +47,24 @@ def picture(seed: int, h: int = 192, w: int = 256) -> np.ndarray:
 
 @pytest.fixture(scope="session")
 def image_tree(tmp_path_factory) -> Path:
-    root = tmp_path_factory.mktemp("images")
-    folders = {"Healthy": "Healthy", "Rust": "Rust", "Phoma": "Phoma", "Cercospra": "Cercospora"}
-    for k, folder in enumerate(folders):
-        for i in range(6):
-            place = root / ("train" if i < 4 else "test") / folder
-            place.mkdir(parents=True, exist_ok=True)
-            (place / f"{folder.lower()}_{i:03d}.png").write_bytes(png_bytes(picture(100 * k + i)))
-    train = root / "train" / "Healthy"
-    (train / "empty.png").write_bytes(b"")
-    (train / "broken.png").write_bytes(png_bytes(picture(7))[:2000])
-    (train / "tiny.png").write_bytes(png_bytes(picture(8, 40, 60)))
-    (root / "train" / "Maize").mkdir()
-    (root / "train" / "Maize" / "m.png").write_bytes(png_bytes(picture(9)))
-    (train / "mirror.png").write_bytes(png_bytes(picture(0)[:, ::-1]))
-    (train / "copy of healthy (2).png").write_bytes(png_bytes(picture(1)))
-    (root / "train" / "Rust" / "stolen.png").write_bytes(png_bytes(picture(2)))
-    junk = root / "train" / ".ipynb_checkpoints"
-    junk.mkdir()
-    (junk / "x.png").write_bytes(png_bytes(picture(3)))
-    (train / "notes.txt").write_text("no image")
+    """Pictures of waves in folders by instrument; one folder has another spelling, and odd files lie about."""
+    root = tmp_path_factory.mktemp("waves")
+
+    def put(place: str, data: bytes) -> None:
+        path = root / place
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data)
+
+    for k, folder in enumerate(("Drum", "Flute", "Violine")):
+        for i in range(3):
+            put(f"{'validation' if i == 2 else 'training'}/{folder}/take-{k}{i}.png", png_bytes(picture(50 + 10 * k + i)))
+    put("training/Drum/take-00 (3).png", png_bytes(picture(50)))  # a copy within its class
+    put("validation/Flute/borrowed.png", png_bytes(picture(51)))  # a copy in another class
+    put("training/Flute/upside.png", png_bytes(picture(61)[::-1]))  # turned, so only near
+    put("training/Drum/nothing.png", b"")
+    put("training/Drum/half.png", png_bytes(picture(90))[:1500])
+    put("training/Drum/stamp.png", png_bytes(picture(91, 20, 30)))
+    put("training/Kazoo/solo.png", png_bytes(picture(92)))
+    put("training/__MACOSX/ghost.png", png_bytes(picture(93)))
+    put("training/Drum/score.csv", b"a,b")
     return root

@@ -1,13 +1,11 @@
 from __future__ import annotations
 
-import hashlib
 
-import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sievemark.operators import groups, splits
+from sievemark.session import freeze
 
 
 def manifest(spark, rows):
@@ -66,20 +64,48 @@ def test_hot_copies_and_base_status(spark):
 
 @pytest.fixture(scope="module")
 def grouped(spark):
-    rng = np.random.default_rng(0)
-    group = rng.integers(0, 700, 2000)
-    pdf = pd.DataFrame({"path": [f"p{i}" for i in range(2000)], "group_id": group, "class_id": group % 4, "sha256": [f"s{i}" for i in range(2000)]})
-    return spark.createDataFrame(pdf)
+    """Groups with mixed labels, one giant group, and labels with 1 to 5 groups of their own."""
+    rows = []
+    for g in range(900):
+        for j in range(1 + g % 6):
+            rows.append((f"g{g:03d}", "abc"[(g + (j == 4)) % 3]))
+    rows += [("giant", "a")] * 250
+    for n in range(1, 6):
+        for g in range(n):
+            rows += [(f"rare{n}.{g}", f"r{n}")] * 3
+    rows = [(f"p{i}", g, c, f"s{i}") for i, (g, c) in enumerate(rows)]
+    return freeze(spark.createDataFrame(rows, "path string, group_id string, class_id string, sha256 string"))
+
+
+def test_groups_stay_whole_and_shares_are_near(grouped):
+    out = splits.assign_splits(grouped, "group_id", "class_id").toPandas()
+    assert len(out) == grouped.count() and (out.groupby("group_id")["split"].nunique() == 1).all()
+    usual = out[(out["group_id"] != "giant") & out["class_id"].isin(list("abc"))]
+    for _, part in usual.groupby("class_id"):
+        share = part["split"].value_counts(normalize=True)
+        assert abs(share["train"] - 0.7) < 0.04 and abs(share["val"] - 0.15) < 0.04 and abs(share["test"] - 0.15) < 0.04
 
 
-def test_split_fractions_and_shares(grouped):
+def test_rare_labels_have_training_rows(grouped):
     out = splits.assign_splits(grouped, "group_id", "class_id").toPandas()
-    share = out["split"].value_counts(normalize=True)
-    assert abs(share["train"] - 0.7) < 0.03 and abs(share["val"] - 0.15) < 0.03 and abs(share["test"] - 0.15) < 0.03
-    whole = out["class_id"].value_counts(normalize=True)
-    for _, part in out.groupby("split"):
-        assert (part["class_id"].value_counts(normalize=True) - whole).abs().max() < 0.04
-    assert (out.groupby("group_id")["split"].nunique() == 1).all()
+    for n in range(2, 6):
+        assert "train" in set(out.loc[out["class_id"] == f"r{n}", "split"]), n
+
+
+@pytest.mark.parametrize("folds", [5, 10, 20])
+def test_turns_visit_all_folds_and_part_low_ones(folds):
+    order = [(i * splits.stride(folds) + folds - 1) % folds for i in range(folds)]
+    assert sorted(order) == list(range(folds))
+    low = [f < 0.3 * folds for f in order + order[:1]]
+    assert not any(a and b for a, b in zip(low, low[1:]))
+
+
+def test_rows_without_a_group_are_kept(grouped):
+    gaps = grouped.withColumn("group_id", F.when(F.length("path") > 3, F.col("group_id")))
+    out = splits.assign_splits(gaps, "group_id", "class_id")
+    assert out.count() == grouped.count() and out.where("group_id is null").select("split").distinct().count() == 1
+    folds = splits.cv_folds(out, "group_id", "class_id", 4)
+    assert folds.count() == 4 * out.where("split <> 'test'").count()
 
 
 def test_leaks_are_found(spark, grouped):
@@ -115,11 +141,6 @@ def test_fingerprints(spark):
     base = value(lines)
     assert len(base) == 16 and value(lines[::-1]) == base
     assert value(lines[:-1]) != base and value(lines, ("b", "a")) != base and value(lines + lines[:1]) != base
-    text = spark.createDataFrame([("b",), ("a",), ("é",)], "line string")
-    want = hashlib.sha256("".join(s + "\n" for s in sorted(["b", "a", "é"])).encode()).hexdigest()[:16]
-    assert splits.flat_fingerprint(text, "line") == want
-    with pytest.raises(ValueError):
-        splits.flat_fingerprint(text, "line", max_lines=2)
 
 
 def test_samples_do_not_depend_on_partitions(spark):

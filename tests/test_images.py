@@ -10,54 +10,49 @@ from sievemark.operators import groups, pairs
 from sievemark.session import freeze
 from sievemark.sources import files, images
 
-CLASSES = ["Healthy", "Rust", "Phoma", "Cercospora"]
+CLASSES = ["Drum", "Flute", "Violin"]
 
 
 def scan(spark, root):
-    return files.scan_images(spark, str(root), CLASSES, {"Cercospra": "Cercospora"})
+    return files.scan_images(spark, str(root), CLASSES, {"Violine": "Violin"})
 
 
-def test_listing_skips_junk_and_other_files(spark, image_tree):
+def test_listing_takes_images_only(spark, image_tree):
     paths = [r.path for r in files.list_images(spark, str(image_tree)).collect()]
-    assert len(paths) == 24 + 7
-    assert paths == sorted(paths)
-    assert not any("checkpoints" in p or p.endswith(".txt") for p in paths)
+    assert paths == sorted(paths) and len(paths) == 9 + 7
+    assert not any("ghost" in p or p.endswith(".csv") for p in paths)
 
 
-def test_manifest_issues_and_labels(spark, image_tree):
+def test_manifest_of_good_and_bad_files(spark, image_tree):
     rows = {r.path: r for r in scan(spark, image_tree).collect()}
-    assert len(rows) == 31
-    issue = lambda p: rows[p].issues
-    assert issue("train/Healthy/empty.png") == ["empty_file"]
-    assert rows["train/Healthy/empty.png"].sha256 is None
-    assert issue("train/Healthy/broken.png") == ["unreadable:DecodeError"]
-    assert issue("train/Healthy/tiny.png") == ["too_small"]
-    assert issue("train/Maize/m.png") == ["unknown_label"]
-    good = rows["train/Cercospra/cercospra_000.png"]
-    assert good.is_valid and good.label == "Cercospora" and good.class_id == 3
-    assert (good.width, good.height, good.mode, good.format) == (256, 192, "RGB", "PNG")
-    assert good.source_split == "train" and good.name_pattern == "cercospra_#"
-    assert good.cache_path == f"cercospora/{good.sha256[:20]}.jpg"
-    assert rows["train/Healthy/copy of healthy (2).png"].name_pattern == "copy of healthy"
-
-
-def test_images_group_like_records(spark, image_tree):
-    m = freeze(scan(spark, image_tree)).withColumn("status", groups.base_status(F.col("is_valid"), "path", ["^broken"]))
+    issues = {p: list(r.issues) for p, r in rows.items() if r.issues}
+    assert issues == {
+        "training/Drum/nothing.png": ["empty_file"],
+        "training/Drum/half.png": ["unreadable:DecodeError"],
+        "training/Drum/stamp.png": ["too_small"],
+        "training/Kazoo/solo.png": ["unknown_label"],
+    }
+    assert rows["training/Drum/nothing.png"].sha256 is None
+    r = rows["validation/Violine/take-22.png"]
+    assert (r.is_valid, r.label, r.class_id, r.source_split, r.name_pattern) == (True, "Violin", 2, "validation", "take-#")
+    assert (r.width, r.height, r.mode, r.format) == (256, 192, "RGB", "PNG")
+    assert r.cache_path == f"violin/{r.sha256[:20]}.jpg"
+    assert rows["training/Drum/take-00 (3).png"].name_pattern == "take-#"
+
+
+def test_copies_conflicts_and_turned_pictures(spark, image_tree):
+    m = freeze(scan(spark, image_tree)).withColumn("status", groups.base_status(F.col("is_valid"), "path"))
     variants = m.where("is_valid").groupBy("phash").agg(F.min("phash_d4").alias("v"))
-    near = pairs.variant_pairs(variants, "phash", "v", 5)
-    out, counts = groups.assign_groups(m, signature="phash", variants=near)
+    out, counts = groups.assign_groups(m, signature="phash", variants=pairs.variant_pairs(variants, "phash", "v", 5))
     rows = {r.path: r for r in out.collect()}
-    # an exact copy keeps the first path; a copy under another class is a conflict on both sides
-    copy, first = rows["train/Healthy/copy of healthy (2).png"], rows["train/Healthy/healthy_001.png"]
-    assert {copy.status, first.status} == {"duplicate", "ok"} and first.duplicate_of == copy.path
-    assert rows["train/Rust/stolen.png"].status == rows["train/Healthy/healthy_002.png"].status == "conflict"
-    # a mirrored copy stays but shares the group
-    mirror, original = rows["train/Healthy/mirror.png"], rows["train/Healthy/healthy_000.png"]
-    assert mirror.status == original.status == "ok" and mirror.group_id == original.group_id
-    others = [r.group_id for r in rows.values() if r.status == "ok" and r.path not in (mirror.path, original.path)]
-    assert len(set(others)) == len(others) and original.group_id not in others
-    assert counts.first().near_pairs == 1
-    assert rows["train/Healthy/empty.png"].status == "invalid" and rows["train/Healthy/empty.png"].group_id is None
+    copies = [rows["training/Drum/take-00 (3).png"], rows["training/Drum/take-00.png"]]
+    assert [r.status for r in copies] == ["ok", "duplicate"] and copies[1].duplicate_of == copies[0].path
+    assert {rows[p].status for p in ("training/Drum/take-01.png", "validation/Flute/borrowed.png")} == {"conflict"}
+    turned, plain = rows["training/Flute/upside.png"], rows["training/Flute/take-11.png"]
+    assert turned.status == plain.status == "ok" and turned.group_id == plain.group_id
+    ids = [r.group_id for r in rows.values() if r.status == "ok"]
+    assert len(ids) - len(set(ids)) == 1 and counts.first().near_pairs == 1
+    assert all(r.group_id is None for r in rows.values() if r.status != "ok")
 
 
 def test_measures_follow_the_picture():
