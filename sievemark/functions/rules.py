@@ -55,6 +55,11 @@ def aspect_warnings(width: Column, height: Column, low: float, high: float) -> C
     return all_issues([("aspect", ~(width / height).between(low, high))])
 
 
+def has_entry(entries: Column, name: str) -> Column:
+    """True when a list of issues or warnings holds ``name``; a missing list holds none."""
+    return F.coalesce(F.array_contains(entries, name), F.lit(False))
+
+
 def intake_reason(
     size: Column, kind: Column, pixels: Column, undecodable: Column, max_bytes: int, max_pixels: int
 ) -> Column:

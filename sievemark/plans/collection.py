@@ -182,6 +182,15 @@ def issue_histogram(t: Tables):
     return aggregates.reason_histogram(_issues(t), "issues")
 
 
+@query("""SELECT p_brand, count(*) AS n, count(*) FILTER (NOT (p_size / (p_retailprice / 50.0) BETWEEN 0.5 AND 2.0)) AS warned
+  FROM part GROUP BY 1""")
+def warning_counts(t: Tables):
+    """Parts of each brand, and those whose list of warnings holds one of shape."""
+    w = rules.aspect_warnings(F.col("p_size"), F.col("p_retailprice") / 50.0, 0.5, 2.0)
+    warned = F.count(F.when(rules.has_entry(F.col("w"), "aspect"), 1))
+    return t("part").select("p_brand", w.alias("w")).groupBy("p_brand").agg(F.count("*").alias("n"), warned.alias("warned"))
+
+
 @query("""SELECT p_partkey, CASE WHEN NOT (p_size / (p_retailprice / 50.0) BETWEEN 0.5 AND 2.0) THEN 'aspect' ELSE '' END AS warnings
   FROM part""")
 def aspect_warnings(t: Tables):
@@ -210,7 +219,7 @@ def hex_distance(t: Tables):
 @query(f"""WITH {VECTORS}, pairs AS (SELECT a.vec_id, a.v AS a, b.v AS b FROM emb a JOIN emb b ON b.vec_id = a.vec_id + 1)
 SELECT vec_id, round(list_dot_product(a, b), 6) AS dot,
   round(list_dot_product(a, b) / (greatest(sqrt(list_dot_product(a, a)), 1e-12) * greatest(sqrt(list_dot_product(b, b)), 1e-12)), 6) AS cosine,
-  round(a[1] / greatest(sqrt(list_dot_product(a, a)), 1e-12), 6) AS first_unit FROM pairs""")
+  round(list_sum(a) / greatest(sqrt(list_dot_product(a, a)), 1e-12), 6) AS unit_sum FROM pairs""")
 def vector_algebra(t: Tables):
     e = t("embeddings")
     other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
@@ -218,7 +227,7 @@ def vector_algebra(t: Tables):
     return rounded(
         p.select(
             "vec_id", arrays.dot("embedding", "b").alias("dot"), arrays.cosine("embedding", "b").alias("cosine"),
-            F.get(arrays.unit("embedding"), F.lit(0)).alias("first_unit"),
+            arrays.total(arrays.unit("embedding")).alias("unit_sum"),
         )
     )
 
@@ -353,12 +362,14 @@ def new_content(t: Tables):
     return joins.new_keys(m.select("sha256"), store, "sha256")
 
 
-@query(f"""WITH {VECTORS} SELECT d.doc_id, round(e.v[1], 6) AS first_value, e.v IS NULL AS missing
-  FROM documents d LEFT JOIN emb e ON e.vec_id = d.doc_id * 2""")
+@query(f"""WITH {VECTORS}, a AS (SELECT d.doc_id, e.v FROM documents d LEFT JOIN emb e ON e.vec_id = d.doc_id * 2)
+SELECT doc_id, (unnest(range(0, len(v))))::INT AS dim, round(unnest(v), 6) AS value, false AS missing FROM a WHERE v IS NOT NULL
+UNION ALL SELECT doc_id, NULL, NULL, true FROM a WHERE v IS NULL""")
 def aligned_vectors(t: Tables):
     d = t("documents").select("doc_id", (F.col("doc_id") * 2).alias("key"))
     out = joins.aligned_vectors(d, t("embeddings"), "key", "vec_id", "embedding")
-    return out.select("doc_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first_value"), "missing")
+    cells = out.select("doc_id", "missing", F.posexplode_outer("embedding").alias("dim", "value"))
+    return cells.select("doc_id", "dim", F.round(F.col("value").cast("double"), 6).alias("value"), "missing")
 
 
 @query("SELECT doc_id FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE e.vec_id IS NULL")
@@ -447,10 +458,14 @@ def copy_group_sizes(t: Tables):
     return aggregates.group_sizes(manifest(t).select("sha256"), "sha256")
 
 
-@query("""WITH b AS (SELECT least(floor((l_extendedprice - 0.0) / 2750.0), 39)::INT AS bin FROM lineitem WHERE l_extendedprice BETWEEN 0 AND 110000)
+@query("""WITH r AS (SELECT min(l_extendedprice)::DOUBLE AS low, max(l_extendedprice)::DOUBLE AS high FROM lineitem),
+b AS (SELECT least(floor((l_extendedprice - low) / ((high - low) / 40)), 39)::INT AS bin FROM lineitem, r)
 SELECT g.bin::INT AS bin, count(b.bin) AS n FROM range(40) g(bin) LEFT JOIN b ON b.bin = g.bin GROUP BY 1""")
 def price_histogram(t: Tables):
-    return aggregates.equal_width_histogram(t("lineitem"), "l_extendedprice", 40, 0.0, 110000.0)
+    """Equal bins over the whole range of prices."""
+    li = t("lineitem")
+    low, high = li.agg(F.min("l_extendedprice").cast("double"), F.max("l_extendedprice").cast("double")).first()
+    return aggregates.equal_width_histogram(li, "l_extendedprice", 40, low, high)
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
@@ -597,10 +612,9 @@ def split_by_source(t: Tables):
     return d.groupBy(F.when(number % 3 == 0, "test").otherwise("cal").alias("split"), "source").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_LONG} SELECT l_returnflag, measure, count(*) AS n, round(sum(value), 2) AS total FROM long WHERE measure <> 'price' GROUP BY 1, 2")
+@query(f"WITH {_LONG} SELECT l_returnflag, measure, count(*) AS n, round(sum(value), 2) AS total FROM long GROUP BY 1, 2")
 def melted_measures(t: Tables):
-    long_rows = _long(t).where("measure <> 'price'")
-    return long_rows.groupBy("l_returnflag", "measure").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return _long(t).groupBy("l_returnflag", "measure").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query("""WITH m AS (SELECT o_orderstatus AS metric, o_orderpriority AS cls, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1, 2)

@@ -18,7 +18,7 @@ from sievemark.session import freeze, scratch_path
 from sievemark.sources import tables
 
 CORRUPTIONS = ("blur", "noise")
-FRACTIONS = tuple(i / 10 for i in range(11))
+FRACTIONS = tuple(i / 31 for i in range(32))  # half of an embedding's positions for each curve
 
 
 # ---------------------------------------------------------------- corruption sweep
@@ -148,11 +148,11 @@ def focus_by_class(t: Tables):
 
 def _curves(t: Tables) -> DataFrame:
     e = t("embeddings")
-    part = lambda start: F.transform(F.slice("embedding", start, 11), lambda x: F.abs(x.cast("double")))
-    return e.select("vec_id", part(1).alias("guided"), part(21).alias("random"))
+    part = lambda start: F.transform(F.slice("embedding", start, 32), lambda x: F.abs(x.cast("double")))
+    return e.select("vec_id", part(1).alias("guided"), part(33).alias("random"))
 
 
-_CURVES = """curves AS (SELECT vec_id, list_transform(embedding[1:11], lambda x: abs(x::DOUBLE)) AS guided, list_transform(embedding[21:31], lambda x: abs(x::DOUBLE)) AS random FROM embeddings)"""
+_CURVES = """curves AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: abs(x::DOUBLE)) AS guided, list_transform(embedding[33:64], lambda x: abs(x::DOUBLE)) AS random FROM embeddings)"""
 
 
 @query(f"""WITH {_CURVES} SELECT 'guided' AS curve, step::INT AS step, round(avg(v), 6) AS mean FROM (SELECT unnest(guided) AS v, generate_subscripts(guided, 1) - 1 AS step FROM curves) GROUP BY 2
@@ -161,7 +161,7 @@ def deletion_curves(t: Tables):
     return rounded(rollups.mean_curves(_curves(t), ["guided", "random"]))
 
 
-_AREA = "list_sum(list_transform(range(1, 11), lambda i: 0.1::DOUBLE * ({c}[i] + {c}[i + 1]) / 2))"
+_AREA = "list_sum(list_transform(range(1, 32), lambda i: (1 / 31::DOUBLE) * ({c}[i] + {c}[i + 1]) / 2))"
 
 
 @query(f"""WITH {_CURVES}, a AS (SELECT {_AREA.format(c='guided')} AS g, {_AREA.format(c='random')} AS r FROM curves)

@@ -226,6 +226,20 @@ def group_gallery(t: Tables):
     return members.withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("sha256", "path")
 
 
+@query(f"""WITH {sql_signature('documents', 'doc_id', 'sig')}, {sql_signature('benchmark', 'item_id', 'bank')},
+asked AS (SELECT doc_id % 50 AS key, CASE WHEN doc_id % 7 <> 0 THEN signature END AS signature FROM sig)
+SELECT key, CASE WHEN a.signature IS NOT NULL THEN min(bit_count(xor(a.signature, b.signature)))::INT END AS distance,
+  CASE WHEN a.signature IS NOT NULL THEN min(bit_count(xor(a.signature, b.signature))) <= 8 END AS seen, count(DISTINCT a.r) AS n
+FROM (SELECT *, row_number() OVER () AS r FROM asked) a CROSS JOIN (SELECT signature FROM bank WHERE item_id % 7 <> 0) b GROUP BY a.r, key, a.signature""")
+def nearest_with_gaps(t: Tables):
+    """Queries and bank with missing signatures and repeated keys: NULL in, NULL out, a row for each row."""
+    docs = text_signatures(t("documents"), "doc_id", "text").select(
+        F.pmod("doc_id", F.lit(50)).alias("key"), F.when(F.pmod("doc_id", F.lit(7)) != 0, F.col("signature")).alias("signature")
+    )
+    bank = text_signatures(t("benchmark"), "item_id", "text").select(F.when(F.pmod("item_id", F.lit(7)) != 0, F.col("signature")).alias("signature"))
+    return pairs.nearest_distance(docs, "key", "signature", bank, "signature", 8).withColumn("n", F.lit(1).cast("long"))
+
+
 # ---------------------------------------------------------------- splits
 
 
@@ -278,3 +292,39 @@ FROM open JOIN cv ON g = sha256 CROSS JOIN range(5) f(fold) GROUP BY 1, 2, 3""")
 def cv_fold_counts(t: Tables):
     folds = splits.cv_folds(_split(t), "sha256", "label")
     return folds.groupBy("fold", "role", "label").agg(F.count("*").alias("n"))
+
+
+_PREPARED = f"""{_sql_groups('lang')}, clean AS (SELECT * FROM grouped WHERE status = 'ok'), {_sql_deal('clean', 'group_id', 'label', 20, 42, 'dealt')},
+prepared AS (SELECT path, label, group_id, CASE WHEN fold < 3 THEN 'test' WHEN fold < 6 THEN 'val' ELSE 'train' END AS split FROM clean JOIN dealt ON g = group_id)"""
+
+
+def _prepared(t: Tables):
+    """Statuses, near groups and a split of the rows that are left, by group; stops at a leak."""
+    clean = _grouped(t)[0].where("status = 'ok'")
+    out = freeze(splits.assign_splits(clean, "group_id", "label").select("path", "sha256", "label", "group_id", "split"))
+    splits.require_no_leaks(out, ["sha256", "group_id"])
+    return out
+
+
+@query(f"WITH RECURSIVE {_PREPARED} SELECT path, group_id, split FROM prepared")
+def prepared_splits(t: Tables):
+    return _prepared(t).select("path", "group_id", "split")
+
+
+@query(f"""WITH RECURSIVE {_PREPARED} SELECT coalesce(label, 'total') AS label, coalesce(split, 'total') AS split, count(*) AS n, count(DISTINCT group_id) AS groups
+FROM prepared GROUP BY CUBE (label, split)""")
+def prepared_summary(t: Tables):
+    """Rows and groups per label and split, with margins; a group may hold several labels only in a margin."""
+    out = _prepared(t)
+    cells = out.groupBy("label", "split", "group_id").agg(F.count("*").alias("n"))
+    margins = cells.cube("label", "split").agg(F.sum("n").alias("n"), F.countDistinct("group_id").alias("groups"))
+    return margins.select(F.coalesce("label", F.lit("total")).alias("label"), F.coalesce("split", F.lit("total")).alias("split"), "n", "groups")
+
+
+@query(f"""WITH {_SPLIT}, per AS (SELECT lang, count(*) AS n, count(*) FILTER (split = 'test') AS test, count(*) FILTER (split = 'val') AS val FROM split GROUP BY 1)
+SELECT lang AS label, n, round(test / n, 6) AS test_share, round(val / n, 6) AS val_share FROM per""")
+def split_shares(t: Tables):
+    """How near each class comes to 15 % test and 15 % validation rows."""
+    share = lambda s: F.avg((F.col("split") == s).cast("double"))
+    per = _split(t).groupBy("label").agg(F.count("*").alias("n"), share("test").alias("test_share"), share("val").alias("val_share"))
+    return rounded(per)

@@ -281,7 +281,18 @@ def temperature_grid(t: Tables):
     return rounded(calibration.nll_grid(scored(t), "logits", "y", [0.25, 0.5, 1.0, 2.0, 4.0, 8.0]))
 
 
-@query()
+def _sql_refined(rounds: int = 3, points: int = 64) -> str:
+    """The refined grid over log T as CTEs: each round keeps the neighbours of its best point."""
+    ctes = [f"val AS (SELECT y, logits FROM scored WHERE split = 'val'), span0 AS (SELECT ln(0.05) AS low, ln(20.0) AS high)"]
+    for r in range(rounds):
+        ctes.append(f"""grid{r} AS (SELECT i, low + (high - low) / {points - 1} * i AS g FROM span{r}, range({points}) s(i)),
+nll{r} AS (SELECT i, g, avg(-ln(exp((logits[y + 1] - list_max(logits)) / exp(g)) / list_sum(list_transform(logits, lambda z: exp((z - list_max(logits)) / exp(g)))) + 1e-12)) AS nll FROM val, grid{r} GROUP BY 1, 2),
+best{r} AS (SELECT i, g, nll FROM nll{r} ORDER BY nll, i LIMIT 1),
+span{r + 1} AS (SELECT min(n.g) AS low, max(n.g) AS high FROM nll{r} n, best{r} b WHERE n.i BETWEEN b.i - 1 AND b.i + 1)""")
+    return ",\n".join(ctes) + f"\nSELECT round(nll, 4) AS nll, round(exp(g), 4) AS temperature FROM best{rounds - 1}"
+
+
+@query(f"WITH {SCORED}, {_sql_refined()}")
 def fitted_temperature(t: Tables):
     """Minimiser of the validation NLL by a refined grid (three passes)."""
     s = frozen_scored(t)

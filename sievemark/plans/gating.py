@@ -86,16 +86,29 @@ def mahalanobis_scores(t: Tables):
     return rounded(_mahalanobis(t), 4)
 
 
-@query(f"""WITH {VECTORS}, bank AS (SELECT 'original' AS variant, v FROM emb WHERE split = 'train' AND label < 8 UNION ALL SELECT 'reversed', list_reverse(v) FROM emb WHERE split = 'train' AND label < 8)
-SELECT variant, count(*) AS n, round(avg(v[1] / greatest(sqrt(list_dot_product(v, v)), 1e-12)), 6) AS first_mean FROM bank GROUP BY 1""")
+@query(f"""WITH {VECTORS}, bank AS (SELECT 'original' AS variant, v FROM emb WHERE split = 'train' AND label < 8 UNION ALL SELECT 'reversed', list_reverse(v) FROM emb WHERE split = 'train' AND label < 8),
+cells AS (SELECT variant, (unnest(range(0, len(v))))::INT AS dim, unnest(list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12))) AS x FROM bank)
+SELECT variant, dim, count(*) AS n, round(avg(x), 6) AS mean FROM cells GROUP BY 1, 2""")
 def reference_bank(t: Tables):
     """Unit vectors of every variant of the training vectors, in one bank."""
     train = vectors(t).where(F.col("label").isin(*CLASSES) & (F.col("split") == "train"))
     bank = train.select(F.lit("original").alias("variant"), "embedding").unionByName(
         train.select(F.lit("reversed").alias("variant"), F.reverse("embedding").alias("embedding"))
     )
-    unit = bank.select("variant", arrays.unit("embedding").alias("v"))
-    return rounded(unit.groupBy("variant").agg(F.count("*").alias("n"), F.avg(F.get("v", F.lit(0))).alias("first_mean")))
+    unit = bank.select("variant", F.posexplode(arrays.unit("embedding")).alias("dim", "x"))
+    return rounded(unit.groupBy("variant", "dim").agg(F.count("*").alias("n"), F.avg("x").alias("mean")))
+
+
+@query(f"""WITH {VECTORS}, asked AS (SELECT vec_id, vec_id % 40 AS key, CASE WHEN vec_id % 7 <> 0 THEN v END AS v FROM emb),
+sims AS (SELECT a.vec_id, a.key, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS c
+  FROM asked a CROSS JOIN (SELECT v FROM asked WHERE v IS NOT NULL AND vec_id % 3 = 0) b WHERE a.v IS NOT NULL)
+SELECT a.key, round(r.kth, 6) AS kth FROM asked a LEFT JOIN (SELECT vec_id, list_sort(list(c), 'DESC')[{K}] AS kth FROM sims GROUP BY 1) r USING (vec_id)""")
+def knn_with_gaps(t: Tables):
+    """The cell search with missing vectors and repeated keys: a row for each query row, NULL where there is no vector."""
+    gaps = F.when(F.pmod("vec_id", F.lit(7)) != 0, F.col("embedding"))
+    asked = t("embeddings").select("vec_id", F.pmod("vec_id", F.lit(40)).alias("key"), gaps.alias("v"))
+    bank = asked.where("vec_id % 3 = 0").select(F.col("vec_id").alias("b"), "v")
+    return rounded(kth_cosine(asked, "key", "v", bank, "b", "v", K, bank_bytes=0))
 
 
 _AREAS = """sides AS (SELECT scorer, kind, score, true AS pos FROM long WHERE split = 'cal'
@@ -183,7 +196,7 @@ def quality_bounds(t: Tables):
     return rounded(gates.percentile_bounds(long_rows, "measure", "value"))
 
 
-@query(f"""WITH {_MEASURES}, graded AS (SELECT l_linenumber AS severity, brightness / l_linenumber AS brightness, contrast + l_linenumber AS contrast, sharpness, green_frac FROM measures WHERE l_linenumber <= 5),
+@query(f"""WITH {_MEASURES}, graded AS (SELECT l_linenumber AS severity, brightness / l_linenumber AS brightness, contrast + l_linenumber AS contrast, sharpness, green_frac FROM measures),
 steps AS (SELECT 'brightness' AS measure, severity, avg((brightness > 22)::INT) AS accuracy, quantile_cont(brightness, 0.5) AS m FROM graded GROUP BY 2
   UNION ALL SELECT 'contrast', severity, avg((contrast > 1.2)::INT), quantile_cont(contrast, 0.5) FROM graded GROUP BY 2
   UNION ALL SELECT 'sharpness', severity, avg((sharpness > 35)::INT), quantile_cont(sharpness, 0.5) FROM graded GROUP BY 2),
@@ -198,7 +211,7 @@ def degradation_thresholds(t: Tables):
     names = ["brightness", "contrast", "sharpness"]
     pct = quantiles(m.select(*names).unpivot([], names, "measure", "value"), "value", {"percentile": 0.6}, ["measure"])
     sev = F.col("l_linenumber")
-    graded = m.where("l_linenumber <= 5").select(
+    graded = m.select(
         sev.alias("severity"), (F.col("brightness") / sev).alias("brightness"), (F.col("contrast") + sev).alias("contrast"), "sharpness"
     )
     long_rows = freeze(graded.unpivot(["severity"], names, "measure", "value"))
