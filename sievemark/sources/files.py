@@ -14,9 +14,19 @@ from sievemark.functions.hashing import sniff_format
 from sievemark.sources.images import image_measures
 
 
+_STORE = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*"  # scheme and authority of a file's URI
+
+
 def _plain(path: Column) -> Column:
-    """A comparable form of the file URIs the two sources return."""
-    return F.regexp_replace(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), "^file:/*", "/")
+    """The path of a file within its store, whichever of Spark's sources names it."""
+    return F.regexp_replace(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), _STORE, "/")
+
+
+def _root(spark: SparkSession, folder: str) -> str:
+    """The folder's path within its store, for relative folders and any Hadoop file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toUri().getPath().rstrip("/") + "/"
 
 
 def _raw_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,7 +48,7 @@ def _raw_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, bytes)`` of image files below ``folder``; file contents are not read."""
-    root = folder.rstrip("/") + "/"
+    root = _root(spark, folder)
     rel = F.substring("_file", len(root) + 1, 1 << 20)
     return _raw_files(spark, folder).select(rel.alias("path"), "bytes").orderBy("path")
 
@@ -57,7 +67,7 @@ def scan_images(
     The content hash is computed on the raw bytes, pixels come from Spark's image source; the two
     scans are joined on the path, and only the image branch runs Python.
     """
-    root = folder.rstrip("/") + "/"
+    root = _root(spark, folder)
     raw = _raw_files(spark, folder).select(
         "_file",
         "bytes",

@@ -61,12 +61,19 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HISTORY).json(path)
 
 
+def _only_absent(error: AnalysisException) -> None:
+    """A missing path stands for no data; a refused or broken read stays an error."""
+    if error.getCondition() != "PATH_NOT_FOUND":
+        raise error
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(key, emb); an empty store when nothing was written yet."""
     schema = "key string, emb array<float>"
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        _only_absent(error)
         return spark.createDataFrame([], schema)
 
 
@@ -96,7 +103,8 @@ def read_documents(spark: SparkSession, folder: str, kinds: dict[str, T.StructTy
     for kind, schema in kinds.items():
         try:
             df = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/{kind}/*.json")
-        except AnalysisException:
+        except AnalysisException as error:
+            _only_absent(error)
             df = spark.createDataFrame([], schema)
             out[kind] = df.withColumn(name, F.lit(None).cast("string"))
             continue
