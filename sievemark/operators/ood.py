@@ -50,10 +50,12 @@ def means_matrix(df: DataFrame, vector: str, label: str, classes: Sequence[int])
 
 
 def shrunk_precision(df: DataFrame, vector: str, label: str, means: np.ndarray, classes: Sequence[int]) -> np.ndarray:
-    """Inverse of the Ledoit-Wolf (2004) covariance of residuals to the class means.
+    """Inverse of :func:`shrunk_covariance`, taken on the driver: dims × dims numbers."""
+    return np.linalg.inv(shrunk_covariance(df, vector, label, means, classes))
 
-    Tasks return partial Gram matrices; only the dims × dims inverse is taken on the driver.
-    """
+
+def shrunk_covariance(df: DataFrame, vector: str, label: str, means: np.ndarray, classes: Sequence[int]) -> np.ndarray:
+    """Ledoit-Wolf (2004) covariance of residuals to the class means; tasks return partial Gram matrices."""
     position = {c: i for i, c in enumerate(classes)}
     dims = means.shape[1]
 
@@ -86,7 +88,7 @@ def shrunk_precision(df: DataFrame, vector: str, label: str, means: np.ndarray,
     noise = max((flat[-2] / n - spread) / (n * dims), 0.0)
     gap = (spread - 2 * mu * np.trace(cov) + dims * mu**2) / dims
     shrink = 0.0 if gap == 0 else min(noise, gap) / gap
-    return np.linalg.inv((1 - shrink) * cov + shrink * mu * np.eye(dims))
+    return (1 - shrink) * cov + shrink * mu * np.eye(dims)
 
 
 def scorer_comparison(scores: DataFrame) -> DataFrame:

@@ -80,6 +80,24 @@ def _mahalanobis(t: Tables) -> DataFrame:
     return held.select("vec_id", arrays.quadratic_scores("embedding", means, precision).alias("score"))
 
 
+@query(f"""WITH {VECTORS}, tr AS (SELECT vec_id, label, v FROM emb WHERE split = 'train' AND label < 8),
+x AS (SELECT vec_id, label, unnest(v) AS x, (unnest(range(0, len(v))))::INT AS i FROM tr),
+m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY 1, 2), r AS (SELECT vec_id, x.i, x - m AS r FROM x JOIN m ON m.label = x.label AND m.i = x.i),
+n AS (SELECT count(*)::DOUBLE AS n FROM tr), o AS (SELECT i, avg(r) AS o FROM r GROUP BY 1),
+cov AS (SELECT a.i, b.i AS j, sum(a.r * b.r) / any_value(n.n) - any_value(oa.o) * any_value(ob.o) AS c FROM r a JOIN r b USING (vec_id) JOIN o oa ON oa.i = a.i JOIN o ob ON ob.i = b.i, n GROUP BY 1, 2),
+f AS (SELECT sum(s * s) AS fourth FROM (SELECT sum(r * r) AS s FROM r GROUP BY vec_id)),
+k AS (SELECT sum(c) FILTER (i = j) AS tr, sum(c * c) AS spread, (max(i) + 1)::DOUBLE AS d FROM cov),
+g AS (SELECT tr / d AS mu, (spread - 2 * (tr / d) * tr + d * (tr / d) * (tr / d)) / d AS gap, greatest((fourth / n - spread) / (n * d), 0) AS noise FROM k, f, n)
+SELECT i, j, round((1 - least(noise, gap) / gap) * c + CASE WHEN i = j THEN least(noise, gap) / gap * mu ELSE 0 END, 6) AS value FROM cov, g""")
+def shrunk_covariance(t: Tables):
+    """The shared covariance under the foreignness score, before its inverse."""
+    train = vectors(t).where(F.col("label").isin(*CLASSES) & (F.col("split") == "train"))
+    m = ood.shrunk_covariance(train, "embedding", "label", centroids(t, True), CLASSES)
+    rows = t.spark.createDataFrame([(m.tolist(),)], "m array<array<double>>")  # dims² numbers
+    lines = rows.select(F.posexplode("m").alias("i", "line"))
+    return rounded(lines.select("i", F.posexplode("line").alias("j", "value")))
+
+
 @query()
 def mahalanobis_scores(t: Tables):
     """Smallest quadratic form to a class mean under the shrunk shared covariance (needs an inverse)."""
