@@ -46,26 +46,25 @@ def test_small_tables_are_exact(spark):
 def test_few_rows_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     assert curves.search(spark.createDataFrame([], schema)).count() == 0
-    assert curves.search(spark.createDataFrame([(0, [1.0, 2.0])], schema)).count() == 0
     rows = curves.search(spark.createDataFrame([(20, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [3.0, 1.0])], schema)).collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(rows)] == [(20, 1, 1, 5.0), (20, 2, 2, 5.0)]
 
 
 def test_recall_with_small_blocks_and_a_hot_vector(spark):
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(1500, 8)) * rng.uniform(0.5, 2, size=(1500, 1))
-    x[500:1000] = x[500]
+    x = rng.normal(size=(900, 5)) * rng.uniform(0.5, 2, size=(900, 1))
+    x[500:800] = x[500]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {}
     for r in curves.search(df, k=10, block=64).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     hits = 0
-    for q in range(0, 1500, 20):
+    for q in range(0, 900, 20):
         scores = x @ x[q]
         scores[q] = -np.inf
         least = np.sort(scores)[-10]
         hits += sum(s >= least - 1e-9 for _, _, s in got[q])
         assert len(got[q]) == 10 and len({i for _, i, _ in got[q]}) == 10 and q not in {i for _, i, _ in got[q]}
-    assert hits >= 0.9 * 10 * 75
+    assert hits >= 0.9 * 10 * 45
     hot = [i for _, i, _ in sorted(got[500])]
     assert hot[:10] == list(range(501, 511)) or min(hot) < 500  # copies come in the order of their ids
