@@ -11,8 +11,9 @@
 Files are written by Spark's text writer with the block mark as line separator: a row is a block.
 
 The tokenizer's byte-level pre-tokenizer never joins what stands on both sides of a single blank, so texts
-are cut there and each cut is encoded once and remembered; texts with runs of blanks, and tokenizers with
-other rules, go through the library whole.
+are cut there and each cut is remembered. A new cut is a word of letters and a rest, which that
+pre-tokenizer parts as well; new words go through the library many at a time. Texts with runs of blanks,
+and tokenizers with other rules, go through it whole.
 
 Cases: a null or empty text is the end id alone. Null document ids come first; repeated ids keep all their
 rows, in the order of their checksums. An empty table gives no file and an empty result. A document of any
@@ -40,13 +41,15 @@ LIMIT = 16  # bits of the longest code, and of the decoding table
 CHECKPOINT = 128  # ids between two bit offsets
 BLOCK = 1 << 17  # ids of a block
 FILE = 1 << 23  # ids that a file should hold
-CACHE = 200_000  # remembered pieces of a worker; a full memory starts anew
+CACHE = 200_000  # remembered beginnings and rests of a worker, and three times as many cuts; a full memory starts anew
+TOGETHER = 500  # new words that the library encodes as one text
 END_ID = 2
 
 MARK = b"\x00#\x00#BLK\n"  # after every block; lengths, not marks, tell a reader where blocks end
 HEADER, BODY = b"HUFH", b"HUFB"
 
 _odd = re.compile(r"\s (?:\s|\Z)")
+_letters = re.compile(r"[^\W\d_]+")
 _tokenizers: dict[str, Encoder] = {}
 
 
@@ -69,28 +72,63 @@ class Encoder:
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.rests: dict[str, bytes] = {}
+        self.starts = np.zeros(self.library.get_vocab_size(), bool)  # ids that begin with the sign for a blank
+        for token, i in self.library.get_vocab().items():
+            self.starts[i] = token.startswith("Ġ")
 
     def _library_ids(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
         return [np.array(e.ids, kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, memory: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = list(pieces - memory.keys())
+    def _learn(self, memory: dict[str, bytes], pieces: set[str], before: str = "") -> None:
+        new = [p for p in pieces if p not in memory]
         memory.update(zip(new, self._library_ids([before + p for p in new]), strict=True))
 
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters after a blank: each begins with the one id of its own that shows a blank."""
+        parts = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        made = self.library.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)
+        for part, encoding in zip(parts, made, strict=True):
+            ids = np.array(encoding.ids, np.int64)
+            data = ids.astype(f"<u{self.width}").tobytes()
+            edges = [*(np.flatnonzero(self.starts[ids]) * self.width).tolist(), len(data)]
+            self.later.update(zip(part, map(data.__getitem__, map(slice, edges, edges[1:])), strict=True))
+
+    def _learn_cuts(self, new: set[str]) -> None:
+        """What follows a blank: a word, a word and a rest, or else a piece for the library."""
+        later, rests = self.later, self.rests
+        words = {c for c in new if c.isalpha()}
+        parted, whole = [], set()
+        for cut in new - words:
+            m = _letters.match(cut)
+            if m and m[0].isalpha():
+                parted.append((cut, m[0], cut[m.end() :]))
+            else:
+                whole.add(cut)
+        words.update(w for _, w, _ in parted if w not in later)
+        self._learn_words(list(words))
+        self._learn(rests, {r for _, _, r in parted})
+        self._learn(later, whole, " ")
+        later.update((c, later[w] + rests[r]) for c, w, r in parted)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self._library_ids(texts)
-        if len(self.first) + len(self.later) > CACHE:
-            self.first.clear()
-            self.later.clear()
+        for memory, most in ((self.first, CACHE), (self.later, 3 * CACHE), (self.rests, CACHE)):
+            if len(memory) > most:
+                memory.clear()
         whole = [i for i, t in enumerate(texts) if _odd.search(t)]
         odd = dict(zip(whole, self._library_ids([texts[i] for i in whole]), strict=True))
         parts = [[] if i in odd else t.split(" ") for i, t in enumerate(texts)]
-        self._learn(self.first, {p[0] for p in parts if p}, "")
-        self._learn(self.later, {w for p in parts for w in p[1:]}, " ")
-        get = self.later.__getitem__
-        return [odd[i] if i in odd else self.first[p[0]] + b"".join(map(get, p[1:])) for i, p in enumerate(parts)]
+        self._learn(self.first, {p[0] for p in parts if p})
+        known = self.later.get
+        ids = [list(map(known, p[1:])) for p in parts]
+        holes = [(i, at) for i, found in enumerate(ids) if None in found for at, b in enumerate(found) if b is None]
+        self._learn_cuts({parts[i][at + 1] for i, at in holes})
+        for i, at in holes:
+            ids[i][at] = known(parts[i][at + 1])
+        return [odd[i] if i in odd else self.first[p[0]] + b"".join(ids[i]) for i, p in enumerate(parts)]
 
 
 def encoder(path: str) -> Encoder:
@@ -130,8 +168,10 @@ def id_counts(ids: DataFrame) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for width, cell in zip(batch.column("width").to_pylist(), batch.column("ids"), strict=True):
-                found = np.bincount(np.frombuffer(cell.as_buffer(), f"<u{width}"))
+            for at in range(0, batch.num_rows, 256):  # one count for many short documents
+                part = batch.slice(at, 256)
+                cells = zip(part.column("width").to_pylist(), part.column("ids"), strict=True)
+                found = np.bincount(np.concatenate([np.frombuffer(c.as_buffer(), f"<u{w}") for w, c in cells]))
                 if len(found) > len(total):
                     total = np.pad(total, (0, len(found) - len(total)))
                 total[: len(found)] += found

@@ -51,8 +51,8 @@ def test_bits_round_trip_from_every_checkpoint(n):
 
 def test_cuts_at_blanks_do_not_change_the_ids():
     rng = random.Random(0)
-    parts = [" ", " ", " ", "\n", "a", "b", "é", "'s", "1", "<|endoftext|>", ".", "\t", "xyz", "\x1c", "　"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(8000)]
+    parts = [" ", " ", " ", "\n", "a", "b", "é", "'s", "1", "<|endoftext|>", ".", "\t", "xyz", "\x1c", "　", "²", "Ⅷ", "'ll", "é", "中", "_", "-", "e\u0301"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(20000)]
     library, ours = Tokenizer.from_file(PATH), huffman.Encoder(PATH)
     assert ours.cuts
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
