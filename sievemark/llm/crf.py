@@ -32,6 +32,7 @@ from sievemark.llm.common import texts, with_columns
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 TRAIN_DOCS = 300
+SPARE = 4  # times as many texts of a language pass the first, hashed choice on average
 TRAIN_WORDS = 240
 SEQUENCE = 64  # words of a training chain
 EPOCHS = 6
@@ -250,7 +251,7 @@ class Labeller:
         split = [t.split() for t in chunk]
         if len(self.known) > CACHE:
             self.known, self.rows, self.lettered = {}, self.rows[:0], self.lettered[:0]
-        new = sorted({w for s in split for w in s} - self.known.keys())
+        new = sorted(w for w in {w for s in split for w in s} if w not in self.known)
         if new:
             plain = [letters(w) for w in new]
             rows = self.model.emissions(plain)
@@ -289,8 +290,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
     """A model of the labelled rows of ``docs``; at most TRAIN_DOCS texts of a language, and a window of each, reach the driver."""
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    labelled = docs.where(F.col(lang).isNotNull())
+    # one row for each language, as in the model; a hash thins out large ones before any text moves
+    sizes = labelled.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n")).collect()
+    if not sizes:
+        return None
+    shares = docs.sparkSession.createDataFrame([(r["_lang"], SPARE * TRAIN_DOCS / r["_n"]) for r in sizes], "lang string, share double")
+    rows = labelled.where(F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40) < F.col("share"))
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(2)), "text")
     chosen = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= TRAIN_DOCS)
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     spare = F.greatest(F.size("w") - TRAIN_WORDS, F.lit(0)) + 1
