@@ -41,7 +41,7 @@ LIMIT = 16  # bits of the longest code, and of the decoding table
 CHECKPOINT = 128  # ids between two bit offsets
 BLOCK = 1 << 17  # ids of a block
 FILE = 1 << 23  # ids that a file should hold
-CACHE = 200_000  # remembered beginnings and rests of a worker, and three times as many cuts; a full memory starts anew
+CACHE = 250_000  # remembered beginnings and rests of a worker, and four times as many cuts; a full memory starts anew
 TOGETHER = 500  # new words that the library encodes as one text
 END_ID = 2
 
@@ -115,7 +115,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self._library_ids(texts)
-        for memory, most in ((self.first, CACHE), (self.later, 3 * CACHE), (self.rests, CACHE)):
+        for memory, most in ((self.first, CACHE), (self.later, 4 * CACHE), (self.rests, CACHE)):
             if len(memory) > most:
                 memory.clear()
         whole = [i for i, t in enumerate(texts) if _odd.search(t)]
@@ -240,20 +240,30 @@ def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The codes one after another, first bit highest, and the bit offset of every checkpoint."""
-    size = lengths[ids].astype(np.int64)
-    end = np.cumsum(size)
+    """The codes one after another, first bit highest, and the bit offset of every checkpoint.
+
+    ``codes`` are moved to the high end of 64 bits, see :func:`high_codes`.
+    """
+    size = lengths[ids]
+    end = np.cumsum(size, dtype=np.int64)
     start = end - size
-    word, room = start >> 5, (64 - (start & 31) - size).astype(np.uint64)
-    pair = codes[ids] << room  # within the 64 bits that begin at the word
+    word = start >> 5
+    pair = codes[ids] >> (start & 31).view(np.uint64)  # within the 64 bits that begin at the word
     first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    whole = np.add.reduceat(pair, first)  # the codes of a word share no bit
     words = np.zeros(int(end[-1] >> 5) + 2, np.uint64)
     at = word[first]
-    words[at] += np.add.reduceat(pair >> np.uint64(32), first)
-    words[at + 1] += np.add.reduceat(pair & np.uint64(0xFFFFFFFF), first)
+    words[at] += whole >> np.uint64(32)
+    words[at + 1] += whole & np.uint64(0xFFFFFFFF)
     return words.astype(">u4").tobytes(), start[::CHECKPOINT]
 
 
+def high_codes(lengths: np.ndarray) -> np.ndarray:
+    """The canonical codes with their first bit in the highest of 64."""
+    room = np.where(lengths > 0, 64 - lengths.astype(np.int64), 0).astype(np.uint64)
+    return canonical_codes(lengths) << room
+
+
 def decode_bits(bits: bytes, offsets: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """All checkpoints of a block go on by one id in each step."""
     symbols, sizes = table
@@ -294,7 +304,7 @@ def write_ids(ids: DataFrame, lengths: np.ndarray, path: str) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = table.value
-        codes = canonical_codes(sizes)
+        codes = high_codes(sizes)
         waiting: list[np.ndarray] = []
         starts: list[tuple[int | None, int]] = []
         held, begun = 0, False
