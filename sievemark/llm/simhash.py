@@ -195,7 +195,8 @@ def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     groups = stored(components(printed, doc_id, radius=radius), "groups")
     # the id that names a group names its survivor; ids without any are few and are told apart by fingerprint
     names = groups.select(F.col("component_id").alias("_keep")).where("_keep is not null").distinct()
-    kept = docs.join(names, docs[doc_id] == names["_keep"], "left_semi")
+    # a hash join whatever the size of the list: texts move once, without a sort, at every size alike
+    kept = docs.join(names.hint("shuffle_hash"), docs[doc_id] == names["_keep"], "left_semi")
     again = stored(printed.groupBy(doc_id).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(doc_id).alias("_again")), "repeats")
     if not again.isEmpty():
         same = F.col(doc_id) == F.col("_again")
