@@ -13,16 +13,21 @@ a card number stays as it was.
 ``collisions`` checks this on the corpus: it counts, in Spark, surrogates that stand for more than one
 canonical value and values that kept themselves; ``pseudonymised`` raises if there is one.
 
-Cases: null and empty texts stay null and empty. A value of an alphabet with a single form (``0``-length
-formats) cannot be changed and is masked with ``*``. Texts of any length are read whole. Equal rows give
-equal results; an empty table gives an empty table. Columns of the input with the name of an output are
-replaced, the text among them.
+Digits of any script are read by their decimal value and written in their script again; letters of a script
+without an alphabet of its own here share one with the letters of their kind in their Unicode page.
+
+Cases: null and empty texts stay null and empty. A value without letters and digits has a single form: it is
+masked with ``*`` (or stays, if it is a mask already), its entity says so, and the check leaves it out.
+Texts of any length are read whole. Equal rows give equal results; an empty table gives an empty table.
+Columns of the input with the name of an output are replaced, the text among them.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -64,7 +69,7 @@ _hex_of = {c: ("0123456789abcdef", i) for i, c in enumerate("0123456789abcdef")}
 _given = {n: k for k, names in GIVEN.items() for n in names}
 
 
-def _place(c: str) -> tuple[str, int] | None:
+def _set_place(c: str) -> tuple[str, int] | None:
     found = _alphabet_of.get(c)
     if found is None and ord(c) > 0x500:
         for first, last in BLOCKS:
@@ -73,6 +78,23 @@ def _place(c: str) -> tuple[str, int] | None:
     return found
 
 
+def _script(c: str) -> tuple[str, str, bool]:
+    return unicodedata.category(c), unicodedata.name(c, "").partition(" ")[0], _fold(c) == c
+
+
+@functools.lru_cache(1 << 16)
+def _place(c: str) -> tuple[str, int] | None:
+    found = _set_place(c)
+    if found is None and c.isdecimal():
+        zero = ord(c) - unicodedata.decimal(c)
+        return f"{zero}-{zero + 9}", ord(c) - zero
+    if found is None and c.isalpha():
+        page = ord(c) & ~0x7F
+        alphabet = "".join(x for x in map(chr, range(page, page + 0x80)) if _script(x) == _script(c) and _set_place(x) is None)
+        return alphabet, alphabet.index(c)
+    return found
+
+
 def _radix(alphabet: str) -> int:
     if "-" in alphabet:
         first, last = map(int, alphabet.split("-"))
@@ -152,6 +174,12 @@ def shifted(key: bytes, kind: str, canonical: str, hexadecimal: bool = False, ac
             return made
 
 
+def _still(kind: str, canonical: str) -> bool:
+    """Whether a value has a single form, so that it can only be masked."""
+    moving = canonical.rpartition(".")[0] if kind == "email" else canonical
+    return all(p is None or _radix(p[0]) == 1 for p in map(_place, moving))
+
+
 def dressed(made: str, original: str) -> str:
     """Letter case of the original, character by character."""
     return "".join(m.upper() if o.isupper() and len(m.upper()) == 1 else m for m, o in zip(made, original, strict=True))
@@ -171,7 +199,13 @@ def _fold(value: str) -> str:
 
 
 def _digits_only(value: str) -> str:
-    return "".join(c for c in value if c in "0123456789")
+    """The digits of any script as 0-9."""
+    return "".join(str(unicodedata.decimal(c)) for c in value if c.isdecimal())
+
+
+def _as_in(c: str, digit: str) -> str:
+    """A digit 0-9 in the script of ``c``."""
+    return chr(ord(c) - unicodedata.decimal(c) + int(digit))
 
 
 def _relaid(made: str, layout: str, skip: int = 0) -> str:
@@ -180,9 +214,9 @@ def _relaid(made: str, layout: str, skip: int = 0) -> str:
     seen = 0
     out = []
     for c in layout:
-        if c in "0123456789":
+        if c.isdecimal():
             seen += 1
-            c = c if seen <= skip else next(rest)
+            c = c if seen <= skip else _as_in(c, next(rest))
         out.append(c)
     return "".join(out)
 
@@ -216,7 +250,8 @@ def ip(key: bytes, value: str, _: str) -> list[tuple[str, str, str, str]]:
         x = x << 8 | int(part)
     x = Permutation(key, "ip", 1 << 32).next(x)
     made = ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
-    return [("ip", ".".join(str(int(p)) for p in value.split(".")), made, made)]
+    text = "".join(_as_in(value[0], c) if c != "." else c for c in made)
+    return [("ip", ".".join(str(int(p)) for p in value.split(".")), made, text)]
 
 
 def secret(key: bytes, value: str, _: str) -> list[tuple[str, str, str, str]]:
@@ -276,8 +311,8 @@ def spans(text: str) -> list[tuple[int, int, str, Callable]]:
     return sorted(found, key=lambda s: s[:2])
 
 
-def replaced(key: bytes, text: str) -> tuple[str, list[tuple[str, str, str, int, int]]]:
-    """The text with surrogates, and (kind, canonical, surrogate, start, end) of each replaced value."""
+def replaced(key: bytes, text: str) -> tuple[str, list[tuple[str, str, str, int, int, bool]]]:
+    """The text with surrogates, and (kind, canonical, surrogate, start, end, masked) of each replaced value."""
     out, at, told = [], 0, []
     for start, end, kind, make in spans(text):
         parts = make(key, text[start:end], kind)
@@ -289,13 +324,13 @@ def replaced(key: bytes, text: str) -> tuple[str, list[tuple[str, str, str, int,
             new = words[0]
         out += [text[at:start], new]
         at = end
-        told += [(k, canonical, made, start, end) for k, canonical, made, _ in parts]
+        told += [(k, canonical, made, start, end, _still(k, canonical)) for k, canonical, made, _ in parts]
     out.append(text[at:])
     return "".join(out), told
 
 
-SPAN = pa.struct([("kind", pa.string()), ("value", pa.string()), ("surrogate", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-OUTPUTS = "{text} string, entities array<struct<kind:string,value:string,surrogate:string,start:long,end:long>>"
+SPAN = pa.struct([("kind", pa.string()), ("value", pa.string()), ("surrogate", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("masked", pa.bool_())])
+OUTPUTS = "{text} string, entities array<struct<kind:string,value:string,surrogate:string,start:long,end:long,masked:boolean>>"
 
 
 def with_surrogates(docs: DataFrame, text: str = "text", key: bytes = KEY, keep: list[str] | None = None) -> DataFrame:
@@ -306,15 +341,18 @@ def with_surrogates(docs: DataFrame, text: str = "text", key: bytes = KEY, keep:
         for value in batch.column(text).to_pylist():
             new, found = (value, []) if not value else replaced(key, value)
             texts.append(new)
-            told.append([dict(zip(("kind", "value", "surrogate", "start", "end"), f, strict=True)) for f in found])
+            told.append([dict(zip(SPAN.names, f, strict=True)) for f in found])
         return {text: pa.array(texts, pa.string()), "entities": pa.array(told, pa.list_(SPAN))}
 
     return with_columns(docs, OUTPUTS.format(text=f"`{text}`"), compute, keep)
 
 
 def collisions(entities: DataFrame) -> DataFrame:
-    """Kinds and surrogates that stand for several values, or for themselves: empty if all is right."""
-    each = entities.select(F.explode("entities").alias("e")).select("e.kind", "e.value", "e.surrogate").distinct()
+    """Kinds and surrogates that stand for several values, or for themselves: empty if all is right. Masked values are left out."""
+    spans_ = entities.select(F.explode("entities").alias("e"))
+    if "masked" in entities.schema["entities"].dataType.elementType.names:
+        spans_ = spans_.where("not e.masked")
+    each = spans_.select("e.kind", "e.value", "e.surrogate").distinct()
     shared = each.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return shared.unionByName(each.where("value = surrogate").select("kind", "surrogate"))
 
