@@ -32,7 +32,6 @@ from sievemark.llm.common import texts, with_columns
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 TRAIN_DOCS = 300
-SPARE = 4  # times as many texts of a language pass the first, hashed choice on average
 TRAIN_WORDS = 240
 SEQUENCE = 64  # words of a training chain
 EPOCHS = 6
@@ -289,21 +288,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
-    """A model of the labelled rows of ``docs``; at most TRAIN_DOCS texts of a language, and a window of each, reach the driver."""
+    """A model of the labelled rows of ``docs``; at most TRAIN_DOCS distinct texts of a language, and a window of each, reach the driver."""
     labelled = docs.where(F.col(lang).isNotNull())
-    # one row for each language, as in the model; a hash thins out large ones before any text moves
-    sizes = labelled.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n")).collect()
-    if not sizes:
-        return None
-    shares = docs.sparkSession.createDataFrame([(r["_lang"], SPARE * TRAIN_DOCS / r["_n"]) for r in sizes], "lang string, share double")
-    rows = labelled.where(F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40) < F.col("share"))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(2)), "text")
-    chosen = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= TRAIN_DOCS)
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = labelled.where(F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(2)))
+    # places go to distinct texts, by their hashes alone: before any text moves, at least one for each language
+    w = Window.partitionBy("lang").orderBy("h")
+    places = rows.select("lang", "h").distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= TRAIN_DOCS).drop("_r")
+    chosen = rows.join(F.broadcast(places), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    # words with letters, the only ones that are learned from
+    words = F.regexp_extract_all("text", F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]*+\p{L}[^\x20\x09-\x0D]*+"), F.lit(0))
     spare = F.greatest(F.size("w") - TRAIN_WORDS, F.lit(0)) + 1
     window = F.slice("w", (F.pmod(F.xxhash64("text", F.lit(1)), spare) + 1).cast("int"), TRAIN_WORDS)
-    cut = chosen.withColumn("w", words).where(F.size("w") > 0).select("lang", F.array_join(window, " ").alias("text"))
+    cut = chosen.withColumn("w", words).select("lang", F.array_join(window, " ").alias("text"))
     return trained([(r.lang, r.text) for r in cut.collect()])
 
 

@@ -65,3 +65,20 @@ def test_awkward_documents(spark):
     assert crf.identify(spark.createDataFrame([], SCHEMA), model).count() == 0
     assert crf.fit(spark.createDataFrame([], SCHEMA)) is None
     assert len(crf.identify(docs, model).collect()) == len(AWKWARD)
+
+
+def test_copies_and_wordless_texts_take_no_places(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = []
+    monkeypatch.setattr(crf, "trained", lambda rows: seen.extend(rows))
+    few = spark.range(20_000).select(
+        F.concat(F.lit("copy"), (F.col("id") % 3).cast("string"), F.lit(" of a text")).alias("text"), F.concat(F.lit("l"), (F.col("id") % 8).cast("string")).alias("lang")
+    )
+    one = spark.range(8 * 2_500).select(F.concat(F.lit("only text of "), (F.col("id") % 8).cast("string")).alias("text"), F.concat(F.lit("s"), (F.col("id") % 8).cast("string")).alias("lang"))
+    many = spark.range(3_000).select(F.concat(F.lit("word"), F.col("id").cast("string")).alias("text"), F.lit("many"))
+    blank = spark.range(5_000).select(F.when(F.col("id") % 3 > 0, F.concat(F.repeat(F.lit(" "), F.col("id").cast("int")), F.when(F.col("id") % 3 > 1, F.col("id").cast("string")).otherwise(""))).alias("text"), F.lit("many"))
+    crf.fit(few.unionByName(one).union(many).union(blank))
+    counts = {k: [t for lang, t in seen if lang == k] for k in {lang for lang, _ in seen}}
+    assert {k: len(v) for k, v in counts.items()} == {f"l{i}": 3 for i in range(8)} | {f"s{i}": 1 for i in range(8)} | {"many": crf.TRAIN_DOCS}
+    assert all(len(set(v)) == len(v) and all(any(map(str.isalpha, t)) for t in v) for v in counts.values())
