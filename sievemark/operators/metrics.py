@@ -6,17 +6,19 @@ shrinks any table to at most classes² rows per group.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import accumulate
 from math import exp, factorial
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievemark.functions.arrays import argmax
-from sievemark.functions.hashing import hash_order
 from sievemark.operators.ordered import quantile_bin, quantiles, with_position, with_running_sums
 
 
@@ -204,20 +206,33 @@ def poisson_cells(df: DataFrame, key: str, columns: Sequence[str], replicates: i
     """Confusion cells of every replicate in one pass over the rows: ``(*columns, rep, n)``.
 
     Each row gets a Poisson(1) weight per replicate from its hash (four per digest): the number of
-    cumulative steps its uniform number has reached. Weights are summed as one column per
-    replicate, so the rows are neither multiplied nor shuffled. Written as SQL text because the
-    expression is wide.
+    cumulative steps its uniform number has reached. A task sums the weights of its rows cell by cell,
+    so only cells leave it, whatever the number of rows or replicates.
     """
-    steps = "array(" + ", ".join(f"{p!r}D" for p in POISSON_STEPS) + ")"
-    digests = [hash_order(f"{seed}{d}", key).alias(f"d{d}") for d in range(-(-replicates // 4))]
-    rows = df.select(*columns, *digests)
-    weights = [
-        f"conv(substring(d{b // 4}, {1 + 8 * (b % 4)}, 8), 16, 10) / 4294967296D as u{b}" for b in range(replicates)
-    ]
-    sums = [F.expr(f"sum(size(filter({steps}, s -> s <= u{b})))").alias(f"w{b}") for b in range(replicates)]
-    wide = rows.selectExpr(*[f"`{c}`" for c in columns], *weights).groupBy(*columns).agg(*sums)
-    pairs = ", ".join(f"named_struct('rep', {b}, 'n', w{b})" for b in range(replicates))
-    return wide.select(*columns, F.expr(f"inline(array({pairs}))")).where("n > 0")
+    rows = df.select(*columns, F.col(key).cast("string").alias("_key"))
+    schema = T.StructType([*rows.drop("_key").schema, T.StructField("rep", T.IntegerType()), T.StructField("n", T.LongType())])
+    steps = np.array(POISSON_STEPS)
+    heads = [f"{seed}{d}:" for d in range(-(-replicates // 4))]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in columns]
+            *labels, keys = (batch.column(c).to_pylist() for c in [*columns, "_key"])
+            for k, *cell in zip(keys, *labels, strict=True):
+                if k is None:  # as in SQL: no hash, no weight
+                    continue
+                digests = b"".join(hashlib.md5((head + k).encode()).digest() for head in heads)
+                u = np.frombuffer(digests, ">u4")[:replicates] / 2**32
+                sums = cells.setdefault(tuple(cell), np.zeros(replicates, np.int64))
+                sums += np.searchsorted(steps, u, side="right")
+        for cell, sums in cells.items():
+            drawn = np.flatnonzero(sums)
+            arrays = [pa.array([v] * len(drawn), kind) for v, kind in zip(cell, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(drawn, pa.int32()), pa.array(sums[drawn])], schema.names)
+
+    parts = rows.mapInArrow(draw, schema)
+    return parts.groupBy(*columns, "rep").agg(F.sum("n").alias("n"))
 
 
 def confidence_buckets(df: DataFrame, conf: str, correct: str, edges: Sequence[float]) -> DataFrame:

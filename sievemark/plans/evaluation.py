@@ -139,7 +139,7 @@ def _sql_poisson(seed_key: str) -> str:
     return f"(CASE {steps} ELSE {len(metrics.POISSON_STEPS)} END)"
 
 
-_REPS = 32
+_REPS = 2000
 _WEIGHTED = f"""draws AS (SELECT *, ('0x' || substr(md5('boot' || (rep // 4) || ':' || id), (1 + 8 * (rep % 4))::INT, 8))::BIGINT / 4294967296.0 AS u
   FROM {{rows}} CROSS JOIN (SELECT unnest(range({_REPS})) AS rep)), weighted AS (SELECT *, {_sql_poisson('')} AS w FROM draws)"""
 
