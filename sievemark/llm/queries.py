@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievemark.llm import crf, curves, huffman, licenses, mixing, packing, quality, simhash, surrogates, warc
+from sievemark.llm import crf, curves, huffman, licenses, mixing, packing, quality, simhash, surrogates, warc, whitening
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "text", *counts)
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_license_scan": op9_license_scan,
     "op10_surrogates": op10_surrogates,
+    "op11_whitening": op11_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
