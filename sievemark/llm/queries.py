@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievemark.llm import crf, curves, huffman, licenses, mixing, packing, quality, simhash, surrogates, warc, whitening
+from sievemark.llm import crf, curves, huffman, licenses, mixing, packing, pstable, quality, ranking, simhash, surrogates, warc, whitening
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -68,6 +68,14 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(_table(spark, folder, "embeddings"))
 
 
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op13_pstable_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return pstable.near_copies(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
@@ -80,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_surrogates": op10_surrogates,
     "op11_whitening": op11_whitening,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_pstable_copies": op13_pstable_copies,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -87,6 +97,7 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.oracle(),
     "op2_warc": warc.oracle(),
     "op7_source_mixture": mixing.oracle(),
+    "op12_ranked_search": ranking.oracle(),
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
