@@ -3,24 +3,28 @@
 Largest inner product becomes smallest distance with one more coordinate, sqrt(M² - |x|²) for a row and 0
 for a query, where M is the largest norm. Each curve projects these vectors on a few random directions,
 shifts the grid by a random offset and orders all rows by their place on the Hilbert curve. Spark sorts by
-(curve, key) in ranges, positions are cut into blocks of equal size, and a query is compared with its own
-block and the two beside it: no block grows with the data, whatever the keys. Candidates of all curves are
+(curve, key) in ranges, the positions of each curve are cut into blocks of equal size, and a query is compared
+with three blocks of each curve, its own in the middle where there is one on either side: no block grows with
+the data, whatever the keys, and a table of up to three blocks is compared whole. Candidates of all curves are
 merged and ranked by the exact inner product.
 
 Equal vectors are one class (with its k + 1 smallest ids, more are never needed), so a vector that a third
 of the rows share neither fills blocks nor hides others, and its queries are answered once.
 
 Curves are added until the recall of a bounded sample of queries, measured against all rows, reaches the
-target. How many are needed grows with the number of rows and their dimension.
+target. How many are needed grows with the number of rows and their dimension. Where MOST curves are not
+enough, the queries are compared with all rows instead, block by block, so a search always ends.
 
 Cases: vectors that are null, zero or hold a null, NaN or infinite component take no part, nor do rows
 without an id or with another number of components than most. A repeated (id, vector) counts once; rows
-with the id of a query are its own. Ties go to the smaller id. An empty table gives an empty table. Columns
+with the id of a query are its own. Ties go to the smaller id. Entries so large that an inner product
+overflows keep their order, by the products of the rows scaled down; their score is what doubles give. An empty table gives an empty table. Columns
 besides id and vector are not returned.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +40,9 @@ EVERY = 20  # ids divisible by it are queries
 DIRECTIONS = 4
 BITS = 8  # a direction has 2^BITS cells
 BLOCK = 2048
-CURVES, MORE_CURVES = 8, 4
+CURVES, MORE_CURVES, MOST = 8, 4, 32
 TARGET = 0.95
+ASKED = 4096  # queries of a block that is compared with all rows
 MEASURED = 256  # queries of which the recall is measured
 FITTED = 10_000  # rows from which the spread of the projections is taken
 SEED = 20
@@ -72,20 +77,25 @@ def matrix(batch: pa.RecordBatch, name: str, size: int) -> np.ndarray:
 
 def exact_scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products of paired rows; the order of summation depends on nothing but the length."""
-    return np.ascontiguousarray(queries * rows).sum(axis=1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.ascontiguousarray(queries * rows).sum(axis=1)
 
 
 def best(queries: np.ndarray, rows: np.ndarray, first: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, row numbers, exact scores) of its k best rows, ties to the smaller first id."""
+    largest = np.abs(rows).max(initial=0.0)
+    small = rows / largest if largest > 0 else rows
     for at in range(0, len(queries), 256):
-        rough = queries[at : at + 256] @ rows.T
+        some = queries[at : at + 256]
+        rough = (some / np.abs(some).max(axis=1, keepdims=True)) @ small.T
         for i, scores in enumerate(rough):
             near = np.arange(len(rows))
             if len(rows) > k:
                 least = np.partition(scores, len(rows) - k)[len(rows) - k]
                 near = np.flatnonzero(scores >= least - 1e-9 * (1 + abs(least)))  # rounding must not decide
-            exact = exact_scores(queries[at + i][None, :], rows[near])
-            order = np.lexsort((first[near], -exact))[:k]
+            exact = exact_scores(some[i][None, :], rows[near])
+            ranked = exact if np.isfinite(exact).all() else scores[near]
+            order = np.lexsort((first[near], -ranked))[:k]
             yield at + i, near[order], exact[order]
 
 
@@ -162,14 +172,17 @@ def search(
 def _found(classes: DataFrame, seekers: DataFrame, size: int, k: int, target: float, block: int) -> DataFrame:
     """``(seeker, near, score)`` of classes, the k best of what the curves bring together."""
     schema = "seeker long, near long, first long, score double"
-    facts = classes.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()
+    facts = classes.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x).cast("double")))), F.count("*")).first()
     if facts[0] is None:
         return classes.sparkSession.createDataFrame([], schema).select("seeker", "near", "score")
-    longest = facts[0]
+    scale, total = facts
+    shrunk = classes.select(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") / scale, 2)).alias("s"))
+    longest = shrunk.agg(F.max("s")).first()[0]
     hashed = classes.orderBy(F.xxhash64("cls"), "cls").limit(FITTED).select("v").toArrow()
     fit = hashed.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
     def extended(rows: np.ndarray, query: bool) -> np.ndarray:
+        rows = rows / scale
         more = np.zeros(len(rows)) if query else np.sqrt(np.maximum(0.0, longest - (rows * rows).sum(axis=1)))
         return np.column_stack([rows, more])
 
@@ -177,8 +190,9 @@ def _found(classes: DataFrame, seekers: DataFrame, size: int, k: int, target: fl
     asking = stored(classes.join(seekers, "cls"), "asking")
     truth, sampled = _measured_truth(classes, asking, size, k)
     number, pool = 0, None
-    while True:
-        curves = [Curve(number + i, size + 1, sample) for i in range(CURVES if pool is None else MORE_CURVES)]
+    few = total + asking.count() <= 3 * block  # then three blocks are the whole table
+    while number < MOST:
+        curves = [Curve(number + i, size + 1, sample) for i in range(1 if few else CURVES if pool is None else MORE_CURVES)]
         placed = _blocks(classes, asking, curves, number, size, extended, block)
         near = _compared(placed, classes, size, k)
         number += len(curves)
@@ -186,8 +200,33 @@ def _found(classes: DataFrame, seekers: DataFrame, size: int, k: int, target: fl
         merged = both.groupBy("seeker", "near", "first").agg(F.max("score").alias("score"))
         w = Window.partitionBy("seeker").orderBy(F.desc("score"), "first")
         pool = stored(merged.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r"), "found")
-        if _recall(pool, truth, sampled) >= target:
+        if few or _recall(pool, truth, sampled) >= target:
             return pool.select("seeker", "near", "score")
+    return _all_rows(classes, asking, size, k)
+
+
+def _all_rows(classes: DataFrame, asking: DataFrame, size: int, k: int) -> DataFrame:
+    """Every query against every row, a bounded block of queries at a time."""
+    parts = math.ceil(asking.count() / ASKED)
+    dealt = F.pmod(F.xxhash64("cls"), F.lit(parts))
+    found = None
+    for p in range(parts):
+        table = asking.where(dealt == p).select("cls", "v").toArrow()
+        ids = table.column("cls").to_numpy()
+        queries = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, queries=queries) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and len(ids):
+                    cls, first = batch.column("cls").to_numpy(), batch.column("first").to_numpy()
+                    for q, n, s in best(queries, matrix(batch, "v", size), first, k):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), ids[q])), pa.array(cls[n]), pa.array(first[n]), pa.array(s)], ["seeker", "near", "first", "score"])
+
+        scored = classes.select("cls", "first", "v").mapInArrow(run, "seeker long, near long, first long, score double")
+        w = Window.partitionBy("seeker").orderBy(F.desc("score"), "first")
+        top = stored(scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("seeker", "near", "score"), "found")
+        found = top if found is None else found.unionByName(top)
+    return found
 
 
 def _measured_truth(classes: DataFrame, asking: DataFrame, size: int, k: int) -> tuple[dict[int, float], dict[int, int]]:
@@ -222,7 +261,7 @@ def _recall(pool: DataFrame, least: dict[int, float], wanted: dict[int, int]) ->
 
 
 def _blocks(classes, asking, curves, number, size, extended, block) -> DataFrame:
-    """``(curve, block, cls, query)``: a row in its block, a query in its own block and those beside it."""
+    """``(curve, block, cls, query)``: a row in its block, a query in the three about it."""
 
     def keyed(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,10 +282,12 @@ def _blocks(classes, asking, curves, number, size, extended, block) -> DataFrame
 
     schema = "curve int, key long, cls long, query boolean"
     keys = classes.select("cls", "v").mapInArrow(keyed(False), schema).unionByName(asking.select("cls", "v").mapInArrow(keyed(True), schema))
-    placed = with_position(keys, ["curve", "key", "cls", "query"], name="_p")  # curves follow each other in one order
+    placed = with_position(keys, ["key", "cls", "query"], by=["curve"], name="_p", total="_n")
+    last = F.floor((F.col("_n") - 1) / block).cast("long")
     at = F.floor((F.col("_p") - 1) / block).cast("long")
-    spots = F.when(F.col("query"), F.array(at - 1, at, at + 1)).otherwise(F.array(at))
-    return stored(placed.select("cls", "query", F.explode(spots).alias("block")), "blocks")
+    middle = F.greatest(F.lit(0), F.least(F.greatest(at, F.lit(1)), last - 1))
+    spots = F.when(F.col("query"), F.sequence(F.greatest(middle - 1, F.lit(0)), F.least(middle + 1, last))).otherwise(F.array(at))
+    return stored(placed.select("curve", "cls", "query", F.explode(spots).alias("block")), "blocks")
 
 
 def _compared(placed: DataFrame, classes: DataFrame, size: int, k: int) -> DataFrame:
@@ -265,4 +306,4 @@ def _compared(placed: DataFrame, classes: DataFrame, size: int, k: int) -> DataF
         return pa.table({"seeker": seeker, "near": cls[near], "first": first[near], "score": score})
 
     filled = placed.join(classes.select("cls", "first", "v"), "cls")
-    return filled.groupBy("block").applyInArrow(run, "seeker long, near long, first long, score double")
+    return filled.groupBy("curve", "block").applyInArrow(run, "seeker long, near long, first long, score double")

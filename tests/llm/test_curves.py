@@ -68,3 +68,31 @@ def test_recall_with_small_blocks_and_a_hot_vector(spark):
     assert hits >= 0.9 * 10 * 45
     hot = [i for _, i, _ in sorted(got[500])]
     assert hot[:10] == list(range(501, 511)) or min(hot) < 500  # copies come in the order of their ids
+
+
+def test_copies_on_many_curves_do_not_take_places(spark, monkeypatch):
+    """With more curves than one, blocks far smaller than the table and the exact way behind them."""
+    rng = np.random.default_rng(5)
+    rows = {i: rng.normal(size=6) for i in range(400)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "vec_id long, embedding array<double>")
+    for most, asked in ((8, 4096), (0, 7)):
+        monkeypatch.setattr(curves, "MOST", most)
+        monkeypatch.setattr(curves, "ASKED", asked)
+        got = {}
+        for r in sorted(curves.search(df, k=5, block=32, target=1.01 if not most else 0.5).collect()):
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert {q: len({i for i, _ in x}) for q, x in got.items()} == dict.fromkeys(range(0, 400, 20), 5)
+        if not most:
+            assert got == plain(rows, 5, 20)
+
+
+def test_large_entries_keep_their_order(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 4))
+    df = spark.createDataFrame([(i, (v * 1e200).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = curves.search(df, k=3).collect()
+    assert len(rows) == 9
+    for q in (0, 20, 40):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        assert {r.vec_id for r in rows if r.query_id == q} == set(np.argsort(-scores)[:3].tolist())
