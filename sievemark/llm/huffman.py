@@ -122,13 +122,10 @@ class Encoder:
         odd = dict(zip(whole, self._library_ids([texts[i] for i in whole]), strict=True))
         parts = [[] if i in odd else t.split(" ") for i, t in enumerate(texts)]
         self._learn(self.first, {p[0] for p in parts if p})
-        known = self.later.get
-        ids = [list(map(known, p[1:])) for p in parts]
-        holes = [(i, at) for i, found in enumerate(ids) if None in found for at, b in enumerate(found) if b is None]
-        self._learn_cuts({parts[i][at + 1] for i, at in holes})
-        for i, at in holes:
-            ids[i][at] = known(parts[i][at + 1])
-        return [odd[i] if i in odd else self.first[p[0]] + b"".join(ids[i]) for i, p in enumerate(parts)]
+        # sets find the new cuts of all texts at once; then every cut is known
+        self._learn_cuts(set().union(*(p[1:] for p in parts)).difference(self.later))
+        known = self.later.__getitem__
+        return [odd[i] if i in odd else self.first[p[0]] + b"".join(map(known, p[1:])) for i, p in enumerate(parts)]
 
 
 def encoder(path: str) -> Encoder:
@@ -138,15 +135,20 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """``(doc_id, n_tokens, crc, ids)``: ids as little-endian bytes, the end id last."""
+    """``(doc_id, n_tokens, crc, width, ids, counts)``: ids as little-endian bytes, the end id last.
+
+    A task's last row has nothing but ``counts``, how often each id occurs in its documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
         end = end_id.to_bytes(tool.width, "little")
+        total = np.zeros(max(len(tool.starts), end_id + 1), np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # bounds what is in hand at once
                 part = batch.slice(at, 256)
                 ids = [b + end for b in tool.encode([t or "" for t in part.column("text").to_pylist()])]
+                total += np.bincount(np.frombuffer(b"".join(ids), f"<u{tool.width}"), minlength=len(total))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -154,32 +156,22 @@ def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
                         pa.array([zlib.crc32(b) for b in ids], pa.int64()),
                         pa.array([tool.width] * len(ids), pa.int32()),
                         pa.array(ids, pa.binary()),
+                        pa.nulls(len(ids), pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_tokens", "crc", "width", "ids"],
+                    names,
                 )
+        last = [pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*last, pa.array([total], pa.list_(pa.int64()))], names)
 
+    names = ["doc_id", "n_tokens", "crc", "width", "ids", "counts"]
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return plain.mapInArrow(run, "doc_id long, n_tokens long, crc long, width int, ids binary")
+    return plain.mapInArrow(run, "doc_id long, n_tokens long, crc long, width int, ids binary, counts array<long>")
 
 
 def id_counts(ids: DataFrame) -> dict[int, int]:
     """How often each id occurs: at most one row for each id of the vocabulary reaches the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # one count for many short documents
-                part = batch.slice(at, 256)
-                cells = zip(part.column("width").to_pylist(), part.column("ids"), strict=True)
-                found = np.bincount(np.concatenate([np.frombuffer(c.as_buffer(), f"<u{w}") for w, c in cells]))
-                if len(found) > len(total):
-                    total = np.pad(total, (0, len(found) - len(total)))
-                total[: len(found)] += found
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
-
-    rows = ids.select("width", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return {r.id: r.n for r in rows.collect()}
+    each = ids.where("counts is not null").select(F.posexplode("counts").alias("id", "n")).where("n > 0")
+    return {r.id: r.n for r in each.groupBy("id").agg(F.sum("n").alias("n")).collect()}
 
 
 def code_lengths(counts: dict[int, int], limit: int = LIMIT) -> np.ndarray:
@@ -422,5 +414,5 @@ def round_trip(docs: DataFrame, tokenizer: str, with_ids: bool = False, **column
     """Documents written as token ids in the shared folder and read back from the files."""
     ids = stored(tokenized(docs, tokenizer, **columns), "ids")
     path = scratch_path(docs.sparkSession, "huffman")
-    write_ids(ids, code_lengths(id_counts(ids)), path)
+    write_ids(ids.where("counts is null").drop("counts"), code_lengths(id_counts(ids)), path)
     return read_ids(docs.sparkSession, path, with_ids)
