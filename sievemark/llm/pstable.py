@@ -7,7 +7,7 @@ number of tables follows from the wanted recall at the very threshold (closer pa
 
 Crowds first become balls. In a bucket of at least CROWD vectors those within half the threshold's angle of
 one of them form a ball: any two are linked by the triangle inequality, so the ball needs no pair at all.
-This goes on table by table until no bucket is crowded. Then balls and single vectors that share a bucket are
+This goes on table by table until no ball of some size is left. Then balls and single vectors that share a bucket are
 candidates; a 64-bit sketch of signs drops those far apart before any vector moves, and each pair is decided
 once: by the exact cosine of two single vectors, for balls by the angle of their centres and their radii, and
 where these leave it open by the exact cosines of their members, in blocks of bounded size. Links between
@@ -137,21 +137,32 @@ def _with_cosine(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def balls(hashed: DataFrame, tables: int, least: float = LEAST) -> DataFrame:
-    """``(cls, ball, angle)``: classes of crowded buckets with the class at the centre of their ball."""
+    """``(cls, ball, angle)``: classes of crowded buckets with the class at the centre of their ball.
+
+    Only the members of crowded buckets move, and rounds end when a table has no bucket that is crowded by
+    vectors near each other.
+    """
     half = math.acos(least) / 2 - SLACK
-    left, found = hashed.select("cls", "v", "keys"), None
+    found = None
     for t in range(tables):
-        keyed = left.withColumn("key", F.col("keys")[t])
-        centres = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min_by(F.struct("cls", "v"), "cls").alias("c"))
-        centres = stored(centres.where(F.col("m") >= CROWD).select(F.col("key").alias("_key"), F.col("c.cls").alias("ball"), F.col("c.v").alias("b")), "centres")
-        if centres.isEmpty():
-            break
-        pairs = keyed.join(centres, F.col("key") == F.col("_key")).select("cls", "ball", F.col("v").alias("a"), "b")
+        keyed = hashed.select("cls", F.col("keys")[t].alias("key"))
+        if found is not None:
+            keyed = keyed.join(found.select(F.col("cls").alias("_in")), F.col("cls") == F.col("_in"), "left_anti")
+        crowds = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("ball")).where(F.col("m") >= CROWD)
+        crowds = stored(crowds.select(F.col("key").alias("_key"), "ball"), "crowds")
+        near = stored(keyed.join(crowds, F.col("key") == F.col("_key")).select(F.col("cls").alias("_c"), "ball"), "crowded")
+        vectors = hashed.select("cls", "v")
+        centres = crowds.select(F.col("ball").alias("_b")).join(vectors, F.col("_b") == F.col("cls")).select("_b", F.col("v").alias("b"))
+        pairs = near.join(vectors, F.col("_c") == F.col("cls")).select("cls", "ball", F.col("v").alias("a"))
+        pairs = pairs.join(stored(centres, "centres"), F.col("ball") == F.col("_b")).drop("_b")
         inside = _with_cosine(pairs).where(F.col("cosine") >= math.cos(half)).select("cls", "ball", F.acos("cosine").alias("angle"))
         inside = stored(inside, "inside")
-        found = inside if found is None else found.unionByName(inside)
-        left = stored(left.join(inside.select(F.col("cls").alias("_in")), F.col("cls") == F.col("_in"), "left_anti"), "left")
-    return found if found is not None else hashed.select("cls", F.col("cls").alias("ball"), F.lit(0.0).alias("angle")).limit(0)
+        sizes = stored(inside.groupBy("ball").count().where("count > 1"), "sizes")
+        inside = inside.join(sizes.select(F.col("ball").alias("_b")), F.col("ball") == F.col("_b"), "left_semi")
+        found = inside if found is None else stored(found.unionByName(inside), "inside")
+        if sizes.where(F.col("count") >= CROWD // 4).isEmpty():
+            break
+    return found
 
 
 def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -251,8 +262,8 @@ def near_copies(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "em
         return alone
     hashes, tables = plan(total, least)
     hashed = stored(_hashed(classes, hashes, tables), "hashed")
-    inside = balls(hashed, tables, least).select(F.col("cls").alias("_cls"), "ball", "angle")
-    members = hashed.join(stored(inside, "balls"), F.col("cls") == F.col("_cls"), "left").drop("_cls")
+    inside = stored(balls(hashed, tables, least).select(F.col("cls").alias("_cls"), "ball", "angle"), "balls")
+    members = hashed.join(inside, F.col("cls") == F.col("_cls"), "left").drop("_cls")
     members = stored(members.withColumns({"ball": F.coalesce("ball", "cls"), "angle": F.coalesce("angle", F.lit(0.0))}), "members")
     facts = members.groupBy("ball").agg(F.sum("n").alias("weight"), F.max("angle").alias("radius"), F.min("first").alias("first"))
     centres = members.where("cls = ball").select(F.col("cls").alias("_c"), "v")
