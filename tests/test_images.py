@@ -5,7 +5,7 @@ import zipfile
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import picture, png_bytes
+from pictures import picture, png_bytes
 from sievemark.operators import groups, pairs
 from sievemark.session import freeze
 from sievemark.sources import files, images
