@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from sievemark.functions.text import matches_any
 from sievemark.operators.components import connected_components
+from sievemark.operators.near_groups import LINK, MIXED, SUMS, near_facts
 from sievemark.operators.ordered import with_position
-from sievemark.operators.pairs import signature_pairs
 from sievemark.session import freeze, stored
 
 
+SMALL_GRAPH = 200_000  # links that one task may join
+
+
 def base_status(
     valid: Column, path: Column | str, patterns: Sequence[str] = (), excluded: Column | None = None
 ) -> Column:
@@ -132,6 +135,17 @@ def near_pair_counts(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def met_counts(nodes: DataFrame, met: DataFrame) -> DataFrame:
+    """The counts of :func:`near_pair_counts` from the sums of :func:`near_facts` and the copies in each node."""
+    copies = F.expr("n * (n - 1) div 2")
+    inside = nodes.select(copies.alias("pairs"), copies.alias("same"))
+    both = met.where(F.col("kind") == SUMS).select("pairs", "same").unionByName(inside)
+    return both.agg(
+        F.coalesce(F.sum("pairs"), F.lit(0)).cast("long").alias("near_pairs"),
+        F.coalesce(F.sum(F.col("pairs") - F.col("same")), F.lit(0)).cast("long").alias("cross_label_pairs"),
+    )
+
+
 def number_groups(members: DataFrame, group: str, first_seen: str) -> DataFrame:
     """``(group, group_id)`` numbered 0, 1, … by the smallest ``first_seen`` of each group."""
     firsts = members.groupBy(group).agg(F.min(first_seen).alias("_first"))
@@ -160,22 +174,26 @@ def assign_groups(
     marked = freeze(mark_exact(manifest, path, digest, label))
     ok = marked.where("status = 'ok'").select(path, signature, label)
     nodes = freeze(content_nodes(ok, path, signature, label))
-    pairs = variants if variants is not None else signature_pairs(nodes, max_distance)
-    pairs = freeze(pairs.select("a", "b"))
-    bad = freeze(near_conflicts(nodes, pairs))
+    if variants is not None:
+        pairs = freeze(variants.select("a", "b"))
+        bad = freeze(near_conflicts(nodes, pairs))
+        links, counts = near_links(nodes, pairs), near_pair_counts(nodes, pairs)
+    else:
+        met = stored(near_facts(nodes, max_distance), "met")
+        bad = met.where(F.col("kind") == MIXED).select(F.col("a").alias("node")).distinct()
+        links, counts = met.where(F.col("kind") == LINK).select("a", "b"), met_counts(nodes, met)
     known = nodes.select(F.col("signature").alias("_s"), F.col("label").alias("_l"), "node")
     member = (
         ok.join(known, (ok[signature] == known["_s"]) & ok[label].eqNullSafe(known["_l"]))
         .select(path, "node")
         .unionByName(ok.where(F.col(signature).isNull()).select(path, F.col(path).alias("node")))
     )
-    links = near_links(nodes, pairs)
     if similar is not None:
         ends = similar.join(member.select(F.col(path).alias("a"), F.col("node").alias("na")), "a").join(
             member.select(F.col(path).alias("b"), F.col("node").alias("nb")), "b"
         )
         links = links.unionByName(ends.select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    parts = connected_components(links)
+    parts = connected_components(links, in_task=SMALL_GRAPH)
     placed = (
         member.join(parts, "node", "left")
         .join(bad.withColumn("_bad", F.lit(True)), "node", "left")
@@ -189,7 +207,7 @@ def assign_groups(
         .withColumn("status", F.when(F.col("_bad"), "conflict").otherwise(F.col("status")))
         .withColumn("group_id", F.when(~F.col("_bad"), F.col("group_id")))
     )
-    return result.select(*marked.columns, "group_id"), near_pair_counts(nodes, pairs)
+    return result.select(*marked.columns, "group_id"), counts
 
 
 def group_summary(grouped: DataFrame) -> DataFrame:

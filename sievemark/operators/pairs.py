@@ -20,7 +20,7 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _band_masks(bits: Sequence[int], bands: int) -> list[int]:
+def band_masks(bits: Sequence[int], bands: int) -> list[int]:
     """Masks of ``bands`` disjoint runs that cover the given bit positions."""
     size, extra = divmod(len(bits), bands)
     masks, start = [], 0
@@ -39,8 +39,8 @@ def _first_agreeing(x: Column, masks: Sequence[int]) -> Column:
     return out
 
 
-def _with_bands(df: DataFrame, signature: str, max_distance: int) -> DataFrame:
-    masks = _band_masks(range(64), max_distance + 1)
+def with_bands(df: DataFrame, signature: str, max_distance: int) -> DataFrame:
+    masks = band_masks(range(64), max_distance + 1)
     keys = F.array(
         *[
             F.struct(
@@ -53,10 +53,10 @@ def _with_bands(df: DataFrame, signature: str, max_distance: int) -> DataFrame:
     return df.select("*", F.inline(keys))
 
 
-def _with_sub_bands(df: DataFrame, signature: str, max_distance: int) -> DataFrame:
+def with_sub_bands(df: DataFrame, signature: str, max_distance: int) -> DataFrame:
     """Second-level keys: the bits outside the shared band are banded again (pigeonhole twice)."""
     options = F.lit(None)
-    for band, mask in enumerate(_band_masks(range(64), max_distance + 1)):
+    for band, mask in enumerate(band_masks(range(64), max_distance + 1)):
         rest = [b for b in range(64) if not mask >> b & 1]
         keys = F.array(
             *[
@@ -64,7 +64,7 @@ def _with_sub_bands(df: DataFrame, signature: str, max_distance: int) -> DataFra
                     F.lit(i).alias("sub"),
                     F.col(signature).bitwiseAND(F.lit(_signed(m)).cast("long")).alias("sub_bits"),
                 )
-                for i, m in enumerate(_band_masks(rest, max_distance + 1))
+                for i, m in enumerate(band_masks(rest, max_distance + 1))
             ]
         )
         options = F.when(F.col("band") == band, keys).otherwise(options)
@@ -73,9 +73,9 @@ def _with_sub_bands(df: DataFrame, signature: str, max_distance: int) -> DataFra
 
 def _first_sub(x: Column, band: Column, max_distance: int) -> Column:
     out = F.lit(None).cast("int")
-    for i, mask in enumerate(_band_masks(range(64), max_distance + 1)):
+    for i, mask in enumerate(band_masks(range(64), max_distance + 1)):
         rest = [b for b in range(64) if not mask >> b & 1]
-        out = F.when(band == i, _first_agreeing(x, _band_masks(rest, max_distance + 1))).otherwise(out)
+        out = F.when(band == i, _first_agreeing(x, band_masks(rest, max_distance + 1))).otherwise(out)
     return out
 
 
@@ -85,7 +85,7 @@ def _matches(
     x = F.col("l.signature").bitwiseXOR(F.col("r.signature"))
     cond = reduce(lambda a, b: a & b, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys])
     cond = cond & order & (F.bit_count(x) <= max_distance)
-    cond = cond & (_first_agreeing(x, _band_masks(range(64), max_distance + 1)) == F.col("l.band"))
+    cond = cond & (_first_agreeing(x, band_masks(range(64), max_distance + 1)) == F.col("l.band"))
     if "sub" in keys:
         cond = cond & (_first_sub(x, F.col("l.band"), max_distance) == F.col("l.sub"))
     return left.alias("l").join(right.alias("r"), cond)
@@ -99,8 +99,8 @@ def _hamming_join(left: DataFrame, right: DataFrame, max_distance: int, order: C
     banded a second time on their remaining bits, and a key that stays crowded is cut into blocks.
     """
     keys = ["band", "bits"]
-    lb = _with_bands(left, "signature", max_distance)
-    rb = _with_bands(right, "signature", max_distance)
+    lb = with_bands(left, "signature", max_distance)
+    rb = with_bands(right, "signature", max_distance)
     sizes = rb.groupBy(*keys).agg(F.count("*").alias("members"))
     crowded = sizes.where(F.col("members") > bucket_rows)
     if crowded.isEmpty():
@@ -110,8 +110,8 @@ def _hamming_join(left: DataFrame, right: DataFrame, max_distance: int, order: C
         lb.join(crowded, keys, "left_anti"), rb.join(crowded, keys, "left_anti"), keys, max_distance, order
     )
     deep = [*keys, "sub", "sub_bits"]
-    ls = _with_sub_bands(lb.join(crowded, keys, "left_semi"), "signature", max_distance)
-    rs = _with_sub_bands(rb.join(crowded, keys, "left_semi"), "signature", max_distance)
+    ls = with_sub_bands(lb.join(crowded, keys, "left_semi"), "signature", max_distance)
+    rs = with_sub_bands(rb.join(crowded, keys, "left_semi"), "signature", max_distance)
     blocks = rs.groupBy(*deep).agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("blocks"))
     rs = rs.join(blocks, deep).withColumn("block", F.pmod(F.xxhash64("signature"), F.col("blocks")).cast("int"))
     ls = ls.join(blocks, deep).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -149,7 +149,7 @@ reach(node, root) AS (SELECT DISTINCT a, a FROM links UNION SELECT l.b, r.root F
 SELECT node, min(root) AS component FROM reach GROUP BY 1""")
 def similar_components(t: Tables):
     links = vector_pairs.component_links(t("embeddings"), "vec_id", "embedding", COSINE, same="label")
-    return components.connected_components(links)
+    return components.connected_components(links, in_task=groups.SMALL_GRAPH)
 
 
 @query(f"""WITH {sql_signature('documents', 'doc_id', 'sig')}, {sql_signature('benchmark', 'item_id', 'bank')}
