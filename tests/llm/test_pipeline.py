@@ -4,7 +4,6 @@ import corpus_pipeline
 import pytest
 from fixtures_llm import SCHEMA, documents
 from pyspark.sql import functions as F
-from test_simhash import plain_components, plain_fingerprint
 
 from sievemark.llm import packing, quality, surrogates
 from sievemark.llm import queries
@@ -19,11 +18,30 @@ def plain_run(rows):
         verdict = quality.judged(text.encode() if text is not None else None)
         if verdict[-1]:
             kept.append((doc_id, verdict[0].decode(), source))
-    groups = plain_components([(d, plain_fingerprint(t)) for d, t, _ in kept], corpus_pipeline.RADIUS)
-    alone = [k for k, g in zip(kept, groups, strict=True) if k[0] == g]
+    groups = plain_groups([t for _, t, _ in kept])
+    first = {}
+    for (doc_id, _, _), g in zip(kept, groups, strict=True):
+        first[g] = min(first.get(g, doc_id), doc_id)
+    alone = [k for k, g in zip(kept, groups, strict=True) if k[0] == first[g]]
     return [(d, surrogates.replaced(surrogates.KEY, t)[0], s) for d, t, s in alone]
 
 
+def plain_groups(texts):
+    """Components of texts whose sets of 5-word shingles have a Jaccard similarity of at least 0.8."""
+    sets = []
+    for t in texts:
+        words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).encode().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)})
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if group[i] != group[j] and 5 * len(a & b) >= 4 * len(a | b):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return group
+
+
 def test_run_equals_a_plain_version(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     clean = plain_run([tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()])
