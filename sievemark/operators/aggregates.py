@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.operators.ordered import quantiles
+from sievemark.operators.ordered import bracketed_quantiles, quantiles
 from sievemark.session import broadcast_if_small
 
 
@@ -44,22 +44,20 @@ def long_measures(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -
 
 def describe(long_rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean and five percentiles per group; exact at any size."""
-    stats = quantiles(long_rows, "value", {"p01": 0.01, "p25": 0.25, "median": 0.5, "p75": 0.75, "p99": 0.99}, by)
-    means = long_rows.groupBy(*by).agg(F.avg("value").alias("mean"))
-    return means.join(stats, list(by))
+    probs = {"p01": 0.01, "p25": 0.25, "median": 0.5, "p75": 0.75, "p99": 0.99}
+    return bracketed_quantiles(long_rows, "value", probs, by, [F.avg("value").alias("mean")])
 
 
 def describe_spread(long_rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles per group, rounded to 4 digits."""
-    stats = quantiles(long_rows, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, by)
-    moments = long_rows.groupBy(*by).agg(
+    moments = [
         F.count("*").alias("n"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-    )
-    joined = moments.join(stats, list(by))
+    ]
+    joined = bracketed_quantiles(long_rows, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, by, moments)
     return joined.select(
         *by, "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")]
     )
@@ -96,7 +94,7 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int, low: float, high
 
 def boxplot(long_rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Quartiles and whiskers: the extreme values within 1.5 IQR of the box."""
-    box = broadcast_if_small(quantiles(long_rows, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by))
+    box = broadcast_if_small(bracketed_quantiles(long_rows, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by))
     fence = (F.col("q3") - F.col("q1")) * 1.5
     inside = long_rows.join(box, list(by)).where(
         (F.col("value") >= F.col("q1") - fence) & (F.col("value") <= F.col("q3") + fence)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions.arrays import argmax, prediction_set
 from sievemark.functions.rules import all_issues
-from sievemark.operators.ordered import quantiles, with_running_sums
+from sievemark.operators.ordered import bracketed_quantiles, quantiles, with_running_sums
 
 LADDER = (0.95, 0.96, 0.97, 0.98, 0.99, 0.995)
 
@@ -35,7 +35,7 @@ def quality_issues(
 
 def percentile_bounds(long_rows: DataFrame, measure: str, value: str, percent: float = 0.5) -> DataFrame:
     """Lower and upper percentile of every measure."""
-    return quantiles(long_rows, value, {"low": percent / 100, "high": 1 - percent / 100}, [measure])
+    return bracketed_quantiles(long_rows, value, {"low": percent / 100, "high": 1 - percent / 100}, [measure])
 
 
 def degradation_thresholds(steps: DataFrame, percentiles: DataFrame, target: float = 0.9) -> DataFrame:

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from sievemark.session import broadcast_if_small, freeze
+from sievemark.session import BROADCAST_ROWS, broadcast_if_small, freeze, stored
 
+KLL_ITEMS = 800  # of a sketch; its ranks are off by less than half of KLL_REACH, nearly always
+KLL_REACH = 0.01
 _SLOT_BITS = 33  # layout of monotonically_increasing_id: partition above, row below
 
 
@@ -179,6 +181,50 @@ def quantiles(
     return ranked.groupBy(*by).agg(*[_interpolated(value, p).alias(n) for n, p in probs.items()])
 
 
+def bracketed_quantiles(
+    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str], extra: Sequence[Column] = ()
+) -> DataFrame:
+    """:func:`quantiles` without sorting all values, and ``extra`` aggregates of the same scan.
+
+    A first scan leaves one mergeable KLL sketch for each group, which brackets every wanted rank. The second
+    counts: a value inside a bracket by itself, all others by the gap they lie in. Only these counts are put
+    in order. A sketch may err; a rank that falls into a gap shows it, and then all values are sorted.
+    NULL values are left out, and so are groups of nothing else; NaN is the largest value.
+    """
+    x = F.col(value).cast("double")
+    marks = sorted(set(probs.values()))
+    seen = F.count_if(~F.isnan(x))
+    facts = df.groupBy(*by).agg(
+        F.count(value).alias("_n"), seen.alias("_seen"), F.kll_sketch_agg_double(F.when(~F.isnan(x), x), F.lit(KLL_ITEMS)).alias("_s"), *extra
+    )
+    extras = [c for c in facts.columns if c not in (*by, "_n", "_seen", "_s")]
+    bounds = {}
+    for i, p in enumerate(marks):
+        for side, rank in (("low", max(p - KLL_REACH, 0.0)), ("high", min(p + KLL_REACH, 1.0))):
+            bounds[f"_{side}{i}"] = F.when(F.col("_seen") > 0, F.kll_sketch_get_quantile_double("_s", F.lit(rank)))
+    facts = stored(facts.where("_n > 0").select(*by, *extras, *[c.alias(n) for n, c in bounds.items()]), "brackets")
+    brackets = broadcast_if_small(facts.select(*[F.col(b).alias(f"_k_{b}") for b in by], *bounds))
+    cond = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_k_{b}")) for b in by])
+    rows = df.where(F.col(value).isNotNull()).select(*by, x.alias("_x")).join(brackets, cond)
+    above = reduce(lambda a, b: a + b, [F.coalesce((F.col("_x") > F.col(f"_high{i}")).cast("int"), F.lit(0)) for i in range(len(marks))])
+    inside = reduce(lambda a, b: a | b, [F.col("_x").between(F.col(f"_low{i}"), F.col(f"_high{i}")) for i in range(len(marks))])
+    counts = stored(rows.groupBy(*by, above.alias("_gap"), F.when(inside, F.col("_x")).alias("_x")).agg(F.count("*").alias("n")), "counts")
+    order = ["_gap", F.col("_x").asc_nulls_first()]  # what lies outside a bracket lies before its values
+    if counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        w = Window.partitionBy(*by)
+        earlier = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = counts.withColumns({"n_before": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "n_total": F.sum("n").over(w)})
+    else:
+        ranked = with_running_sums(counts, order, ["n"], by)
+    found = stored(ranked.groupBy(*by).agg(*[_interpolated("_x", p).alias(n) for n, p in probs.items()]), "quantiles")
+    if not found.where(reduce(lambda a, b: a | b, [F.col(n).isNull() for n in probs])).isEmpty():
+        found = quantiles(df, value, probs, by)
+    if not extras:
+        return found
+    right = facts.select(*[F.col(b).alias(f"_k_{b}") for b in by], *extras)
+    return found.join(right, cond).select(*found.columns, *extras)
+
+
 def value_at_rank(
     df: DataFrame, value: str, rank: Callable[[Column], Column], by: Sequence[str] = (), name: str = "value"
 ) -> DataFrame:

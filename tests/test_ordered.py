@@ -87,3 +87,32 @@ def test_histories_of_one_long_run(spark):
     np.testing.assert_array_equal(starts["starts"], pdf["stage"] != pdf["stage"].shift(1))
     area = histories.area_under(df, "run", "t", "v").first()["area"]
     assert area == pytest.approx(np.trapezoid(pdf["v"], pdf["t"]) / 499)
+
+
+@pytest.mark.parametrize(("items", "reach", "small"), [(800, 0.01, 100_000), (800, 0.01, 0), (8, 1e-6, 100_000)])
+def test_bracketed_quantiles_equal_sorting(spark, monkeypatch, items, reach, small):
+    """Sketches that hold, counts too many for one window, and sketches that err."""
+    monkeypatch.setattr(ordered, "KLL_ITEMS", items)
+    monkeypatch.setattr(ordered, "KLL_REACH", reach)
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", small)
+    rng = np.random.default_rng(3)
+    groups = {
+        "bell": rng.normal(size=5000), "few": rng.integers(0, 4, 3000).astype(float), "two": np.array([1.0, 2.0]),
+        "one": np.array([-7.5]), "tail": np.exp(rng.normal(size=4000) * 4), None: rng.uniform(size=50),
+    }
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("two", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(6)
+    probs = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.77, "e": 1.0}
+    out = ordered.bracketed_quantiles(df, "value", probs, ["g"], [F.count("*").alias("rows"), F.sum("value").alias("total")])
+    got = {r.g: r for r in out.collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        assert [got[g][n] for n in probs] == pytest.approx([np.quantile(xs, p) for p in probs.values()])
+        assert got[g].rows == len(xs) + (g == "two") and got[g].total == pytest.approx(xs.sum())
+
+
+def test_bracketed_quantiles_of_nan_and_nothing(spark):
+    df = spark.createDataFrame([("x", 1.0), ("x", float("nan")), ("x", 3.0), ("y", float("nan"))], "g string, value double")
+    got = {r.g: (r.low, r.high) for r in ordered.bracketed_quantiles(df, "value", {"low": 0.0, "high": 1.0}, ["g"]).collect()}
+    assert got["x"][0] == 1.0 and np.isnan(got["x"][1]) and np.isnan(got["y"]).all()
+    assert ordered.bracketed_quantiles(df.limit(0), "value", {"m": 0.5}, ["g"]).count() == 0
