@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from sievemark.functions.hashing import hamming
 from sievemark.session import freeze, stored
 
 BUCKET_ROWS = 4096
+PART_BITS = 16  # of a signature that is looked up by its parts
+PART_RADIUS = 2  # flipped bits of a part that are looked up
 
 
 def _signed(mask: int) -> int:
@@ -192,6 +195,79 @@ def variant_pairs(
     ).distinct()
 
 
+def _smallest(known: np.ndarray):
+    """Arrow function: the smallest distance of a signature to any of ``known`` (NULL stays NULL)."""
+
+    @F.arrow_udf("int")
+    def smallest(s: pa.Array) -> pa.Array:
+        # NULL is masked in Arrow: a float column would lose the low bits of every signature
+        values = s.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        best = np.full(len(values), 65, dtype=np.int64)
+        for start in range(0, len(known), 1024):
+            part = np.bitwise_count(values[:, None] ^ known[None, start : start + 1024])
+            best = np.minimum(best, part.min(axis=1).astype(np.int64))
+        unknown = s.is_null().to_numpy(zero_copy_only=False)
+        return pa.array(best.astype(np.int32), pa.int32(), mask=unknown | (best == 65))
+
+    return smallest
+
+
+def _turned(bits: int) -> Column:
+    """Every way to flip ``bits`` bits of a part, as an array of masks."""
+    masks = [sum(1 << b for b in c) for c in combinations(range(PART_BITS), bits)]
+    return F.expr(f"array({', '.join(map(str, masks))})")
+
+
+def _in_parts(df: DataFrame) -> DataFrame:
+    low = F.lit((1 << PART_BITS) - 1)
+    parts = [F.struct(F.lit(i).alias("part"), F.shiftrightunsigned("signature", PART_BITS * i).bitwiseAND(low).alias("bits")) for i in range(64 // PART_BITS)]
+    return df.select("*", F.inline(F.array(*parts)))
+
+
+def _nearest_by_parts(asked: DataFrame, bank: DataFrame, bank_rows: int) -> DataFrame:
+    """``(signature, distance)`` of distinct stored signatures by multi-index hashing with a growing radius.
+
+    A signature is cut into parts, and the bank is keyed by (part, bits). Round r looks up each part of a
+    query with r of its bits flipped. After it every bank row within parts * (r + 1) - 1 bits has been met, so
+    a query whose smallest distance so far is at most parts * (r + 1) is settled and leaves. Only the smallest
+    distance is kept, summed up before it moves. Queries with nothing that near are compared with the whole
+    bank, a bounded block of it at a time.
+    """
+    parts = 64 // PART_BITS
+    keyed = stored(_in_parts(bank).withColumnRenamed("signature", "_known"), "keyed")
+    pending, found = asked.withColumn("distance", F.lit(65)), []
+    for r in range(PART_RADIUS + 1):
+        probes = _in_parts(pending).select("signature", F.col("part").alias("_part"), F.explode(F.transform(_turned(r), lambda m: F.col("bits").bitwiseXOR(m.cast("long")))).alias("_bits"))
+        met = probes.join(keyed, (F.col("part") == F.col("_part")) & (F.col("bits") == F.col("_bits")))
+        best = met.groupBy(F.col("signature").alias("_s")).agg(F.min(hamming(F.col("signature"), F.col("_known"))).alias("_d"))
+        pending = pending.join(best, F.col("signature") == F.col("_s"), "left").select("signature", F.least("distance", "_d").alias("distance"))
+        pending = stored(pending, "pending")
+        settled = F.col("distance") <= parts * (r + 1)
+        found.append(pending.where(settled))
+        pending = pending.where(~settled)
+        if pending.isEmpty():
+            break
+    else:
+        dealt = max(1, -(-bank.count() // max(bank_rows, 1024)))
+        for d in range(dealt):
+            block = bank.where(F.pmod(F.xxhash64("signature"), F.lit(dealt)) == d).toArrow().column("signature")
+            known = block.to_numpy().astype(np.int64).view(np.uint64)
+            pending = stored(pending.select("signature", F.least("distance", _smallest(known)("signature")).alias("distance")), "pending")
+        found.append(pending)
+    return reduce(DataFrame.unionByName, found)
+
+
+def nearest_variants(
+    queries: DataFrame, query_key: str, query_signature: str, bank: DataFrame, bank_variants: str, seen_within: int = 8, bank_rows: int = 100_000
+) -> DataFrame:
+    """:func:`nearest_distance` to a bank whose rows have an array of signatures, one for each way to turn them.
+
+    A NULL array and NULL entries are left out of the bank.
+    """
+    spread = bank.select(F.explode(bank_variants).alias("_variant"))
+    return nearest_distance(queries, query_key, query_signature, spread, "_variant", seen_within, bank_rows)
+
+
 def nearest_distance(
     queries: DataFrame,
     query_key: str,
@@ -205,8 +281,7 @@ def nearest_distance(
     """``(key, distance, seen)``: smallest distance of each query to any bank signature.
 
     A bank counted at no more than ``bank_rows`` distinct signatures (0.8 MB at the default) goes to
-    every task; a larger one is searched by banded joins whose reach doubles for the queries that
-    have found nothing yet, so near matches never pay for far ones. A NULL signature has no distance
+    every task; a larger one is searched by :func:`_nearest_by_parts`. A NULL signature has no distance
     on either way.
     """
     left = freeze(queries.select(query_key, F.col(query_signature).alias("signature")))
@@ -214,34 +289,9 @@ def nearest_distance(
     if right.limit(bank_rows + 1).count() <= bank_rows:
         known = np.array([r[0] for r in right.collect()], dtype=np.int64).view(np.uint64)
 
-        @F.arrow_udf("int")
-        def smallest(s: pa.Array) -> pa.Array:
-            # NULL is masked in Arrow: a float column would lose the low bits of every signature
-            values = s.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            best = np.full(len(values), 65, dtype=np.int64)
-            for start in range(0, len(known), 1024):
-                part = np.bitwise_count(values[:, None] ^ known[None, start : start + 1024])
-                best = np.minimum(best, part.min(axis=1).astype(np.int64))
-            unknown = s.is_null().to_numpy(zero_copy_only=False)
-            return pa.array(best.astype(np.int32), pa.int32(), mask=unknown | (best == 65))
-
-        out = left.withColumn("distance", smallest("signature"))
+        out = left.withColumn("distance", _smallest(known)("signature"))
     else:
-        pending = stored(left.select("signature").where("signature is not null").distinct(), "pending")
-        found = None
-        reach = seen_within
-        while True:
-            near = _hamming_join(pending, right, min(reach, 63), F.lit(True), bucket_rows).select(
-                F.col("l.signature").alias("signature"),
-                hamming(F.col("l.signature"), F.col("r.signature")).alias("distance"),
-            )
-            best = freeze(near.groupBy("signature").agg(F.min("distance").alias("distance")))
-            found = best if found is None else found.unionByName(best)
-            pending = freeze(pending.join(best, "signature", "left_anti"))
-            if reach >= 63 or pending.isEmpty():
-                break
-            reach = reach * 2
-        # Only an exact complement of every bank signature is further than 63 bits away.
-        rest = pending.withColumn("distance", F.lit(64))
-        out = left.join(found.unionByName(rest), "signature", "left")
+        asked = stored(left.select("signature").where("signature is not null").distinct(), "asked")
+        near = _nearest_by_parts(asked, right, bank_rows).withColumnRenamed("signature", "_s")
+        out = left.join(near, F.col("signature") == F.col("_s"), "left").drop("_s")
     return out.select(query_key, "distance", (F.col("distance") <= seen_within).alias("seen"))

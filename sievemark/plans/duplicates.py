@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sievemark.functions.hashing import text_signatures
@@ -99,6 +100,11 @@ def near_document_links(t: Tables):
     return pairs.record_links(sig, "doc_id", "signature", DISTANCE)
 
 
+def _turns(s: Column) -> list[Column]:
+    """Eight variants of a signature: its rotations by whole bytes."""
+    return [s] + [F.shiftleft(s, 8 * k).bitwiseOR(F.shiftrightunsigned(s, 64 - 8 * k)) for k in range(1, 8)]
+
+
 def _sql_rotated(column: str, bits: int) -> str:
     u = f"(CASE WHEN {column} < 0 THEN {column}::HUGEINT + 18446744073709551616 ELSE {column}::HUGEINT END)"
     if bits == 0:
@@ -113,9 +119,7 @@ def near_variant_pairs(t: Tables):
     """Near pairs over eight variants of each signature (here: its bit rotations by whole bytes)."""
     sig = text_signatures(t("documents"), "doc_id", "text")
     first = sig.groupBy("signature").agg(F.min("doc_id").alias("id"))
-    s = F.col("signature")
-    turned = [s] + [F.shiftleft(s, 8 * k).bitwiseOR(F.shiftrightunsigned(s, 64 - 8 * k)) for k in range(1, 8)]
-    return pairs.variant_pairs(first.select("id", F.array(*turned).alias("variants")), "id", "variants", DISTANCE)
+    return pairs.variant_pairs(first.select("id", F.array(*_turns(F.col("signature"))).alias("variants")), "id", "variants", DISTANCE)
 
 
 _SIMILAR = f"""{VECTORS}, one AS (SELECT v, min(vec_id) AS id, count(*) AS copies FROM emb GROUP BY v),
@@ -240,6 +244,34 @@ def nearest_with_gaps(t: Tables):
     return pairs.nearest_distance(docs, "key", "signature", bank, "signature", 8).withColumn("n", F.lit(1).cast("long"))
 
 
+def _sql_variants(where: str) -> str:
+    turned = ", ".join(_sql_rotated("signature", 8 * k) for k in range(8))
+    return f"""WITH {sql_signature('documents', 'doc_id', 'sig')}, {sql_signature('benchmark', 'item_id', 'bank')},
+variants AS (SELECT DISTINCT unnest([{turned}]) AS variant FROM bank WHERE {where}),
+asked AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN signature END AS signature FROM sig),
+near AS (SELECT a.signature, min(bit_count(xor(a.signature, v.variant)))::INT AS distance FROM (SELECT DISTINCT signature FROM asked WHERE signature IS NOT NULL) a CROSS JOIN variants v GROUP BY 1)
+SELECT doc_id, distance, distance <= 8 AS seen FROM asked LEFT JOIN near USING (signature)"""
+
+
+def _variants(t: Tables, bank_rows: int):
+    docs = text_signatures(t("documents"), "doc_id", "text").select("doc_id", F.when(F.pmod("doc_id", F.lit(7)) != 0, F.col("signature")).alias("signature"))
+    bank = text_signatures(t("benchmark"), "item_id", "text").select("item_id", F.array(*_turns(F.col("signature"))).alias("variants"))
+    bank = bank.select(F.when(F.pmod("item_id", F.lit(7)) != 0, F.col("variants")).alias("variants"))
+    return pairs.nearest_variants(docs, "doc_id", "signature", bank, "variants", 8, bank_rows)
+
+
+@query(_sql_variants("item_id % 7 <> 0"))
+def nearest_variants(t: Tables):
+    """The nearest of a bank over eight variants of each row, with missing signatures on both sides."""
+    return _variants(t, 100_000)
+
+
+@query(_sql_variants("item_id % 7 <> 0"))
+def nearest_variants_indexed(t: Tables):
+    """The same by the index over parts, as for a bank that no task could hold."""
+    return _variants(t, 0)
+
+
 # ---------------------------------------------------------------- splits
 
 

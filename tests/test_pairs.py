@@ -78,6 +78,21 @@ def test_nearest_distance_small_and_large_bank(spark, noisy_hashes, bank_rows):
     assert all(r.seen == (r.distance <= 8) for r in got)
 
 
+@pytest.mark.parametrize("radius", [0, 2, 3])
+def test_nearest_by_parts_equals_all_pairs(spark, noisy_hashes, monkeypatch, radius):
+    """Near queries settle early, far ones go to the blocks of the bank; copies and NULL keep their rows."""
+    monkeypatch.setattr(pairs, "PART_RADIUS", radius)
+    rng = np.random.default_rng(7)
+    bank = [[int(x), None, int(~x)] for x in noisy_hashes[1::3]] + [None, []]
+    known = np.array([v for row in bank if row for v in row if v is not None], np.int64).view(np.uint64)
+    asked = [int(x) for x in np.concatenate([noisy_hashes[::11], noisy_hashes[1:30:3], rng.integers(-(2**62), 2**62, 6)])] + [None, 0, 0]
+    queries = spark.createDataFrame([(i, h) for i, h in enumerate(asked)], "i long, h long")
+    df = spark.createDataFrame([(b,) for b in bank], "v array<long>")
+    got = {r.i: (r.distance, r.seen) for r in pairs.nearest_variants(queries, "i", "h", df, "v", 8, bank_rows=0).collect()}
+    want = [None if h is None else int(np.bitwise_count(np.int64(h).view(np.uint64) ^ known).min()) for h in asked]
+    assert got == {i: (d, None if d is None else d <= 8) for i, d in enumerate(want)}
+
+
 def vectors(spark, x, labels=None):
     rows = [(i, [float(f) for f in v], int(labels[i]) if labels is not None else 0) for i, v in enumerate(x)]
     return spark.createDataFrame(rows, "i long, v array<double>, label int").repartition(5)
