@@ -8,7 +8,7 @@ from sievemark.plans.gating import _FLAT, _sql_decide, decide_column, flat_decis
 from sievemark.functions import arrays
 from sievemark.plans.datasets import SCALE, VECTORS, centroids, sql_scored
 from sievemark.plans.registry import Tables, query
-from sievemark.streaming import jobs
+from sievemark.streaming import jobs, keeper
 
 
 @query(f"""WITH {VECTORS}, {sql_scored(train_only=True, known=False)},
@@ -54,3 +54,21 @@ def suppressed_copies(t: Tables):
     events = jobs.event_time(jobs.table_stream(t.spark, t.folder, "events"), "ts", "60 days")
     first = jobs.suppress_copies(events.select("ts", "user_id", "event_type"), ["user_id", "event_type"])
     return jobs.run_append(first, "first").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+_HORIZON = 2 * 86_400_000  # milliseconds that a kept event stands for its content
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_ms(ts) AS ms,
+  row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_ms(ts), event_id) AS r FROM events),
+walk(user_id, event_type, r, ms, event_id, kept, since) AS (
+  SELECT user_id, event_type, r, ms, event_id, event_id, ms FROM e WHERE r = 1
+  UNION ALL
+  SELECT e.user_id, e.event_type, e.r, e.ms, e.event_id, CASE WHEN e.ms >= w.since + {_HORIZON} THEN e.event_id ELSE w.kept END,
+    CASE WHEN e.ms >= w.since + {_HORIZON} THEN e.ms ELSE w.since END
+  FROM walk w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.r = w.r + 1)
+SELECT event_id, CASE WHEN kept <> event_id THEN kept END AS duplicate_of FROM walk""")
+def copies_with_pointers(t: Tables):
+    """Every event with the event of its user and type that it repeats within two days of the kept one."""
+    events = jobs.event_time(jobs.table_stream(t.spark, t.folder, "events"), "ts", "60 days")
+    return jobs.run_append(keeper.point_to_kept(events, ["user_id", "event_type"], "event_id", "ts", _HORIZON), "pointers")
