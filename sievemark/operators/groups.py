@@ -11,6 +11,7 @@ from sievemark.functions.text import matches_any
 from sievemark.operators.components import connected_components
 from sievemark.operators.near_groups import LINK, MIXED, SUMS, near_facts
 from sievemark.operators.ordered import with_position
+from sievemark.operators.pairs import variant_pairs
 from sievemark.session import freeze, stored
 
 
@@ -162,18 +163,25 @@ def assign_groups(
     max_distance: int = 5,
     similar: DataFrame | None = None,
     variants: DataFrame | None = None,
+    variant_list: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Final ``status``, ``duplicate_of`` and ``group_id`` per row, and the near-pair counts.
 
     ``manifest`` carries ``status`` from :func:`base_status`. ``similar`` holds further links
     (a, b) between paths of one label, for example from cosine pairs. ``variants`` replaces the
     plain signature pairs by pairs (a, b) of signatures found over turned and mirrored variants.
+    ``variant_list`` names a column with all signatures of a row, its own first: they are used if no row that
+    is still ok lacks them, else the plain signatures are.
     Rows in near conflict leave their group but still connect the rows around them. A row without a
     signature is a group of its own unless ``similar`` links it.
     """
     marked = freeze(mark_exact(manifest, path, digest, label))
     ok = marked.where("status = 'ok'").select(path, signature, label)
     nodes = freeze(content_nodes(ok, path, signature, label))
+    if variants is None and variant_list:
+        lists = marked.where("status = 'ok'").select(F.col(signature).alias("signature"), F.col(variant_list).alias("v"))
+        if lists.where("v is null").isEmpty():
+            variants = variant_pairs(lists.distinct(), "signature", "v", max_distance)
     if variants is not None:
         pairs = freeze(variants.select("a", "b"))
         bad = freeze(near_conflicts(nodes, pairs))

@@ -80,11 +80,19 @@ def prediction_counts(t: Tables):
 
 def _sweep_scores(t: Tables) -> DataFrame:
     s = _sweep(t)
-    return freeze(core_metrics(cells(s, by=_CELL), _CELL).select(*_CELL, "macro_f1"))
+    means = s.groupBy(*_CELL).agg(F.avg("conf").alias("mean_confidence"))
+    return freeze(core_metrics(cells(s, by=_CELL), _CELL).select(*_CELL, "macro_f1").join(means, _CELL))
+
+
+@query(f"WITH {_SHAKEN} SELECT model, corruption, severity::INT AS severity, y, pred, count(*) AS n FROM shaken GROUP BY ALL")
+def sweep_confusion(t: Tables):
+    """The confusion cells of every corruption cell that :func:`corruption_sweep` scores."""
+    return cells(_sweep(t), by=_CELL).select(*_CELL, "y", "pred", "n")
 
 
 _SWEEP_F1 = f"""{_SHAKEN}, {_sql_metrics('shaken', 'cell')},
-f1 AS (SELECT split_part(cell, '/', 1) AS model, split_part(cell, '/', 2) AS corruption, split_part(cell, '/', 3)::INT AS severity, macro_f1 FROM core)"""
+sure AS (SELECT cell, avg(conf) AS mean_confidence FROM shaken GROUP BY 1),
+f1 AS (SELECT split_part(cell, '/', 1) AS model, split_part(cell, '/', 2) AS corruption, split_part(cell, '/', 3)::INT AS severity, macro_f1, mean_confidence FROM core JOIN sure USING (cell))"""
 
 
 @query(f"""WITH {_SWEEP_F1} SELECT model, round(max(macro_f1) FILTER (severity = 0), 6) AS clean_macro_f1,
@@ -99,8 +107,8 @@ def sweep_summary(t: Tables):
     return rounded(rollups.sweep_summary(_sweep_scores(t), "model", CORRUPTIONS))
 
 
-@query(f"""WITH {_SWEEP_F1} SELECT model, corruption, severity, round(macro_f1, 6) AS macro_f1 FROM f1 WHERE severity > 0
-UNION ALL SELECT model, unnest(['blur', 'noise']), 0, round(macro_f1, 6) FROM f1 WHERE severity = 0""")
+@query(f"""WITH {_SWEEP_F1} SELECT model, corruption, severity, round(macro_f1, 6) AS macro_f1, round(mean_confidence, 6) AS mean_confidence FROM f1 WHERE severity > 0
+UNION ALL SELECT model, unnest(['blur', 'noise']), 0, round(macro_f1, 6), round(mean_confidence, 6) FROM f1 WHERE severity = 0""")
 def degradation_curve(t: Tables):
     return rounded(rollups.degradation_curve(_sweep_scores(t), CORRUPTIONS))
 

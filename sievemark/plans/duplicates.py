@@ -183,6 +183,24 @@ grouped AS (SELECT m.path, m.label, CASE WHEN b.path IS NOT NULL THEN 'conflict'
   FROM marked m LEFT JOIN bad b USING (path) LEFT JOIN comp c USING (path) LEFT JOIN firsts f USING (root))"""
 
 
+def _sql_variant_groups(label: str) -> str:
+    turned = ", ".join(_sql_rotated("signature", 8 * k) for k in range(8))
+    plain = f"near AS (SELECT a.path AS a, b.path AS b, a.label = b.label AS same FROM ok a JOIN ok b ON a.path <> b.path AND bit_count(xor(a.signature, b.signature)) <= {DISTANCE})"
+    over = f"""one AS (SELECT a.path AS a, b.path AS b, a.label = b.label AS same FROM ok a JOIN (SELECT path, label, unnest([{turned}]) AS v FROM ok) b ON a.path <> b.path AND bit_count(xor(a.signature, b.v)) <= {DISTANCE}),
+near AS (SELECT a, b, same FROM one UNION SELECT b, a, same FROM one)"""
+    whole = _sql_groups(label)
+    assert plain in whole
+    return whole.replace(plain, over)
+
+
+@query(f"WITH RECURSIVE {_sql_variant_groups('lang')} SELECT path, status, duplicate_of, group_id FROM grouped")
+def variant_groups(t: Tables):
+    """Grouping over eight variants of each signature, which every row has."""
+    m = signed_documents(t, "lang").withColumn("status", F.lit("ok"))
+    m = m.withColumn("variants", F.array(*_turns(F.col("signature"))))
+    return groups.assign_groups(m, max_distance=DISTANCE, variant_list="variants")[0].select("path", "status", "duplicate_of", "group_id")
+
+
 def _grouped(t: Tables, label: str = "lang"):
     m = signed_documents(t, label).withColumn("status", F.lit("ok"))
     return groups.assign_groups(m, max_distance=DISTANCE)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 from pyspark.sql import Window
@@ -282,17 +281,17 @@ def temperature_grid(t: Tables):
 
 
 def _sql_refined(rounds: int = 3, points: int = 64) -> str:
-    """The refined grid over log T as CTEs: each round keeps the neighbours of its best point."""
+    """The refined grid over log T as CTEs up to ``fitted``: each round keeps the neighbours of its best point."""
     ctes = [f"val AS (SELECT y, logits FROM scored WHERE split = 'val'), span0 AS (SELECT ln(0.05) AS low, ln(20.0) AS high)"]
     for r in range(rounds):
         ctes.append(f"""grid{r} AS (SELECT i, low + (high - low) / {points - 1} * i AS g FROM span{r}, range({points}) s(i)),
 nll{r} AS (SELECT i, g, avg(-ln(exp((logits[y + 1] - list_max(logits)) / exp(g)) / list_sum(list_transform(logits, lambda z: exp((z - list_max(logits)) / exp(g)))) + 1e-12)) AS nll FROM val, grid{r} GROUP BY 1, 2),
 best{r} AS (SELECT i, g, nll FROM nll{r} ORDER BY nll, i LIMIT 1),
 span{r + 1} AS (SELECT min(n.g) AS low, max(n.g) AS high FROM nll{r} n, best{r} b WHERE n.i BETWEEN b.i - 1 AND b.i + 1)""")
-    return ",\n".join(ctes) + f"\nSELECT round(nll, 4) AS nll, round(exp(g), 4) AS temperature FROM best{rounds - 1}"
+    return ",\n".join(ctes) + f",\nfitted AS (SELECT nll, exp(g) AS temperature FROM best{rounds - 1})"
 
 
-@query(f"WITH {SCORED}, {_sql_refined()}")
+@query(f"WITH {SCORED}, {_sql_refined()} SELECT round(nll, 4) AS nll, round(temperature, 4) AS temperature FROM fitted")
 def fitted_temperature(t: Tables):
     """Minimiser of the validation NLL by a refined grid (three passes)."""
     s = frozen_scored(t)
@@ -338,15 +337,15 @@ def conformal_threshold(t: Tables):
     return rounded(calibration.qhat(scored(t).where("split = 'val'"), "probs", "y", 0.1))
 
 
-# The threshold is published with six digits, rounded up, so that no record sits on a rounding edge.
-_SETS = f"""{_QHAT}, edge AS (SELECT ceil(qhat * 1000000) / 1000000 AS qhat FROM qhat), sets AS (SELECT id, split, y, list_filter(range(8), lambda k: probs[k + 1] >= 1 - qhat OR k = pred) AS members FROM scored CROSS JOIN edge)"""
+# The record that sets the threshold is inside: 1 - (1 - p) may miss p by the last digit, which the slack covers.
+_SLACK = 1e-12
+_SETS = f"""{_QHAT}, sets AS (SELECT id, split, y, list_filter(range(8), lambda k: probs[k + 1] >= 1 - (qhat + {_SLACK}::DOUBLE) OR k = pred) AS members FROM scored CROSS JOIN qhat)"""
 
 
 def _sets(t: Tables):
     s = frozen_scored(t)
     q = calibration.qhat(s.where("split = 'val'"), "probs", "y", 0.1).first()["qhat"]
-    q = math.ceil(q * 1000000) / 1000000
-    return s.withColumn("members", arrays.prediction_set("probs", q))
+    return s.withColumn("members", arrays.prediction_set("probs", q + _SLACK))
 
 
 @query(f"WITH {SCORED}, {_SETS} SELECT id, array_to_string(members, ',') AS members, len(members)::INT AS size FROM sets")
@@ -367,22 +366,23 @@ def class_coverage(t: Tables):
     return rounded(calibration.set_metrics(_sets(t).where("split = 'test'"), "members", "y", ["y"]))
 
 
-@query(f"""WITH {SCORED}, p AS (SELECT id, y, pred, correct, tt AS temperature, list_transform(logits, lambda z: exp((z - list_max(logits)) / tt)) AS pw FROM scored CROSS JOIN (SELECT unnest([1.0, 3.0]) AS tt)),
-q AS (SELECT temperature, id, y, correct, list_transform(pw, lambda x: x / list_sum(pw)) AS probs FROM p), c AS (SELECT *, list_max(probs) AS conf FROM q),
-b AS (SELECT temperature, len(list_filter(list_transform(range(1, 15), lambda i: i / 15.0::DOUBLE), lambda e: conf > e)) AS bin, count(*) AS n, avg(conf) AS confidence, avg(correct::INT) AS accuracy FROM c GROUP BY ALL),
-e AS (SELECT temperature, sum(n * abs(accuracy - confidence)) / sum(n) AS ece FROM b GROUP BY 1)
-SELECT temperature::DOUBLE AS temperature, round(any_value(ece), 6) AS ece, round(avg(-ln(probs[y + 1] + 1e-12)), 6) AS nll, round(avg(conf), 6) AS mean_confidence FROM c JOIN e USING (temperature) GROUP BY 1""")
+@query(f"""WITH {SCORED}, {_sql_refined()}, tts AS (SELECT 1.0::DOUBLE AS tt, false AS scaled UNION ALL SELECT temperature, true FROM fitted),
+p AS (SELECT id, y, pred, correct, tt AS temperature, scaled, list_transform(logits, lambda z: exp((z - list_max(logits)) / tt)) AS pw FROM scored CROSS JOIN tts),
+q AS (SELECT temperature, scaled, id, y, correct, list_transform(pw, lambda x: x / list_sum(pw)) AS probs FROM p), c AS (SELECT *, list_max(probs) AS conf FROM q),
+b AS (SELECT scaled, len(list_filter(list_transform(range(1, 15), lambda i: i / 15.0::DOUBLE), lambda e: conf > e)) AS bin, count(*) AS n, avg(conf) AS confidence, avg(correct::INT) AS accuracy FROM c GROUP BY ALL),
+e AS (SELECT scaled, sum(n * abs(accuracy - confidence)) / sum(n) AS ece FROM b GROUP BY 1)
+SELECT scaled, round(any_value(temperature), 4) AS temperature, round(any_value(ece), 4) AS ece, round(avg(-ln(probs[y + 1] + 1e-12)), 4) AS nll, round(avg(conf), 4) AS mean_confidence FROM c JOIN e USING (scaled) GROUP BY 1""")
 def calibration_summary(t: Tables):
-    """ECE, NLL and mean confidence before and after scaling."""
-    s = scored(t).select("id", "y", "correct", "logits")
-    both = s.withColumn("temperature", F.explode(F.array(F.lit(1.0), F.lit(3.0)))).withColumn(
-        "probs", arrays.softmax("logits", F.col("temperature"))
-    )
+    """ECE, NLL and mean confidence before and after scaling by the temperature that validation rows give."""
+    s = frozen_scored(t)
+    best = calibration.fit_temperature(s.where("split = 'val'"), "logits", "y")
+    steps = F.array(*[F.struct(F.lit(x).alias("scaled"), F.lit(v).alias("temperature")) for x, v in ((False, 1.0), (True, best))])
+    both = s.select("id", "y", "correct", "logits", F.inline(steps)).withColumn("probs", arrays.softmax("logits", F.col("temperature")))
     both = freeze(both.withColumn("conf", F.array_max("probs")).drop("logits"))
-    facts = both.groupBy("temperature").agg(
-        F.avg(arrays.nll_term("probs", "y")).alias("nll"), F.avg("conf").alias("mean_confidence")
+    facts = both.groupBy("scaled").agg(
+        F.max("temperature").alias("temperature"), F.avg(arrays.nll_term("probs", "y")).alias("nll"), F.avg("conf").alias("mean_confidence")
     )
-    return rounded(calibration.ece(both, "conf", "correct", 15, ["temperature"]).join(facts, "temperature"))
+    return rounded(calibration.ece(both, "conf", "correct", 15, ["scaled"]).join(facts, "scaled"), 4)
 
 
 # ---------------------------------------------------------------- label audit

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievemark.operators import components, near_groups
+from sievemark.operators import components, groups, near_groups
 from sievemark.session import stored
 
 SCHEMA = "signature long, label string, node string, n long"
@@ -80,3 +80,17 @@ def test_empty_and_lonely_nodes(spark):
     assert near_groups.near_facts(spark.createDataFrame([], SCHEMA), 5).count() == 0
     lone = spark.createDataFrame([(1, "x", "a", 5), (-1, None, "b", 2)], SCHEMA)
     assert near_groups.near_facts(lone, 5).count() == 0
+
+
+def test_variants_are_used_only_if_every_ok_row_has_them(spark):
+    rows = [("a", "s1", "x", 0b1111, [0b1111, 0xFF00]), ("b", "s2", "x", 0xFF00, [0xFF00, -1]), ("c", "s3", "y", -1, [-1, 1 << 40])]
+    schema = "path string, sha256 string, label string, signature long, variants array<long>"
+
+    def grouped(data):
+        df = spark.createDataFrame(data, schema).withColumn("status", F.lit("ok"))
+        out, counts = groups.assign_groups(df, max_distance=0, variant_list="variants")
+        return {r.path: (r.status, r.group_id) for r in out.collect()}, tuple(counts.first())
+
+    assert grouped(rows) == ({"a": ("ok", 0), "b": ("conflict", None), "c": ("conflict", None)}, (2, 1))
+    lacking = [*rows[:2], (*rows[2][:4], None)]
+    assert grouped(lacking) == ({"a": ("ok", 0), "b": ("ok", 1), "c": ("ok", 2)}, (0, 0))
