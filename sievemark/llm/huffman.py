@@ -98,14 +98,18 @@ class Encoder:
     def _learn_cuts(self, new: set[str]) -> None:
         """What follows a blank: a word, a word and a rest, or else a piece for the library."""
         later, rests = self.later, self.rests
-        words = {c for c in new if c.isalpha()}
-        parted, whole = [], set()
-        for cut in new - words:
-            m = _letters.match(cut)
-            if m and m[0].isalpha():
-                parted.append((cut, m[0], cut[m.end() :]))
+        words, parted, whole = set(), [], set()
+        for cut in new:
+            if cut.isalpha():
+                words.add(cut)
+            elif cut[:-1].isalpha():  # a word and one more sign, the usual case
+                parted.append((cut, cut[:-1], cut[-1]))
             else:
-                whole.add(cut)
+                m = _letters.match(cut)
+                if m and m[0].isalpha():
+                    parted.append((cut, m[0], cut[m.end() :]))
+                else:
+                    whole.add(cut)
         words.update(w for _, w, _ in parted if w not in later)
         self._learn_words(list(words))
         self._learn(rests, {r for _, _, r in parted})
