@@ -116,11 +116,6 @@ def _hashed(classes: DataFrame, hashes: int, tables: int) -> DataFrame:
     return classes.mapInArrow(run, f"{classes._jdf.schema().toDDL()}, keys array<long>, sketch long")
 
 
-def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of paired rows, whatever their order."""
-    return np.clip((units(a) * units(b)).sum(axis=1), -1.0, 1.0)
-
-
 def _with_cosine(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """The cosine of two vector columns, which have the same length in each row; the vectors go."""
     kept = [f for f in pairs.schema if f.name not in (a, b)]
