@@ -170,3 +170,27 @@ def quadratic_scores(vectors: Column | str, means: np.ndarray, precision: np.nda
         return spread_out(pa.array(best), present)
 
     return scores(_col(vectors))
+
+
+def whitened_distance(vectors: Column | str, means: np.ndarray, covariance: np.ndarray) -> Column:
+    """Smallest squared Mahalanobis distance to a class mean, without an inverse of the covariance.
+
+    With covariance = LLᵀ the distance is |L⁻¹x - L⁻¹m|²: each Arrow batch is whitened by one product and then
+    compared with the whitened means. NULL vectors give NULL.
+    """
+    lower = np.linalg.cholesky(np.asarray(covariance, dtype=np.float64))
+    whiten = np.linalg.solve(lower, np.eye(len(lower)))
+    targets = np.asarray(means, dtype=np.float64) @ whiten.T
+
+    @F.arrow_udf("double")
+    def scores(v: pa.Array) -> pa.Array:
+        x, present = to_matrix(v)
+        if not len(x):
+            return pa.nulls(len(v), pa.float64())
+        z = x @ whiten.T
+        best = np.full(len(z), np.inf)
+        for target in targets:
+            best = np.minimum(best, ((z - target) ** 2).sum(axis=1))
+        return spread_out(pa.array(best), present)
+
+    return scores(_col(vectors))

@@ -75,20 +75,34 @@ def class_mean_vectors(t: Tables):
 def _mahalanobis(t: Tables) -> DataFrame:
     train = vectors(t).where(F.col("label").isin(*CLASSES) & (F.col("split") == "train"))
     means = centroids(t, True)
-    precision = ood.shrunk_precision(train, "embedding", "label", means, CLASSES)
+    cov = ood.shrunk_covariance(train, "embedding", "label", means, CLASSES)
     held = vectors(t).where(~(F.col("label").isin(*CLASSES) & (F.col("split") == "train")))
-    return held.select("vec_id", arrays.quadratic_scores("embedding", means, precision).alias("score"))
-
-
-@query(f"""WITH {VECTORS}, tr AS (SELECT vec_id, label, v FROM emb WHERE split = 'train' AND label < 8),
-x AS (SELECT vec_id, label, unnest(v) AS x, (unnest(range(0, len(v))))::INT AS i FROM tr),
-m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY 1, 2), r AS (SELECT vec_id, x.i, x - m AS r FROM x JOIN m ON m.label = x.label AND m.i = x.i),
-n AS (SELECT count(*)::DOUBLE AS n FROM tr), o AS (SELECT i, avg(r) AS o FROM r GROUP BY 1),
-cov AS (SELECT a.i, b.i AS j, sum(a.r * b.r) / any_value(n.n) - any_value(oa.o) * any_value(ob.o) AS c FROM r a JOIN r b USING (vec_id) JOIN o oa ON oa.i = a.i JOIN o ob ON ob.i = b.i, n GROUP BY 1, 2),
-f AS (SELECT sum(s * s) AS fourth FROM (SELECT sum(r * r) AS s FROM r GROUP BY vec_id)),
-k AS (SELECT sum(c) FILTER (i = j) AS tr, sum(c * c) AS spread, (max(i) + 1)::DOUBLE AS d FROM cov),
-g AS (SELECT tr / d AS mu, (spread - 2 * (tr / d) * tr + d * (tr / d) * (tr / d)) / d AS gap, greatest((fourth / n - spread) / (n * d), 0) AS noise FROM k, f, n)
-SELECT i, j, round((1 - least(noise, gap) / gap) * c + CASE WHEN i = j THEN least(noise, gap) / gap * mu ELSE 0 END, 6) AS value FROM cov, g""")
+    return held.select("vec_id", arrays.whitened_distance("embedding", means, cov).alias("score"))
+
+
+_COV = """c_tr AS (SELECT vec_id, label, v FROM emb WHERE split = 'train' AND label < 8),
+c_x AS (SELECT vec_id, label, unnest(v) AS x, (unnest(range(0, len(v))))::INT AS i FROM c_tr),
+c_m AS (SELECT label, i, avg(x) AS m FROM c_x GROUP BY 1, 2), c_r AS (SELECT vec_id, x.i, x - m AS r FROM c_x x JOIN c_m m ON m.label = x.label AND m.i = x.i),
+c_n AS (SELECT count(*)::DOUBLE AS n FROM c_tr), c_o AS (SELECT i, avg(r) AS o FROM c_r GROUP BY 1),
+c_cov AS (SELECT a.i, b.i AS j, sum(a.r * b.r) / any_value(c_n.n) - any_value(oa.o) * any_value(ob.o) AS c FROM c_r a JOIN c_r b USING (vec_id) JOIN c_o oa ON oa.i = a.i JOIN c_o ob ON ob.i = b.i, c_n GROUP BY 1, 2),
+c_f AS (SELECT sum(s * s) AS fourth FROM (SELECT sum(r * r) AS s FROM c_r GROUP BY vec_id)),
+c_k AS (SELECT sum(c) FILTER (i = j) AS tr, sum(c * c) AS spread, (max(i) + 1)::DOUBLE AS d FROM c_cov),
+c_g AS (SELECT tr / d AS mu, (spread - 2 * (tr / d) * tr + d * (tr / d) * (tr / d)) / d AS gap, greatest((fourth / n - spread) / (n * d), 0) AS noise FROM c_k, c_f, c_n),
+shrunk AS (SELECT i, j, (1 - least(noise, gap) / gap) * c + CASE WHEN i = j THEN least(noise, gap) / gap * mu ELSE 0 END AS value FROM c_cov, c_g)"""
+
+# The inverse by elimination, a pivot a step, and the smallest quadratic form; the Spark side whitens by a Cholesky factor.
+_MAHALANOBIS = f"""{_COV}, square AS (SELECT list(line ORDER BY i) AS m FROM (SELECT i, list(value ORDER BY j) AS line FROM shrunk GROUP BY i)),
+steps_ (k, m) AS (SELECT 0, list_transform(m, lambda line, i: list_concat(line, list_transform(range(1, len(line) + 1), lambda j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))) FROM square
+  UNION ALL SELECT k + 1, list_transform(m, lambda line, i: CASE WHEN i = k + 1 THEN list_transform(line, lambda x: x / line[k + 1])
+    ELSE list_transform(line, lambda x, j: x - line[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM steps_ WHERE k < len(m)),
+inverse AS (SELECT list_transform(m, lambda line: line[len(m) + 1 : 2 * len(m)]) AS p FROM steps_ WHERE k = len(m)),
+gaps_ AS (SELECT e.vec_id, list_transform(list_zip(e.v, c.c), lambda z: z[1] - z[2]) AS d FROM emb e CROSS JOIN scored_cent c WHERE e.split <> 'train' OR e.label >= 8),
+far AS (SELECT vec_id, min(list_dot_product(d, list_transform(p, lambda line: list_dot_product(line, d)))) AS mahalanobis FROM gaps_ CROSS JOIN inverse GROUP BY 1)"""
+
+_FOUR = f"""{_SCORES}, {_MAHALANOBIS}, long4 AS (SELECT * FROM long UNION ALL SELECT id, split, kind, source, 'mahalanobis', mahalanobis FROM rows JOIN far ON vec_id = id)"""
+
+
+@query(f"""WITH {VECTORS}, {_COV} SELECT i, j, round(value, 6) AS value FROM shrunk""")
 def shrunk_covariance(t: Tables):
     """The shared covariance under the foreignness score, before its inverse."""
     train = vectors(t).where(F.col("label").isin(*CLASSES) & (F.col("split") == "train"))
@@ -98,9 +112,9 @@ def shrunk_covariance(t: Tables):
     return rounded(lines.select("i", F.posexplode("line").alias("j", "value")))
 
 
-@query()
+@query(f"WITH RECURSIVE {VECTORS}, {sql_scored(train_only=True, known=False)}, {_MAHALANOBIS} SELECT vec_id, round(mahalanobis, 4) AS score FROM far")
 def mahalanobis_scores(t: Tables):
-    """Smallest quadratic form to a class mean under the shrunk shared covariance (needs an inverse)."""
+    """Smallest squared distance to a class mean under the shrunk shared covariance."""
     return rounded(_mahalanobis(t), 4)
 
 
@@ -129,8 +143,9 @@ def knn_with_gaps(t: Tables):
     return rounded(kth_cosine(asked, "key", "v", bank, "b", "v", K, bank_bytes=0))
 
 
-_AREAS = """sides AS (SELECT scorer, kind, score, true AS pos FROM long WHERE split = 'cal'
-  UNION ALL SELECT scorer, unnest(['near', 'far']), score, false FROM long WHERE split = 'val'),
+def _sql_areas(long: str) -> str:
+    return f"""sides AS (SELECT scorer, kind, score, true AS pos FROM {long} WHERE split = 'cal'
+  UNION ALL SELECT scorer, unnest(['near', 'far']), score, false FROM {long} WHERE split = 'val'),
 ranks AS (SELECT *, rank() OVER (PARTITION BY scorer, kind ORDER BY score) + (count(*) OVER (PARTITION BY scorer, kind, score) - 1) / 2.0 AS r FROM sides),
 areas AS (SELECT scorer, kind, (sum(r) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2.0) / (count(*) FILTER (pos)::DOUBLE * count(*) FILTER (NOT pos)) AS auroc FROM ranks GROUP BY 1, 2)"""
 
@@ -139,36 +154,42 @@ def _areas(t: Tables) -> DataFrame:
     return ood.scorer_comparison(_long(t).where("split in ('val', 'cal')"))
 
 
-@query(f"WITH {_SCORES}, {_AREAS} SELECT scorer, kind, round(auroc, 6) AS auroc FROM areas")
+def _long4(t: Tables) -> DataFrame:
+    far = _mahalanobis(t).withColumnsRenamed({"vec_id": "id", "score": "mahalanobis"})
+    names = ["msp", "energy", "mahalanobis", "knn"]
+    return _rows(t).join(far, "id").unpivot(["id", "split", "kind", "source"], names, "scorer", "score")
+
+
+def _four_areas(t: Tables) -> DataFrame:
+    return ood.scorer_comparison(_long4(t).where("split in ('val', 'cal')"))
+
+
+@query(f"WITH {_SCORES}, {_sql_areas('long')} SELECT scorer, kind, round(auroc, 6) AS auroc FROM areas")
 def scorer_areas(t: Tables):
     return rounded(_areas(t))
 
 
-@query(f"""WITH {_SCORES}, {_AREAS}, m AS (SELECT scorer, avg(auroc) AS a FROM areas GROUP BY 1)
+@query(f"""WITH RECURSIVE {_FOUR}, {_sql_areas('long4')}, m AS (SELECT scorer, avg(auroc) AS a FROM areas GROUP BY 1)
 SELECT scorer, round(a, 6) AS mean_auroc FROM m WHERE a >= (SELECT max(a) FROM m) - 0.001 ORDER BY list_position(['knn', 'mahalanobis', 'energy', 'msp'], scorer) LIMIT 1""")
 def chosen_scorer(t: Tables):
-    return rounded(ood.choose_scorer(_areas(t)))
+    return rounded(ood.choose_scorer(_four_areas(t)))
 
 
-@query()
+@query(f"WITH RECURSIVE {_FOUR}, {_sql_areas('long4')} SELECT scorer, kind, round(auroc, 6) AS auroc FROM areas")
 def all_scorer_areas(t: Tables):
-    """Areas of all four scorers; the quadratic one needs a matrix inverse, so rows only."""
-    far = _mahalanobis(t).withColumnsRenamed({"vec_id": "id", "score": "mahalanobis"})
-    rows = _rows(t).join(far, "id").where("split in ('val', 'cal')")
-    names = ["msp", "energy", "mahalanobis", "knn"]
-    long_rows = rows.unpivot(["id", "split", "kind", "source"], names, "scorer", "score")
-    return rounded(ood.scorer_comparison(long_rows))
+    """Areas of all four scorers."""
+    return rounded(_four_areas(t))
 
 
-@query(f"""WITH {_SCORES}, tau AS (SELECT scorer, quantile_cont(score, 0.95) AS tau FROM long WHERE split = 'val' GROUP BY 1),
-test AS (SELECT scorer, kind, score, score <= tau AS kept FROM long JOIN tau USING (scorer) WHERE split = 'test'),
+@query(f"""WITH RECURSIVE {_FOUR}, tau AS (SELECT scorer, quantile_cont(score, 0.95) AS tau FROM long4 WHERE split = 'val' GROUP BY 1),
+test AS (SELECT scorer, kind, score, score <= tau AS kept FROM long4 JOIN tau USING (scorer) WHERE split = 'test'),
 acc AS (SELECT scorer, avg(kept::INT) AS id_acceptance FROM test WHERE kind = 'id' GROUP BY 1),
 sides AS (SELECT scorer, unnest([kind, 'all']) AS kind, score, kept, true AS pos FROM test WHERE kind <> 'id' UNION ALL SELECT scorer, unnest(['near', 'far', 'all']), score, kept, false FROM test WHERE kind = 'id'),
 ranks AS (SELECT *, rank() OVER (PARTITION BY scorer, kind ORDER BY score) + (count(*) OVER (PARTITION BY scorer, kind, score) - 1) / 2.0 AS r FROM sides)
 SELECT scorer, kind, round((sum(r) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2.0) / (count(*) FILTER (pos)::DOUBLE * count(*) FILTER (NOT pos)), 6) AS auroc,
   round(avg(kept::INT) FILTER (pos), 6) AS fpr, round(any_value(id_acceptance), 6) AS id_acceptance FROM ranks JOIN acc USING (scorer) GROUP BY 1, 2""")
 def foreign_test_report(t: Tables):
-    return rounded(ood.test_report(freeze(_long(t))))
+    return rounded(ood.test_report(freeze(_long4(t))))
 
 
 @query(f"""WITH {_SCORES}, tau AS (SELECT quantile_cont(knn, 0.95) AS tau FROM rows WHERE split = 'val')
