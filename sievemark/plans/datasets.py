@@ -132,5 +132,18 @@ def sql_scored(train_only: bool = False, scale: float = SCALE, known: bool = Tru
 SCORED = VECTORS + ",\n" + sql_scored()
 
 
+def sql_refined(
+    rounds: int = 3, points: int = 64, source: str = "scored WHERE split = 'val'", y: str = "y", logits: str = "logits"
+) -> str:
+    """The refined grid over log T as CTEs up to ``fitted``: each round keeps the neighbours of its best point."""
+    ctes = [f"val AS (SELECT {y} AS y, {logits} AS logits FROM {source}), span0 AS (SELECT ln(0.05) AS low, ln(20.0) AS high)"]
+    for r in range(rounds):
+        ctes.append(f"""grid{r} AS (SELECT i, low + (high - low) / {points - 1} * i AS g FROM span{r}, range({points}) s(i)),
+nll{r} AS (SELECT i, g, avg(-ln(exp((logits[y + 1] - list_max(logits)) / exp(g)) / list_sum(list_transform(logits, lambda z: exp((z - list_max(logits)) / exp(g)))) + 1e-12)) AS nll FROM val, grid{r} GROUP BY 1, 2),
+best{r} AS (SELECT i, g, nll FROM nll{r} ORDER BY nll, i LIMIT 1),
+span{r + 1} AS (SELECT min(n.g) AS low, max(n.g) AS high FROM nll{r} n, best{r} b WHERE n.i BETWEEN b.i - 1 AND b.i + 1)""")
+    return ",\n".join(ctes) + f",\nfitted AS (SELECT nll, exp(g) AS temperature FROM best{rounds - 1})"
+
+
 def frozen_scored(t: Tables, **kwargs) -> DataFrame:
     return freeze(scored(t, **kwargs))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievemark.functions import arrays
 from sievemark.operators import audit, calibration, joins, metrics, splits
 from sievemark.operators.ordered import quantiles, with_running_sums
-from sievemark.plans.datasets import CLASSES, SCORED, VECTORS, frozen_scored, scored, sql_scored, vectors
+from sievemark.plans.datasets import CLASSES, SCORED, VECTORS, frozen_scored, scored, sql_refined, sql_scored, vectors
 from sievemark.plans.registry import Tables, query, rounded
 from sievemark.session import freeze
 
@@ -280,18 +280,7 @@ def temperature_grid(t: Tables):
     return rounded(calibration.nll_grid(scored(t), "logits", "y", [0.25, 0.5, 1.0, 2.0, 4.0, 8.0]))
 
 
-def _sql_refined(rounds: int = 3, points: int = 64) -> str:
-    """The refined grid over log T as CTEs up to ``fitted``: each round keeps the neighbours of its best point."""
-    ctes = [f"val AS (SELECT y, logits FROM scored WHERE split = 'val'), span0 AS (SELECT ln(0.05) AS low, ln(20.0) AS high)"]
-    for r in range(rounds):
-        ctes.append(f"""grid{r} AS (SELECT i, low + (high - low) / {points - 1} * i AS g FROM span{r}, range({points}) s(i)),
-nll{r} AS (SELECT i, g, avg(-ln(exp((logits[y + 1] - list_max(logits)) / exp(g)) / list_sum(list_transform(logits, lambda z: exp((z - list_max(logits)) / exp(g)))) + 1e-12)) AS nll FROM val, grid{r} GROUP BY 1, 2),
-best{r} AS (SELECT i, g, nll FROM nll{r} ORDER BY nll, i LIMIT 1),
-span{r + 1} AS (SELECT min(n.g) AS low, max(n.g) AS high FROM nll{r} n, best{r} b WHERE n.i BETWEEN b.i - 1 AND b.i + 1)""")
-    return ",\n".join(ctes) + f",\nfitted AS (SELECT nll, exp(g) AS temperature FROM best{rounds - 1})"
-
-
-@query(f"WITH {SCORED}, {_sql_refined()} SELECT round(nll, 4) AS nll, round(temperature, 4) AS temperature FROM fitted")
+@query(f"WITH {SCORED}, {sql_refined()} SELECT round(nll, 4) AS nll, round(temperature, 4) AS temperature FROM fitted")
 def fitted_temperature(t: Tables):
     """Minimiser of the validation NLL by a refined grid (three passes)."""
     s = frozen_scored(t)
@@ -366,7 +355,7 @@ def class_coverage(t: Tables):
     return rounded(calibration.set_metrics(_sets(t).where("split = 'test'"), "members", "y", ["y"]))
 
 
-@query(f"""WITH {SCORED}, {_sql_refined()}, tts AS (SELECT 1.0::DOUBLE AS tt, false AS scaled UNION ALL SELECT temperature, true FROM fitted),
+@query(f"""WITH {SCORED}, {sql_refined()}, tts AS (SELECT 1.0::DOUBLE AS tt, false AS scaled UNION ALL SELECT temperature, true FROM fitted),
 p AS (SELECT id, y, pred, correct, tt AS temperature, scaled, list_transform(logits, lambda z: exp((z - list_max(logits)) / tt)) AS pw FROM scored CROSS JOIN tts),
 q AS (SELECT temperature, scaled, id, y, correct, list_transform(pw, lambda x: x / list_sum(pw)) AS probs FROM p), c AS (SELECT *, list_max(probs) AS conf FROM q),
 b AS (SELECT scaled, len(list_filter(list_transform(range(1, 15), lambda i: i / 15.0::DOUBLE), lambda e: conf > e)) AS bin, count(*) AS n, avg(conf) AS confidence, avg(correct::INT) AS accuracy FROM c GROUP BY ALL),

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from sievemark.functions import arrays
 from sievemark.functions.hashing import hash_uniform
-from sievemark.operators import gates, metrics, ood
+from sievemark.operators import bundle, gates, metrics, ood
 from sievemark.operators.ordered import quantiles
 from sievemark.operators.vector_pairs import kth_cosine
-from sievemark.plans.datasets import CLASSES, VECTORS, centroids, scored, sql_scored, vectors
+from sievemark.plans.datasets import CLASSES, VECTORS, centroids, scored, sql_refined, sql_scored, vectors
 from sievemark.plans.registry import Tables, query, rounded
-from sievemark.session import freeze
+from sievemark.session import freeze, scratch_path
 
 K = 10
 QHAT, TAU, TAU_CONF = 0.7, 0.8, 0.45
@@ -309,12 +309,14 @@ HINTS = {k: f"see {k}" for k in ("too_dark", "too_bright", "too_blurry", "low_co
 _ADVICE = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in HINTS.items()) + "}"
 
 
-def _sql_decide(source: str, name: str = "decided") -> str:
+def _sql_decide(
+    source: str, name: str = "decided", qhat: object = QHAT, tau: object = TAU, tau_conf: object = TAU_CONF, issues: str = _ISSUE_LIST
+) -> str:
     return f"""{name}_q AS (SELECT *, {_QUALITY} FROM {source}),
-{name}_i AS (SELECT *, {_ISSUE_LIST} AS issues FROM {name}_q),
-{name}_m AS (SELECT *, list_transform(list_sort(list_transform(list_filter(range(8), lambda k: probs[k + 1] >= 1 - {QHAT} OR k = pred), lambda k: {{'p': -probs[k + 1], 'k': k}})), lambda s: s.k) AS members FROM {name}_i),
-{name}_s AS (SELECT *, CASE WHEN len(issues) > 0 THEN 'rejected' WHEN score > {TAU} THEN 'rejected' WHEN len(members) = 1 AND conf >= {TAU_CONF} THEN 'accepted' ELSE 'uncertain' END AS status,
-  CASE WHEN len(issues) > 0 THEN 'low_quality' WHEN score > {TAU} THEN 'ood' WHEN len(members) = 1 AND conf >= {TAU_CONF} THEN NULL ELSE 'low_confidence' END AS reason FROM {name}_m),
+{name}_i AS (SELECT *, {issues} AS issues FROM {name}_q),
+{name}_m AS (SELECT *, list_transform(list_sort(list_transform(list_filter(range(8), lambda k: probs[k + 1] >= 1 - {qhat} OR k = pred), lambda k: {{'p': -probs[k + 1], 'k': k}})), lambda s: s.k) AS members FROM {name}_i),
+{name}_s AS (SELECT *, CASE WHEN len(issues) > 0 THEN 'rejected' WHEN score > {tau} THEN 'rejected' WHEN len(members) = 1 AND conf >= {tau_conf} THEN 'accepted' ELSE 'uncertain' END AS status,
+  CASE WHEN len(issues) > 0 THEN 'low_quality' WHEN score > {tau} THEN 'ood' WHEN len(members) = 1 AND conf >= {tau_conf} THEN NULL ELSE 'low_confidence' END AS reason FROM {name}_m),
 {name} AS (SELECT id, y, source, split, kind, score, correct, pred, status, reason, CASE WHEN status <> 'rejected' THEN 'class ' || pred END AS label, CASE WHEN status <> 'rejected' THEN conf END AS confidence,
   CASE WHEN status <> 'rejected' THEN array_to_string(list_transform(members, lambda k: 'class ' || k), '|') ELSE '' END AS prediction_set,
   CASE WHEN reason = 'low_quality' THEN array_to_string(issues, '|') ELSE '' END AS issues,
@@ -427,3 +429,71 @@ def gate_rejections(t: Tables):
             F.count("*").alias("n"), F.avg((F.size(_gate()) > 0).cast("double")).alias("rejected")
         )
     )
+
+
+# ---------------------------------------------------------------- fitted bundle
+
+GATE_PERCENT, MAX_ACCEPT, TARGET = 5.0, 0.9, 0.9  # the stand-in measures and foreign vectors need wider settings than photos
+
+_FITTED_ISSUES = """list_filter([CASE WHEN brightness < b.lo[1] THEN 'too_dark' END, CASE WHEN brightness > b.hi[1] THEN 'too_bright' END, CASE WHEN sharpness < b.lo[3] THEN 'too_blurry' END,
+  CASE WHEN contrast < b.lo[2] THEN 'low_contrast' END, CASE WHEN green_frac < b.lo[4] THEN 'no_leaf' END], lambda x: x IS NOT NULL)"""
+_FITTED = f"""{_FOUR}, t_q AS (SELECT {_QUALITY} FROM (SELECT vec_id AS id FROM emb WHERE split = 'train' AND label < 8)),
+b AS (SELECT {{'lo': [{', '.join(f'quantile_cont({c}, {GATE_PERCENT / 100})' for c in _MEASURE_NAMES)}], 'hi': [{', '.join(f'quantile_cont({c}, {1 - GATE_PERCENT / 100})' for c in _MEASURE_NAMES)}]}} AS b FROM t_q),
+{sql_refined(source="rows JOIN scored USING (id) WHERE rows.kind = 'id' AND rows.split = 'val'", y="rows.y", logits="scored.logits")},
+g_pow AS (SELECT r.id, r.split, r.kind, r.source, r.y, s.logits, temperature AS t, list_transform(s.logits, lambda z: exp((z - list_max(s.logits)) / temperature)) AS pw, r.knn, far.mahalanobis
+  FROM rows r JOIN scored s USING (id) JOIN far ON far.vec_id = r.id CROSS JOIN fitted),
+g_prob AS (SELECT * EXCLUDE (pw), list_transform(pw, lambda p: p / list_sum(pw)) AS probs, -t * (list_max(logits) / t + ln(list_sum(pw))) AS energy FROM g_pow),
+g_rows AS (SELECT *, list_max(probs) AS conf, 1 - list_max(probs) AS msp, (list_position(probs, list_max(probs)) - 1)::INT AS pred, list_position(probs, list_max(probs)) - 1 = y AS correct, {_QUALITY} FROM g_prob),
+g_clean AS (SELECT g.*, {_FITTED_ISSUES} AS issues FROM g_rows g CROSS JOIN b),
+g_score AS (SELECT 1 - probs[y + 1] AS s, row_number() OVER (ORDER BY 1 - probs[y + 1]) - 1 AS r, count(*) OVER () AS n FROM g_rows WHERE split = 'val'),
+g_qhat AS (SELECT s AS qhat FROM g_score WHERE r = ceil(least(1.0, ceil((n + 1) * (1 - 0.1)) / n) * (n - 1))),
+g_long AS (UNPIVOT (SELECT id, split, kind, msp, energy, knn, mahalanobis FROM g_rows WHERE split IN ('val', 'cal')) ON msp, energy, knn, mahalanobis INTO NAME scorer VALUE score),
+{_sql_areas('g_long')}, g_mean AS (SELECT scorer, avg(auroc) AS a FROM areas GROUP BY 1),
+g_best AS (SELECT scorer FROM g_mean WHERE a >= (SELECT max(a) FROM g_mean) - 0.001 ORDER BY list_position(['knn', 'mahalanobis', 'energy', 'msp'], scorer) LIMIT 1),
+g_taus AS (SELECT unnest({_LADDER}) AS level, unnest(quantile_cont(score, {_LADDER})) AS tau FROM g_long SEMI JOIN g_best USING (scorer) WHERE split = 'val'),
+g_share AS (SELECT level, tau, avg((score <= tau)::INT) AS share FROM g_taus CROSS JOIN (SELECT score FROM g_long SEMI JOIN g_best USING (scorer) WHERE split = 'cal') GROUP BY 1, 2),
+g_tau AS (SELECT level, tau FROM g_share WHERE level = coalesce((SELECT max(level) FROM g_share WHERE share <= {MAX_ACCEPT}), 0.95)),
+g_gated AS (SELECT *, CASE (SELECT scorer FROM g_best) WHEN 'msp' THEN msp WHEN 'energy' THEN energy WHEN 'knn' THEN knn ELSE mahalanobis END AS score FROM g_clean),
+g_steps AS (SELECT conf, avg(correct::INT) OVER (ORDER BY conf DESC RANGE UNBOUNDED PRECEDING) AS a FROM g_gated CROSS JOIN g_tau WHERE split = 'val' AND len(issues) = 0 AND score <= tau),
+g_conf AS (SELECT coalesce(min(conf) FILTER (a >= {TARGET}), 0.5) AS tau_conf FROM g_steps)"""
+
+
+def _gate_rows(t: Tables) -> DataFrame:
+    """Held-out and foreign rows with logits, measures and the two scores that need vectors."""
+    far = _mahalanobis(t).withColumnsRenamed({"vec_id": "id", "score": "mahalanobis"})
+    logits = scored(t, train_only=True, known=False).select("id", "logits")
+    rows = _rows(t).select("id", "split", "kind", "source", "y", "knn").join(far, "id").join(logits, "id")
+    return freeze(with_quality(rows))
+
+
+def _gate_model(t: Tables, rows: DataFrame) -> bundle.GateModel:
+    train = vectors(t).where(F.col("label").isin(*CLASSES) & (F.col("split") == "train"))
+    measures = with_quality(train.select(F.col("vec_id").alias("id"))).select(*_MEASURE_NAMES)
+    found = gates.percentile_bounds(measures.unpivot([], list(_MEASURE_NAMES), "measure", "value"), "measure", "value", GATE_PERCENT)
+    edges = {r["measure"]: r for r in found.collect()}  # a row per measure
+    bounds = {f"min_{m}": edges[m]["low"] for m in _MEASURE_NAMES} | {"max_brightness": edges["brightness"]["high"]}
+    return bundle.GateEstimator(NAMES, bounds, HINTS, maxAccept=MAX_ACCEPT, target=TARGET).fit(rows)
+
+
+@query(f"""WITH RECURSIVE {_FITTED} SELECT round(temperature, 4) AS temperature, round(qhat, 5) AS qhat, scorer, level, round(tau, 5) AS tau, round(tau_conf, 5) AS tau_conf, round(b.hi[1], 5) AS max_brightness,
+round(b.lo[1], 5) AS min_brightness, round(b.lo[2], 5) AS min_contrast, round(b.lo[3], 5) AS min_sharpness, round(b.lo[4], 5) AS min_green_frac FROM fitted, g_qhat, g_best, g_tau, g_conf, b""")
+def fitted_gates(t: Tables):
+    """Every number that the estimator of the gates fits, in one row."""
+    model = _gate_model(t, _gate_rows(t))
+    get = model.getOrDefault
+    values = {n: F.lit(v) for n, v in get("bounds").items()} | {
+        "qhat": F.lit(get("qhat")), "scorer": F.lit(get("scorer")), "level": F.lit(get("level")),
+        "tau": F.lit(get("tau")), "tau_conf": F.lit(get("tauConf")),
+    }
+    row = t.spark.range(1).select(*[v.alias(n) for n, v in values.items()])
+    return rounded(row, 5).withColumn("temperature", F.round(F.lit(get("temperature")), 4))
+
+
+@query(f"""WITH RECURSIVE {_FITTED}, inputs AS (SELECT id, y, source, split, kind, probs, pred, conf, correct, score, qhat + 1e-12::DOUBLE AS q_, tau AS t_, tau_conf AS c_, b
+  FROM g_gated, g_qhat, g_tau, g_conf, b WHERE split = 'test'), {_sql_decide('inputs', 'decided', 'q_', 't_', 'c_', _FITTED_ISSUES)} SELECT {_FLAT.replace('6', '4')} FROM decided""")
+def fitted_decisions(t: Tables):
+    """Decisions on test rows by a model that was fitted, saved and loaded again."""
+    rows = _gate_rows(t)
+    path = scratch_path(t.spark, "gates")
+    _gate_model(t, rows).save(path)
+    return rounded(flat_decision(bundle.GateModel.load(path).transform(rows.where("split = 'test'"))), 4)
