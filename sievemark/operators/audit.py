@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievemark.functions.arrays import argmax, unit
+from sievemark.functions.arrays import argmax, from_matrix, spread_out, to_matrix, unit
 from sievemark.operators.joins import new_keys
+from sievemark.operators.metrics import cells, core_metrics
 from sievemark.operators.ordered import with_position
 from sievemark.session import freeze
 
@@ -88,6 +91,44 @@ def out_of_fold(df: DataFrame, vector: str, y: str, fold: str, folds: int, probe
     return out
 
 
+def out_of_fold_centroids(df: DataFrame, vector: str, y: str, fold: str, classes: Sequence[int], scale: float = 1.0) -> DataFrame:
+    """Every row once with ``logits`` from class centroids of the other folds; all folds come from one pass.
+
+    The pass returns a mean and a count per (fold, class); the centroid without a fold is the total less that fold's
+    share. A class that lies in one fold only has probability zero there. Rows of other labels fit nothing but
+    are scored; a row without a vector gets NULL. ``fold`` is a whole number and never NULL.
+    """
+    place = {c: i for i, c in enumerate(classes)}
+    known = df.where(F.col(y).isin(*classes) & F.col(vector).isNotNull())
+    parts = known.groupBy(fold, y).agg(
+        vector_to_array(Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))).alias("m"), F.count("*").alias("n")
+    ).collect()  # folds x classes rows
+    sums = {(r[fold], place[r[y]]): (r["n"], r["n"] * np.array(r["m"])) for r in parts}
+    weights, unseen = {}, {}
+    for k in {r[fold] for r in df.select(fold).distinct().collect()}:
+        rows, gaps = [], []
+        for c in range(len(classes)):
+            others = [v for (f, cls), v in sums.items() if cls == c and f != k]
+            gaps.append(-1e9 if not others else 0.0)
+            width = len(parts[0]["m"]) if parts else 0
+            rows.append(sum(v[1] for v in others) / sum(v[0] for v in others) if others else np.zeros(width))
+        weights[k], unseen[k] = scale * np.array(rows), np.array(gaps)
+
+    @F.arrow_udf("array<double>")
+    def scores(v: pa.Array, k: pa.Array) -> pa.Array:
+        x, present = to_matrix(v)
+        if not len(x):
+            return pa.nulls(len(v), pa.list_(pa.float64()))
+        which = k.to_numpy(zero_copy_only=False)[present]
+        out = np.empty((len(x), len(classes)))
+        for f in np.unique(which):
+            at = which == f
+            out[at] = x[at] @ weights[f].T + unseen[f]
+        return spread_out(from_matrix(out), present)
+
+    return df.withColumn("logits", scores(F.col(vector), F.col(fold)))
+
+
 def _keep_sum(values: np.ndarray) -> np.ndarray:
     """Whole numbers with the same (rounded) sum: the largest remainders are rounded up."""
     low = np.floor(values + 1e-9)
@@ -173,6 +214,27 @@ def _issue_columns(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
+def ranked_issues(issues: DataFrame, key: str) -> DataFrame:
+    """Issues with their ``rank``, the least self-confident label first (ties by key)."""
+    return with_position(issues, ["given_prob", key], name="rank")
+
+
+def audit_report(issues: DataFrame, predictions: DataFrame, y: str, pred: str = "pred") -> DataFrame:
+    """:func:`audit_summary` with accuracy and macro F1 of the out-of-fold predictions."""
+    core = freeze(core_metrics(cells(predictions, y, pred)))
+    facts = core.select(
+        F.lit("model").alias("section"),
+        F.inline(
+            F.array(
+                F.struct(F.lit("oof_accuracy").alias("key"), "n", F.col("accuracy").alias("rate")),
+                F.struct(F.lit("oof_macro_f1").alias("key"), "n", F.col("macro_f1").alias("rate")),
+            )
+        ),
+    )
+    total = core.first()["n"] or 0
+    return audit_summary(issues, total).unionByName(facts)
+
+
 def audit_summary(issues: DataFrame, total: int) -> DataFrame:
     """Issue count and rate, and counts by label and by (label, predicted)."""
     overall = issues.agg(F.count("*").alias("n")).select(

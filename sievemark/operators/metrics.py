@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from sievemark.functions.arrays import argmax
 from sievemark.operators.ordered import quantile_bin, quantiles, with_position, with_running_sums
+from sievemark.session import stored
 
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
@@ -235,6 +236,36 @@ def poisson_cells(df: DataFrame, key: str, columns: Sequence[str], replicates: i
     return parts.groupBy(*columns, "rep").agg(F.sum("n").alias("n"))
 
 
+def compare_models(predictions: DataFrame, main: str, key: str = "id", replicates: int = 2000) -> DataFrame:
+    """One row per model: scores with intervals, and what ``main``, fixed in advance, has over it.
+
+    Input (model, key, y, pred); rows are compared on the keys that ``main`` answered. Every replicate weighs a row
+    alike for all models, so differences are paired: equal predictions give exactly zero. Differences of
+    ``main`` to itself are NULL. Work per row is the weights, work after that replicates x cells.
+    """
+    own = predictions.where(F.col("model") == main).select(key, F.col("pred").alias("main"))
+    rows = stored(predictions.join(own, key), "compared")
+    drawn = stored(poisson_cells(rows, key, ["model", "y", "main", "pred"], replicates), "cells")
+    whole = rows.groupBy("model", "y", "main", "pred").agg(F.count("*").alias("n"))
+
+    def scores(source: DataFrame, column: str, by: list[str]) -> DataFrame:
+        one = source.groupBy(*by, "y", F.col(column).alias("pred")).agg(F.sum("n").alias("n"))
+        return core_metrics(one, by)
+
+    point = scores(whole, "pred", ["model"]).join(
+        scores(whole, "main", ["model"]).select("model", F.col("macro_f1").alias("main_f1")), "model"
+    )
+    reps = scores(drawn, "pred", ["model", "rep"]).select("model", "rep", "accuracy", "macro_f1").join(
+        scores(drawn, "main", ["model", "rep"]).select("model", "rep", F.col("macro_f1").alias("main_f1")), ["model", "rep"]
+    )
+    gap = F.when(F.col("model") != main, F.round(F.col("main_f1") - F.col("macro_f1"), 12))  # sums may differ in the last digit
+    spans = reps.withColumn("gap", gap).groupBy("model").agg(
+        *[F.percentile(c, q).alias(f"{n}_{side}") for c, n in (("accuracy", "accuracy"), ("macro_f1", "f1"), ("gap", "diff")) for side, q in (("lo", 0.025), ("hi", 0.975))],
+        F.avg((F.col("gap") <= 0).cast("double")).alias("share_not_better"),
+    )
+    return point.withColumn("diff", gap).select("model", "n", "errors", "accuracy", "macro_f1", "diff").join(spans, "model")
+
+
 def confidence_buckets(df: DataFrame, conf: str, correct: str, edges: Sequence[float]) -> DataFrame:
     """Left-closed buckets: count, accuracy (NULL if empty), share of all errors; none left out."""
     bucket = F.lit(None).cast("int")

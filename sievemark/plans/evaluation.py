@@ -8,9 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sievemark.functions import arrays
+from sievemark.functions.hashing import hash_uniform
 from sievemark.operators import audit, calibration, joins, metrics, splits
 from sievemark.operators.ordered import quantiles, with_running_sums
-from sievemark.plans.datasets import CLASSES, SCORED, VECTORS, frozen_scored, scored, sql_refined, sql_scored, vectors
+from sievemark.plans.datasets import CLASSES, SCALE, SCORED, VECTORS, frozen_scored, scored, sql_refined, sql_scored, vectors
 from sievemark.plans.registry import Tables, query, rounded
 from sievemark.session import freeze
 
@@ -235,6 +236,23 @@ def model_table(t: Tables):
     return rounded(core.join(means, "model"))
 
 
+_THREE = f"""{_TWO}, {sql_scored(train_only=True, name='strict')}, c_all AS (SELECT 'dot' AS model, id, split, y, pred FROM scored UNION ALL SELECT 'distance', id, split, y, pred FROM other UNION ALL SELECT 'train_only', id, split, y, pred FROM strict),
+c_rows AS (SELECT a.*, s.pred AS main FROM c_all a JOIN scored s USING (id) WHERE a.split = 'test')"""
+
+
+@query(f"""WITH {_THREE}, {_WEIGHTED.format(rows='c_rows')}, {_sql_metrics('c_rows', 'model', name='pt')}, {_sql_metrics('c_rows', 'model', pred='main', name='pm')},
+{_sql_metrics('', 'model, rep', name='ma', rows="SELECT model, rep, y, main AS p, sum(w) AS n FROM weighted GROUP BY ALL")},
+{_sql_metrics('', 'model, rep', name='mb', rows="SELECT model, rep, y, pred AS p, sum(w) AS n FROM weighted GROUP BY ALL")},
+d AS (SELECT model, mb.accuracy, mb.macro_f1, CASE WHEN model <> 'dot' THEN round(ma.macro_f1 - mb.macro_f1, 12) END AS gap FROM ma JOIN mb USING (model, rep)),
+e AS (SELECT model, {', '.join(f"round(quantile_cont({c}, {q}), 6) AS {n}_{side}" for c, n in (('accuracy', 'accuracy'), ('macro_f1', 'f1'), ('gap', 'diff')) for side, q in (('lo', 0.025), ('hi', 0.975)))}, round(avg((gap <= 0)::INT), 6) AS share_not_better FROM d GROUP BY 1)
+SELECT model, pt.n, pt.errors, round(pt.accuracy, 6) AS accuracy, round(pt.macro_f1, 6) AS macro_f1, round(CASE WHEN model <> 'dot' THEN pm.macro_f1 - pt.macro_f1 END, 6) AS diff, e.* EXCLUDE (model) FROM pt JOIN pm USING (model) JOIN e USING (model)""")
+def model_comparison(t: Tables):
+    """Test scores of three models with intervals, and the first one's paired lead over each other one."""
+    models = {"dot": scored(t), "distance": scored(t, distance=True), "train_only": scored(t, train_only=True)}
+    rows = [m.where("split = 'test'").select(F.lit(name).alias("model"), "id", "y", "pred") for name, m in models.items()]
+    return rounded(metrics.compare_models(rows[0].unionByName(rows[1]).unionByName(rows[2]), "dot"))
+
+
 @query(f"""WITH {SCORED} SELECT count(*) AS n, round(avg(correct::INT), 6) AS accuracy, round(quantile_cont(conf, 0.5) FILTER (correct), 6) AS median_right,
   round(quantile_cont(conf, 0.5) FILTER (NOT correct), 6) AS median_wrong FROM scored""")
 def median_confidence(t: Tables):
@@ -382,7 +400,7 @@ def class_thresholds(t: Tables):
     return rounded(audit.self_confidence(scored(t), "probs", "y"))
 
 
-_ISSUE_SQL = f"""WITH {SCORED}, th AS (SELECT y AS k, avg(probs[y + 1]) AS t, count(*) AS n FROM scored GROUP BY 1), tl AS (SELECT list(t ORDER BY k) AS t FROM th),
+_ISSUES = """th AS (SELECT y AS k, avg(probs[y + 1]) AS t, count(*) AS n FROM scored GROUP BY 1), tl AS (SELECT list(t ORDER BY k) AS t FROM th),
 above AS (SELECT id, y, pred, list_filter(range(8), lambda k: probs[k + 1] >= tl.t[k + 1] - 1e-6) AS a FROM scored CROSS JOIN tl),
 guess AS (SELECT y, CASE WHEN len(a) > 1 THEN pred ELSE a[1] END AS g FROM above WHERE len(a) > 0),
 k AS (SELECT a.c AS i, b.c AS j FROM (SELECT unnest(range(8)) AS c) a CROSS JOIN (SELECT unnest(range(8)) AS c) b),
@@ -395,6 +413,7 @@ lift AS (SELECT p.k, p.j, CASE WHEN p.k = p.j THEN greatest(v, 1) ELSE greatest(
 drp AS (SELECT k, j, floor(v + 1e-9) + (row_number() OVER (PARTITION BY k ORDER BY v - floor(v + 1e-9) DESC, j) <= round(sum(v) OVER (PARTITION BY k) - sum(floor(v + 1e-9)) OVER (PARTITION BY k)))::INT AS n FROM lift),
 mar AS (SELECT s.id, s.y, s.pred, d.n, probs[d.k + 1] - probs[s.y + 1] AS m, rank() OVER (PARTITION BY s.y, d.k ORDER BY probs[d.k + 1] - probs[s.y + 1] DESC) AS r FROM scored s JOIN drp d ON d.j = s.y AND d.k <> s.y AND d.n > 0),
 hit AS (SELECT DISTINCT id FROM mar WHERE r <= n AND pred <> y)"""
+_ISSUE_SQL = f"WITH {SCORED}, {_ISSUES}"
 
 
 @query(f"{_ISSUE_SQL} SELECT s.id, s.y, s.pred, round(probs[y + 1], 6) AS given_prob, round(conf, 6) AS pred_prob FROM scored s SEMI JOIN hit USING (id)")
@@ -412,6 +431,43 @@ def audit_summary(t: Tables):
     return rounded(audit.audit_summary(issues, s.count()))
 
 
+FOLDS = 5
+
+_OUT_OF_FOLD = f"""{VECTORS}, o_fold AS (SELECT vec_id AS id, split, label AS y, v, floor(('0x' || substr(md5('fold:' || vec_id), 1, 8))::BIGINT / 4294967296.0 * {FOLDS})::INT AS fold FROM emb WHERE label < 8),
+o_sum AS (SELECT fold, y, d, sum(x) AS s, count(*) AS n FROM (SELECT fold, y, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM o_fold) GROUP BY ALL),
+o_cent AS (SELECT fold, k, list(c ORDER BY d) AS c FROM (SELECT f.fold, o.y AS k, d, sum(s) / sum(n) AS c FROM (SELECT DISTINCT fold FROM o_fold) f JOIN o_sum o ON o.fold <> f.fold GROUP BY ALL) GROUP BY ALL),
+o_logit AS (SELECT id, any_value(o.fold) AS fold, any_value(y) AS y, list({SCALE} * list_dot_product(v, c) ORDER BY k) AS logits FROM o_fold o JOIN o_cent USING (fold) GROUP BY id),
+o_pow AS (SELECT *, list_transform(logits, lambda z: exp(z - list_max(logits))) AS pw FROM o_logit),
+o_prob AS (SELECT id, fold, y, list_transform(pw, lambda p: p / list_sum(pw)) AS probs FROM o_pow),
+scored AS (SELECT *, (list_position(probs, list_max(probs)) - 1)::INT AS pred, list_max(probs) AS conf FROM o_prob), {_ISSUES}"""
+
+
+def _out_of_fold(t: Tables):
+    v = vectors(t).where(F.col("label").isin(*CLASSES)).select(F.col("vec_id").alias("id"), F.col("label").alias("y"), "embedding")
+    folded = v.withColumn("fold", F.floor(hash_uniform("fold", "id") * FOLDS).cast("int"))
+    logits = audit.out_of_fold_centroids(folded, "embedding", "y", "fold", CLASSES, SCALE).drop("embedding")
+    return freeze(metrics.predicted(logits.withColumn("probs", arrays.softmax("logits"))))
+
+
+@query(f"""WITH {_OUT_OF_FOLD} SELECT row_number() OVER (ORDER BY s.probs[s.y + 1], s.id) AS rank, s.id, s.fold, s.y, s.pred, round(s.probs[s.y + 1], 6) AS given_prob, round(s.conf, 6) AS pred_prob FROM scored s SEMI JOIN hit USING (id)""")
+def ranked_label_issues(t: Tables):
+    """Doubtful labels from out-of-fold probabilities, the least self-confident first."""
+    s = _out_of_fold(t)
+    issues = audit.ranked_issues(audit.label_issues(s, "id", "probs", "y", len(CLASSES)), "id")
+    return rounded(issues.join(s.select("id", "fold"), "id"))
+
+
+@query(f"""WITH {_OUT_OF_FOLD}, iss AS (SELECT s.y, s.pred FROM scored s SEMI JOIN hit USING (id)), {_sql_metrics('scored')}
+SELECT 'all' AS section, 'issues' AS key, count(*) AS n, round(count(*) / (SELECT count(*) FROM scored), 6) AS rate FROM iss
+UNION ALL SELECT 'label', y::VARCHAR, count(*), NULL FROM iss GROUP BY y UNION ALL SELECT 'pair', y || '>' || pred, count(*), NULL FROM iss GROUP BY y, pred
+UNION ALL SELECT 'model', 'oof_accuracy', n, round(accuracy, 6) FROM core UNION ALL SELECT 'model', 'oof_macro_f1', n, round(macro_f1, 6) FROM core""")
+def audit_report(t: Tables):
+    """Counts of doubtful labels with accuracy and macro F1 of the out-of-fold predictions."""
+    s = _out_of_fold(t)
+    issues = freeze(audit.label_issues(s, "id", "probs", "y", len(CLASSES)))
+    return rounded(audit.audit_report(issues, s, "y"))
+
+
 def _folded(t: Tables, folds: int):
     v = vectors(t).where(F.col("label").isin(*CLASSES))
     dealt = splits.group_folds(v, "vec_id", "label", folds)
