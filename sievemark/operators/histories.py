@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.operators.ordered import previous, running_max, scan, unscan, with_position
+from sievemark.operators.ordered import numbered, previous, running_max, scan, unscan
 
 
 def stage_starts(rows: DataFrame, run: str, order: str, stage: str) -> DataFrame:
     """Continuous step number of each run and whether the stage differs from the step before."""
-    numbered = with_position(rows.select(run, order, stage), [order], by=[run], name="step")
-    seen = previous(scan(numbered, [run], ["step"]), [run], ["step", stage])
+    steps = numbered(scan(rows.select(run, order, stage), [run], [order]), [run], "step")
+    seen = previous(steps, [run], ["step", stage])
     changed = F.col("previous_step").isNull() | ~F.col(stage).eqNullSafe(F.col(f"previous_{stage}"))
     return unscan(seen.withColumn("starts", changed)).drop("previous_step", f"previous_{stage}")
 
@@ -31,8 +31,8 @@ def best_step(rows: DataFrame, run: str, order: str, value: Column) -> DataFrame
 
 def running_best(rows: DataFrame, run: str, order: str, value: str) -> DataFrame:
     """Best value so far and steps since it last improved (patience)."""
-    numbered = with_position(rows.select(run, order, value), [order], by=[run], name="step")
-    seen = running_max(scan(numbered, [run], ["step"]), [run], value, "_before")
+    steps = numbered(scan(rows.select(run, order, value), [run], [order]), [run], "step")
+    seen = running_max(steps, [run], value, "_before")
     improved = F.col("_before").isNull() | (F.col(value) > F.col("_before"))
     seen = seen.withColumn("_hit", F.when(improved, F.col("step")))
     seen = running_max(seen, [run], "_hit", "_last")

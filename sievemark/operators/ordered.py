@@ -45,23 +45,30 @@ def with_position(
 
     For groups that may be huge (classes, statuses, one busy user).
     """
-    ranged = _ranged(df, by, order)
+    return unscan(numbered(scan(df, by, order), by, name, total))
+
+
+def scan(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """Rows in global order for :func:`numbered`, :func:`previous` and :func:`running_max`; end with :func:`unscan`.
+
+    One sort, written once, serves every function that follows.
+    """
+    return _ranged(df, by, order)
+
+
+def numbered(scanned: DataFrame, by: Sequence[str], name: str = "position", total: str | None = None) -> DataFrame:
+    """1-based row number within ``by``, as :func:`with_position`, of rows that are in order already."""
     offset = F.col("_slot").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
-    parts = ranged.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min(offset).alias("_first"))
+    parts = scanned.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min(offset).alias("_first"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn(
         "_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")
     ).withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
-    placed = _attach(ranged, starts, by, ["_base", "_total"])
+    placed = _attach(scanned, starts, by, ["_base", "_total"])
     placed = placed.withColumn(name, offset + F.col("_base") + 1)
     if total:
         placed = placed.withColumn(total, F.col("_total"))
-    return placed.drop("_slot", "_part", "_base", "_total")
-
-
-def scan(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """Rows in global order for :func:`previous` and :func:`running_max`; end with :func:`unscan`."""
-    return _ranged(df, by, order)
+    return placed.drop("_base", "_total")
 
 
 def unscan(scanned: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sievemark.functions.arrays import trapezoid
 from sievemark.operators.calibration import ece
 from sievemark.operators.metrics import cells, core_metrics
-from sievemark.operators.ordered import quantile_bin, quantiles, with_position
+from sievemark.operators.ordered import quantile_bin, with_position
+from sievemark.session import broadcast_if_small
 
 
 def score_block(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -130,8 +131,18 @@ def severity_terciles(df: DataFrame, key: str, label: str, value: str, healthy:
         rate(answered).alias("answered_wrong"),
         F.avg("confidence").alias("mean_confidence"),
     )
-    medians = quantiles(binned.select(label, "tercile", value), value, {"median": 0.5}, [label, "tercile"])
-    return rates.join(medians, [label, "tercile"])
+    # a tercile is a run of ranks, missing values first: its median lies at one or two known ranks
+    spans = binned.groupBy(label, "tercile").agg(F.max("_rank").alias("_last"), F.count(value).alias("_k"))
+    middle = broadcast_if_small(
+        spans.where("_k > 0").select(
+            F.col(label).alias("_l"), F.col("tercile").alias("_t"),
+            (F.col("_last") - F.floor(F.col("_k") / 2)).alias("_low"), (F.col("_last") - F.floor((F.col("_k") - 1) / 2)).alias("_high"),
+        )
+    )
+    at = F.col(label).eqNullSafe(F.col("_l")) & (F.col("tercile") == F.col("_t")) & F.col("_rank").between(F.col("_low"), F.col("_high"))
+    medians = binned.join(middle, at).groupBy(F.col(label).alias("_l"), F.col("tercile").alias("_t")).agg(F.avg(value).alias("median"))
+    same = F.col(label).eqNullSafe(F.col("_l")) & (F.col("tercile") == F.col("_t"))
+    return rates.join(broadcast_if_small(medians), same, "left").drop("_l", "_t")
 
 
 def cv_table(folds: DataFrame, metrics: Sequence[str]) -> DataFrame:
