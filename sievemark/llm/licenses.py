@@ -4,7 +4,8 @@ The text is lower-cased (A-Z) and cut into words; one automaton over the words,
 finds all phrases at once, overlapping ones too. A second automaton over the lower-cased text finds
 identifier tags; what follows a tag on its line is parsed as a licence expression with ``or`` below
 ``and`` below ``with``, and evaluated to a class: ``or`` offers the mildest, ``and`` binds to the strictest,
-``with`` a known exception makes a strong copyleft weak.
+``with`` a known exception makes a strong copyleft weak. A name of no known licence is ``unknown``: ``or`` offers the
+other side, ``and`` is unknown then. A plain word before further words is prose and ends the expression.
 
 Labels: ``base_labels`` of the base phrases; ``labels`` has these, the labels of notice phrases, the
 licences named in expressions (lower case), and ``expression:<class>`` for each expression
@@ -51,13 +52,15 @@ NOTICES = {
 # Tags before a licence expression, lower case.
 TAGS = ("spdx-license-identifier:", "license-expression:")
 # Classes of licences, mildest first, and the identifiers that begin so.
-CLASSES = ("public", "permissive", "weak-copyleft", "strong-copyleft", "restricted")
+CLASSES = ("public", "permissive", "weak-copyleft", "strong-copyleft", "restricted", "unknown")
 PREFIXES = {
-    "cc0": "public", "unlicense": "public", "0bsd": "public",
-    "mit": "permissive", "apache": "permissive", "bsd": "permissive", "isc": "permissive", "zlib": "permissive", "cc-by-4": "permissive", "cc-by-3": "permissive",
-    "lgpl": "weak-copyleft", "mpl": "weak-copyleft", "epl": "weak-copyleft", "cddl": "weak-copyleft",
-    "gpl": "strong-copyleft", "agpl": "strong-copyleft", "cc-by-sa": "strong-copyleft",
-    "cc-by-nc": "restricted", "cc-by-nd": "restricted", "licenseref": "restricted",
+    "cc0": "public", "unlicense": "public", "0bsd": "public", "pddl": "public",
+    "mit": "permissive", "apache": "permissive", "bsd": "permissive", "isc": "permissive", "zlib": "permissive", "cc-by": "permissive",
+    "artistic": "permissive", "blueoak": "permissive", "bsl": "permissive", "ms-pl": "permissive", "ncsa": "permissive", "postgresql": "permissive", "psf": "permissive",
+    "python": "permissive", "ruby": "permissive", "unicode": "permissive", "upl": "permissive", "vim": "permissive", "wtfpl": "permissive", "x11": "permissive",
+    "lgpl": "weak-copyleft", "mpl": "weak-copyleft", "epl": "weak-copyleft", "cddl": "weak-copyleft", "ms-rl": "weak-copyleft", "ofl": "weak-copyleft",
+    "gpl": "strong-copyleft", "agpl": "strong-copyleft", "cc-by-sa": "strong-copyleft", "cecill": "strong-copyleft", "eupl": "strong-copyleft", "osl": "strong-copyleft",
+    "cc-by-nc": "restricted", "cc-by-nd": "restricted", "busl": "restricted", "elastic": "restricted", "sspl": "restricted",
 }
 # Exceptions that allow linking.
 EXCEPTIONS = ("classpath-exception", "gcc-exception", "llvm-exception", "linking-exception", "bootloader-exception")
@@ -72,6 +75,7 @@ OUTPUTS = (
 
 # bytes of words stay, capitals become small, everything else separates
 _keep = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
+_rest = re.compile(r"v?[0-9]|[^a-z0-9]|$")  # after the known beginning of an identifier
 _token = re.compile(r"\(|\)|[a-z0-9.+:-]+")
 
 
@@ -124,8 +128,8 @@ def in_postfix(parts: list[str]) -> list[str] | None:
 
 
 def class_of(identifier: str) -> str:
-    found = max((p for p in PREFIXES if identifier.startswith(p)), key=len, default=None)
-    return PREFIXES[found] if found else "restricted"
+    found = max((p for p in PREFIXES if identifier.startswith(p) and _rest.match(identifier, len(p))), key=len, default=None)
+    return PREFIXES[found] if found else "unknown"
 
 
 def evaluated(postfix: list[str]) -> tuple[str, list[str]] | None:
@@ -157,6 +161,11 @@ def expression(text: str) -> tuple[str, list[str]]:
     for i in range(1, len(parts)):
         if parts[i] not in PRECEDENCE and parts[i] != ")" and parts[i - 1] not in PRECEDENCE and parts[i - 1] != "(":
             del parts[i:]
+            # so the word before may be prose as well, and what led to it
+            if parts[-1].isalpha() and class_of(parts[-1]) == "unknown":
+                parts.pop()
+                while parts and (parts[-1] in PRECEDENCE or parts[-1] == "("):
+                    parts.pop()
             break
     postfix = in_postfix(parts)
     return (evaluated(postfix) if postfix else None) or ("invalid", [])

@@ -28,8 +28,14 @@ from sievemark.llm.common import CONTINUATION, SPACES, texts, with_columns
 SYMBOLS = b"#*$%&|<>"
 # Words that separate the entries of a menu or a list of links.
 SEPARATORS = ("|", ">", ">>", "<", "<<", "/", "-", "»", "«", "·", "•", "→")
-# Marks that end a sentence, or close a quotation or bracket after one.
-TERMINALS = (".", "!", "?", "…", ":", ";", '"', "'", ")", "]", "”", "’", "»", "。", "！", "？")
+# Marks that end a sentence in the scripts that have some, or close a quotation or bracket after one. Latin
+# and Greek, Armenian, Hebrew, Arabic and Urdu, Syriac, Devanagari and its kin, Sinhala, Tibetan, Burmese, Ethiopic,
+# Khmer, Mongolian, Ol Chiki, Chinese and Japanese.
+TERMINALS = (
+    ".", "!", "?", "…", "‼", "⁇", "⁈", "⁉", ":", ";", '"', "'", ")", "]", "}", "”", "“", "’", "‘", "»", "«", "›", "‹",
+    "։", "׃", "؟", "۔", "؛", "܀", "܁", "܂", "।", "॥", "෴", "།", "༎", "၊", "။", "።", "፧", "፨", "។", "៕", "᠃", "᠉", "᱾", "᱿",
+    "。", "．", "！", "？", "；", "：", "｡", "」", "』", "）", "】", "》", "〉",
+)
 # Phrases of page furniture, lower case.
 BOILERPLATE = (
     "accept cookies",

@@ -19,6 +19,16 @@ from sievemark.llm import licenses
         (" mit and gpl-2.0 or apache-2.0", "permissive", ["mit", "gpl-2.0", "apache-2.0"]),
         (" mit and (gpl-2.0 or cc-by-nc-4.0)", "strong-copyleft", ["gpl-2.0", "cc-by-nc-4.0", "mit"]),
         (" mit see the file", "permissive", ["mit"]),
+        (" Artistic-2.0", "permissive", ["artistic-2.0"]),
+        (" BSL-1.0 OR WTFPL", "permissive", ["bsl-1.0", "wtfpl"]),
+        (" MIT and this file is", "permissive", ["mit"]),
+        (" (MIT) and (this file", "permissive", ["mit"]),
+        (" see the file", "invalid", []),
+        (" Somebody-1.0", "unknown", ["somebody-1.0"]),
+        (" mitigation-1.0", "unknown", ["mitigation-1.0"]),
+        (" mit or LicenseRef-ours", "permissive", ["mit", "licenseref-ours"]),
+        (" mit and LicenseRef-ours", "unknown", ["mit", "licenseref-ours"]),
+        (" GPLv2 and MIT", "strong-copyleft", ["gplv2", "mit"]),
         (" mit and", "invalid", []),
         (" ((mit)", "invalid", []),
         (" mit with a with b", "invalid", []),

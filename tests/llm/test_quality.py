@@ -63,3 +63,10 @@ def test_repeated_words_against_a_plain_count():
     assert quality.repeated_words(words) == len(inside)
     assert quality.repeated_words([]) == 0 and quality.word_chars("é ü\x0bß".encode()) == 3
     assert re.findall(r"[^\x20\x09-\x0D]+", "a\x1cb\xa0c") == [w.decode() for w in "a\x1cb\xa0c".encode().split()]
+
+
+@pytest.mark.parametrize("mark", ["।", "۔", "؟", "。", "።", "။", "։", "“", "."])
+def test_prose_in_many_scripts_ends_its_lines(mark):
+    line = " ".join(f"शब्द{i}" for i in range(14))
+    assert quality.line_fault(f"{line}{mark}".encode()) == 0
+    assert quality.line_fault(line.encode()) == 3
