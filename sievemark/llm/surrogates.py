@@ -6,9 +6,14 @@ in their alphabets: digits, vowels and consonants of a script, hexadecimal digit
 Feistel network P permutes the numbers of a format, and the surrogate is ``P⁻¹(P(x) + 1)``: one cycle
 through all values of the format, so no two values share a surrogate, none is its own, and the same value
 gets the same surrogate in every document, without any table. Given names of the list are permuted among
-the names of their gender and script, other names by letters among the names that the list lacks. Signs,
-blanks, country codes, top-level domains and letter case stay where they were, and the Luhn property of
-a card number stays as it was.
+the names of their gender and script, other names by letters among the names that the list lacks. A given name
+that the list lacks takes the gender of the form of address before it and shows it by its ending. Signs,
+blanks, country codes, leading zeros, prefixes of access keys, top-level domains and letter case stay where they
+were, the Luhn property of a card number stays as it was, and check digits of an account number are made anew.
+
+Names are found after a form of address or by a listed given name. Then every other place in the document where
+a word of such a name stands with a capital gets the same surrogate, unless the document also has the word in
+lower case (``Mr Will``, ``will``); in writing without case, words of two characters or more do.
 
 ``collisions`` checks this on the corpus: it counts, in Spark, surrogates that stand for more than one
 canonical value and values that kept themselves; ``pseudonymised`` raises if there is one.
@@ -24,11 +29,13 @@ Columns of the input with the name of an output are replaced, the text among the
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import ipaddress
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,14 +44,16 @@ from pyspark.sql import functions as F
 from sievemark.llm.common import with_columns
 from sievemark.session import stored
 
-KINDS = ("email", "phone", "card", "ip", "secret", "name")
+KINDS = ("email", "phone", "card", "iban", "national", "ip", "secret", "name")
 KEY = b"replace this key in production"
 ROUNDS = 8
 
 # Given names by gender and script, lower case.
 GIVEN = {
-    ("f", "latin"): ("anna", "bea", "carla", "diana", "elena", "fiona", "greta", "helga", "ines", "julia", "karin", "laura", "maria", "nina", "olga", "paula", "rosa", "sara", "tina", "vera"),
-    ("m", "latin"): ("adam", "boris", "carlos", "david", "emil", "felix", "georg", "hugo", "ivan", "jakob", "karl", "luis", "marco", "niels", "otto", "pablo", "ralf", "stefan", "tomas", "viktor"),
+    ("f", "latin"): ("anna", "bea", "carla", "diana", "elena", "fiona", "greta", "helga", "ines", "julia", "karin", "laura", "maria", "nina", "olga", "paula", "rosa", "sara", "tina", "vera",
+                     "alice", "amy", "emily", "emma", "jane", "jennifer", "linda", "lucy", "margaret", "mary", "rachel", "susan", "camille", "claire", "sophie", "carmen", "lucia", "pilar", "heike", "ursula"),
+    ("m", "latin"): ("adam", "boris", "carlos", "david", "emil", "felix", "georg", "hugo", "ivan", "jakob", "karl", "luis", "marco", "niels", "otto", "pablo", "ralf", "stefan", "tomas", "viktor",
+                     "andrew", "brian", "charles", "george", "henry", "james", "john", "kevin", "michael", "peter", "robert", "william", "louis", "pierre", "alejandro", "javier", "miguel", "dieter", "jürgen", "wolfgang"),
     ("f", "cyrillic"): ("анна", "вера", "галина", "дарья", "елена", "зоя", "ирина", "лариса", "мария", "нина"),
     ("m", "cyrillic"): ("антон", "борис", "виктор", "глеб", "денис", "егор", "иван", "кирилл", "лев", "михаил"),
 }
@@ -53,6 +62,15 @@ TITLES = {
     "Mr": "m", "Mister": "m", "Sir": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m",
     "Madame": "f", "Señor": "m", "Señora": "f", "Dr": "", "Prof": "", "господин": "m", "госпожа": "f",
 }
+SHORT = frozenset(("Mr", "Mrs", "Ms", "Dr", "Prof"))  # forms of address that take a full stop
+# Endings that show the gender of a surrogate for a given name outside the list, by script; no listed name has one.
+ENDINGS = {("f", "latin"): "elia", ("m", "latin"): "ello", ("f", "cyrillic"): "елия", ("m", "cyrillic"): "ослав"}
+# The letter that words of the texts get behind such an ending.
+MARKS = {"latin": "e", "cyrillic": "е"}
+# Country calling codes of two digits; 1 and 7 have one digit, all others three.
+TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+# What public services put before their access keys, lower case.
+KEY_PREFIXES = ("sk-", "sk_live_", "sk_test_", "pk_live_", "pk_test_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxa-", "xoxb-", "xoxp-", "akia")
 # Letters of each script, vowels first, then consonants.
 LETTERS = (
     ("aeiou", "bcdfghjklmnpqrstvwxyz"),
@@ -230,11 +248,15 @@ def email(key: bytes, value: str, _: str) -> list[tuple[str, str, str, str]]:
 
 def phone(key: bytes, value: str, _: str) -> list[tuple[str, str, str, str]]:
     digits = _digits_only(value)
-    country = re.match(r"\+(\d{1,3})\D", value)
-    keep = len(country[1]) if country else 0
-    made = shifted(key, "phone:" + digits[:keep], digits[keep:])
-    sign = "+" + digits[:keep] + " " if country else ""
-    return [("phone", sign + digits[keep:], sign + made, _relaid(made, value, keep))]
+    if value.startswith("+"):
+        keep = 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGITS else 3
+        fixed = f"+{digits[:keep]} "
+        made = shifted(key, "phone:" + digits[:keep], digits[keep:])
+    else:  # numbers with a trunk zero keep it, the others get none
+        keep = int(digits[0] == "0")
+        fixed = digits[:keep]
+        made = shifted(key, f"phone:national {keep}", digits[keep:], accept=lambda d: keep or d[0] != "0")
+    return [("phone", fixed + digits[keep:], fixed + made, _relaid(made, value, keep))]
 
 
 def card(key: bytes, value: str, _: str) -> list[tuple[str, str, str, str]]:
@@ -244,6 +266,30 @@ def card(key: bytes, value: str, _: str) -> list[tuple[str, str, str, str]]:
     return [("card", digits, made, _relaid(made, value))]
 
 
+def national(key: bytes, value: str, _: str) -> list[tuple[str, str, str, str]]:
+    digits = _digits_only(value)
+    made = shifted(key, "national", digits)
+    return [("national", digits, made, _relaid(made, value))]
+
+
+def _remainder(account: str) -> int:
+    """The number of an account, country and check digits last and letters as 10 to 35, modulo 97."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def is_iban(value: str) -> bool:
+    account = value.replace(" ", "")
+    return 15 <= len(account) <= 34 and _remainder(account) == 1
+
+
+def iban(key: bytes, value: str, _: str) -> list[tuple[str, str, str, str]]:
+    account = value.replace(" ", "")
+    inner = shifted(key, "iban:" + account[:2], account[4:].lower()).upper()
+    made = f"{account[:2]}{98 - _remainder(account[:2] + '00' + inner):02d}{inner}"
+    rest = iter(made)
+    return [("iban", account, made, "".join(c if c == " " else next(rest) for c in value))]
+
+
 def ip(key: bytes, value: str, _: str) -> list[tuple[str, str, str, str]]:
     x = 0
     for part in value.split("."):
@@ -254,15 +300,64 @@ def ip(key: bytes, value: str, _: str) -> list[tuple[str, str, str, str]]:
     return [("ip", ".".join(str(int(p)) for p in value.split(".")), made, text)]
 
 
+def _short(address: str) -> str:
+    return ipaddress.IPv6Address(address).compressed
+
+
+def is_ipv6(value: str) -> bool:
+    try:
+        groups = re.findall(r"\w+", _short(value))
+    except ValueError:
+        return False
+    return re.search(r"\d", value) is not None and (len(groups) > 3 or len(groups) > 1 and max(map(len, groups)) > 2)
+
+
+def ipv6(key: bytes, value: str, _: str) -> list[tuple[str, str, str, str]]:
+    canonical = _short(value)
+    made = shifted(key, "ipv6", canonical, True, accept=lambda a: _short(a) == a)
+    return [("ip", canonical, made, made.upper() if value.upper() == value and value.lower() != value else made)]
+
+
+def _key_prefix(folded: str) -> str:
+    return next((p for p in KEY_PREFIXES if folded.startswith(p) and len(folded) > len(p)), "")
+
+
 def secret(key: bytes, value: str, _: str) -> list[tuple[str, str, str, str]]:
     folded = _fold(value)
-    hexadecimal = all(c in _hex_of for c in folded)
-    made = shifted(key, "hex" if hexadecimal else "secret", folded, hexadecimal)
+    prefix = _key_prefix(folded)
+    inner = folded[len(prefix) :]
+    hexadecimal = all(c in _hex_of for c in inner)
+    kind = ("hex" if hexadecimal else "secret") + (":" + prefix if prefix else "")
+    made = prefix + shifted(
+        key, kind, inner, hexadecimal,
+        accept=lambda m: (prefix or not _key_prefix(m)) and (hexadecimal or not all(c in _hex_of for c in m)),
+    )
     return [("secret", folded, made, dressed(made, value))]
 
 
-def _word(key: bytes, role: str, word: str) -> tuple[str, str, str, str]:
-    """One word of a name: (kind, canonical, surrogate, text)."""
+def _letter_script(word: str) -> str:
+    names = {unicodedata.name(c, "").partition(" ")[0] for c in word if c.isalpha()}
+    return names.pop().lower() if len(names) == 1 else ""
+
+
+_marked = re.compile("|".join(f"(?:{e}){MARKS[script]}*$" for (_, script), e in ENDINGS.items()))
+
+
+def _dressed_word(made: str, word: str) -> str:
+    """A name in the case of another one: capitals throughout, a capital, or character by character."""
+    if len(made) == len(word):
+        return dressed(made, word)
+    if word.isupper() and len(word) > 1:
+        return made.upper()
+    return made[:1].upper() + made[1:] if word[:1].isupper() else made
+
+
+def _word(key: bytes, word: str, gender: str = "") -> tuple[str, str, str, str]:
+    """One word of a name: (kind, canonical, surrogate, text).
+
+    Surrogates with an ending of ENDINGS belong to given names outside the list alone: other words never get one,
+    and those that have such an ending themselves get one more letter of MARKS behind it.
+    """
     folded = _fold(word)
     listed = _given.get(folded)
     if listed:
@@ -270,61 +365,138 @@ def _word(key: bytes, role: str, word: str) -> tuple[str, str, str, str]:
         made = names[Permutation(key, "given:" + ":".join(listed), len(names)).next(names.index(folded))]
         text = made[:1].upper() + made[1:] if word[:1].isupper() else made
         return ("name", folded, made, made.upper() if word.isupper() and len(word) > 1 else text)
-    made = shifted(key, "name", folded, accept=lambda n: n not in _given)
-    return ("name", folded, made, dressed(made, word))
+    ending = ENDINGS.get((gender, _letter_script(word)))
+    if ending:
+        made = shifted(key, f"name:{gender}", folded) + ending
+        return ("name", f"{folded} {gender}", made, _dressed_word(made, word))
+    mark = _marked.search(folded)
+    if mark:
+        stem = folded[: mark.start()]
+        made = (shifted(key, "name:marked", stem) if stem else "") + mark[0] + MARKS[_letter_script(mark[0])]
+    else:
+        made = shifted(key, "name", folded, accept=lambda n: n not in _given and not _marked.search(n))
+    return ("name", folded, made, _dressed_word(made, word))
 
 
-def name(key: bytes, value: str, _: str) -> list[tuple[str, str, str, str]]:
-    return [_word(key, "name", w) for w in value.split()]
+def name(key: bytes, value: str, gender: str) -> list[tuple[str, str, str, str]]:
+    """The words of a name; after a form of address the first of several words is a given name of that gender."""
+    words = value.split()
+    return [_word(key, w, gender if i == 0 and len(words) > 1 else "") for i, w in enumerate(words)]
 
 
 _capital = r"[^\W\d_a-zß-öø-ÿа-я]"
-_titles = "|".join(sorted(TITLES, key=len, reverse=True))
-_givens = "|".join(sorted((n[:1].upper() + n[1:] for n in _given), key=len, reverse=True))
+_part = rf"(?:{_capital}['’])?{_capital}\w+(?:[-'’]{_capital}\w+)*"
+_gender_of = TITLES | {t.upper(): g for t, g in TITLES.items()}
+_titles = "|".join(sorted(_gender_of, key=len, reverse=True))
+_short_titles = "|".join(t for t in sorted(_gender_of, key=len, reverse=True) if t.title() in SHORT)
+_forms = sorted({f for n in _given for f in (n[:1].upper() + n[1:], n.upper())}, key=len, reverse=True)
+_words = r"token|secret|passw(?:or)?d|api[ _-]?key|access[ _-]?key"
+_plain = r"""[^\s"'`,;<>(){}\[\]]"""
 PATTERNS = (
-    ("secret", re.compile(r"""(?i)\b(?:token|secret|passw(?:or)?d|api[ _-]?key|access[ _-]?key)\b["']?\s*[:=]\s*["']([^"'\s]{6,})["']"""), secret),
-    ("email", re.compile(r"[\w.+%-]*\w@\w[\w-]*(?:\.\w[\w-]*)*\.[^\W\d_]{2,}"), email),
-    ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"), card),
-    ("phone", re.compile(r"(?<!\w)\+\d{1,3}[^\w\n+]{1,6}\d{2,4}(?:[^\w\n+]{1,6}\d{2,4}){1,4}(?!\w)|(?<![\w+])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)"), phone),
-    ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"), ip),
-    ("name", re.compile(rf"\b(?:(?:{_titles})\.?\s+((?:{_capital}\w+)(?:\s{_capital}\w+){{0,2}})|((?:{_givens})(?:\s{_capital}\w+){{1,2}}))"), name),
+    ("secret", re.compile(rf"""(?i)\b(?:{_words})\b["']?\s*[:=]\s*(?:["']([^"'\s]{{6,}})["']|(?={_plain}*\d)({_plain}{{5,}}[\w=/+$!-])(?![\w(\[.]))"""), secret, None),
+    ("secret", re.compile(r"(?<![\w-])((?:sk-|[sp]k_(?:live|test)_|gh[pousr]_|xox[abp]-|AKIA)(?=[\w-]*\d)[\w-]{16,})(?![\w-])"), secret, None),
+    ("email", re.compile(r"[\w.+%-]*\w@\w[\w-]*(?:\.\w[\w-]*)*\.[^\W\d_]{2,}"), email, None),
+    ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), iban, is_iban),
+    ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"), card, None),
+    ("phone", re.compile(
+        r"(?<!\w)\+\d(?:[ ().\-/\u00a0]{0,3}\d){7,14}(?!\w)"
+        r"|(?<!\w)\+\d{1,3}[^\w\n+]{1,6}\d{2,4}(?:[^\w\n+]{1,6}\d{2,4}){1,4}(?!\w)"
+        r"|(?<![\w+])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)"
+        r"|(?<![\w+./:-])0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,5}(?![\w-])|(?<![\w+./:-])0[1-9](?:[ .-]\d\d){4}(?![\w-])"), phone, None),
+    ("national", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), national, None),
+    ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"), ip, None),
+    ("ip", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)"), ipv6, is_ipv6),
+    ("name", re.compile(
+        rf"\b(?:(?:(?:(?:{_short_titles})\b\.?|(?:{_titles})\b)\s+)+(?!(?:{_titles})\b)({_part}(?:\s{_capital}\.(?=\s{_capital}))?(?:\s{_part}){{0,2}})"
+        rf"|((?:{'|'.join(_forms)})(?:\s{_capital}\.(?=\s{_capital}))?(?:\s{_part}){{1,2}}))"), name, None),
 )
 _digit = re.compile(r"\d")
-_hints = tuple(TITLES) + tuple(n[:1].upper() + n[1:] for n in _given)
-_named = re.compile("|".join(map(re.escape, sorted(_hints, key=len, reverse=True))))
+_named = re.compile("|".join(map(re.escape, sorted([*_gender_of, *_forms], key=len, reverse=True))))
+_title = re.compile(rf"\b(?:{_titles})\b")
+_token = re.compile(r"\w+(?:[-'’]\w+)*")
+_inner = re.compile(r"\w+")
+
 
+class _Taken:
+    """Spans without overlap."""
 
-def spans(text: str) -> list[tuple[int, int, str, Callable]]:
-    """(start, end, kind, maker) of the entities, in order and without overlap: earlier kinds of PATTERNS win."""
-    found: list[tuple[int, int, str, Callable]] = []
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def take(self, start: int, end: int) -> bool:
+        """Keeps the span if nothing of it is taken."""
+        i = bisect.bisect_right(self.starts, start)
+        if i and self.ends[i - 1] > start or i < len(self.starts) and self.starts[i] < end:
+            return False
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+        return True
+
+
+def _hint(text: str, m: re.Match, start: int) -> str:
+    """The gender that the forms of address before a name show."""
+    return next((g for t in _title.findall(text[m.start() : start]) if (g := _gender_of[t])), "")
+
+
+def spans(text: str, taken: _Taken | None = None) -> list[tuple[int, int, str, Callable, str]]:
+    """(start, end, kind, maker, gender) of the entities, in order and without overlap: earlier kinds of PATTERNS win."""
+    taken = taken or _Taken()
+    found: list[tuple[int, int, str, Callable, str]] = []
     digits = _digit.search(text) is not None
-    for kind, pattern, make in PATTERNS:
-        if kind == "email" and "@" not in text or kind in ("card", "phone", "ip") and not digits:
+    for kind, pattern, make, valid in PATTERNS:
+        if kind == "email" and "@" not in text or kind in ("card", "phone", "ip", "iban", "national") and not digits and make is not ipv6:
             continue
-        if kind == "secret" and '"' not in text and "'" not in text or kind == "name" and not _named.search(text):
+        if kind == "name" and not _named.search(text):
             continue
         for m in pattern.finditer(text):
-            group = m.lastindex or 0
-            start, end = m.span(group)
-            if not any(start < e and s < end for s, e, _, _ in found):
-                found.append((start, end, kind, make))
+            start, end = m.span(m.lastindex or 0)
+            if (valid is None or valid(text[start:end])) and taken.take(start, end):
+                found.append((start, end, kind, make, _hint(text, m, start) if kind == "name" else ""))
     return sorted(found, key=lambda s: s[:2])
 
 
+def _mentions(text: str, known: dict[str, tuple[str, str, str]], taken: _Taken) -> Iterator[tuple[int, int, str]]:
+    """(start, end, folded) of further places where the words of ``known`` stand."""
+    places, lower = [], set()
+    for m in _token.finditer(text):
+        parts = [m] if _fold(m[0]) in known else _inner.finditer(text, *m.span())
+        for part in parts:
+            folded = _fold(part[0])
+            if folded not in known:
+                continue
+            cased = part[0].upper() != part[0].lower()
+            if cased and part[0] == folded:
+                lower.add(folded)
+            elif cased or len(folded) > 1:
+                places.append((*part.span(), folded))
+    for start, end, folded in places:
+        if folded not in lower and taken.take(start, end):
+            yield start, end, folded
+
+
 def replaced(key: bytes, text: str) -> tuple[str, list[tuple[str, str, str, int, int, bool]]]:
     """The text with surrogates, and (kind, canonical, surrogate, start, end, masked) of each replaced value."""
-    out, at, told = [], 0, []
-    for start, end, kind, make in spans(text):
-        parts = make(key, text[start:end], kind)
-        words = [p[3] for p in parts]
+    taken = _Taken()
+    made: list[tuple[int, int, str, list[tuple[str, str, str, str]]]] = []
+    known: dict[str, tuple[str, str, str]] = {}
+    for start, end, kind, make, hint in spans(text, taken):
+        parts = make(key, text[start:end], hint)
+        new = parts[0][3]
         if kind == "name":  # blanks between the words stay
             gaps = re.findall(r"\s+", text[start:end])
-            new = "".join(w + g for w, g in zip(words, [*gaps, ""], strict=True))
-        else:
-            new = words[0]
+            new = "".join(p[3] + g for p, g in zip(parts, [*gaps, ""], strict=True))
+            for word, part in zip(text[start:end].split(), parts, strict=True):
+                known.setdefault(_fold(word), part[:3])
+        made.append((start, end, new, parts))
+    for start, end, folded in _mentions(text, known, taken) if known else ():
+        new = _dressed_word(known[folded][2], text[start:end])
+        made.append((start, end, new, [(*known[folded], new)]))
+    out, at, told = [], 0, []
+    for start, end, new, parts in sorted(made, key=lambda m: m[:2]):
         out += [text[at:start], new]
         at = end
-        told += [(k, canonical, made, start, end, _still(k, canonical)) for k, canonical, made, _ in parts]
+        told += [(k, canonical, surrogate, start, end, _still(k, canonical)) for k, canonical, surrogate, _ in parts]
     out.append(text[at:])
     return "".join(out), told
 

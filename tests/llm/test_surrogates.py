@@ -112,3 +112,57 @@ def test_every_script_has_digits_and_letters(spark):
     # one value in two scripts of digits has one surrogate
     same = [S.replaced(KEY, t)[1][0][1:3] for t in ("call 017-555-7713", "call ٠١٧-٥٥٥-٧٧١٣", "call ०१७.५५५.७७१३")]
     assert len(set(same)) == 1
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds", "gone"),
+    [
+        ("call +14155552671 or +1 415 555 2671", ["phone"] * 2, ["4155552671", "415 555"]),
+        ("+49 30 1234567, +33 1 23 45 67 89; 020 7946 0958 / 01 23 45 67 89", ["phone"] * 4, ["1234567", "23 45", "7946"]),
+        ("password: hunter2x and api_key=sk-abcdef123, ghp_16C7e42F292c6912E7710c838347Ae178B4a", ["secret"] * 3, ["hunter2x", "abcdef123", "16C7e"]),
+        ("IBAN DE89 3704 0044 0532 0130 00, GB82WEST12345698765432", ["iban"] * 2, ["3704", "WEST"]),
+        ("host 2001:db8::8a2e:370:7334, fe80::1ff:fe23:4567:890a", ["ip"] * 2, ["8a2e", "fe23"]),
+        ("number 078-05-1120", ["national"], ["078", "1120"]),
+        ("John Smith met KARL MARX. Smith's dog and MARX; Mary F. O'Brien-Jones", ["name"] * 9, ["John", "Smith", "MARX", "KARL", "Brien", "Jones"]),
+    ],
+)
+def test_written_forms(text, kinds, gone):
+    made, told = S.replaced(KEY, text)
+    assert [t[0] for t in told] == kinds and not any(g in made for g in gone), made
+    for kind, _, surrogate, *_ in told:
+        if kind == "iban":
+            assert S.is_iban(surrogate)
+        if kind == "ip":
+            assert S.is_ipv6(surrogate) or surrogate.count(":") > 1
+    assert "ghp_" not in text or "ghp_" in made and "=sk-" in made
+    assert len({t[2] for t in told}) == len({t[1] for t in told})
+
+
+def test_later_mentions_follow_and_gender_comes_from_the_form_of_address():
+    text, told = S.replaced(KEY, "Keller came. Mrs. Anna Keller. Keller left, KELLER's dog; Anna too. Mr Will, Will and a will.")
+    by = {t[1]: t[2] for t in told}
+    assert "eller" not in text.lower() and "Anna" not in text and text.count(by["keller"].title()) == 3 and by["keller"].upper() + "'s dog" in text
+    assert text.endswith(", Will and a will.")  # the document has the word in lower case
+    text, told = S.replaced(KEY, "Frau Kim Lee, Herr Kim Lee, Frau Prof. Dr. Uta Lee. Иван. госпожа Ася Белая")
+    by = {t[1]: t[2] for t in told}
+    assert by["kim f"].endswith("elia") and by["kim m"].endswith("ello") and by["uta f"].endswith("elia") and by["ася f"].endswith("елия")
+    assert [t[1] for t in told].count("lee") == 3 and "Prof. Dr. " in text
+    assert not any(S._marked.search(n) for n in S._given)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.tuples(st.sampled_from(["", "f", "m"]), st.sampled_from(["kim", "elia", "anelia", "kelia", "keliae", "ello", "bello", "anna", "nina", "pia", "lia"]) | st.text("aelio", min_size=1, max_size=6)), min_size=2))
+def test_words_of_names_stay_distinct(words):
+    made = {S._word(KEY, w, g)[1]: S._word(KEY, w, g)[2] for g, w in words}
+    assert len(set(made.values())) == len(made) and all(a.split()[0] != b for a, b in made.items())
+
+
+def test_what_looks_alike_is_left_alone():
+    for text in ("std::vector a::b at 12:30:45", "password: required; token = get_token2(3)", "Yes, Sir. The house.", "01.02.2024 and 2024-05-11", "+5 10 and 0.5 1234"):
+        assert S.replaced(KEY, text) == (text, [])
+
+
+def test_a_very_long_text_of_names():
+    text = "Mrs. Anna Keller saw Keller and the dog. " * 20_000
+    made, told = S.replaced(KEY, text)
+    assert len(told) == 60_000 and "Keller" not in made
