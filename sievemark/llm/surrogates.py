@@ -410,6 +410,8 @@ PATTERNS = (
         rf"\b(?:(?:(?:(?:{_short_titles})\b\.?|(?:{_titles})\b)\s+)+(?!(?:{_titles})\b)({_part}(?:\s{_capital}\.(?=\s{_capital}))?(?:\s{_part}){{0,2}})"
         rf"|((?:{'|'.join(_forms)})(?:\s{_capital}\.(?=\s{_capital}))?(?:\s{_part}){{1,2}}))"), name, None),
 )
+# Substrings without which a pattern of secrets finds nothing.
+_key_signs = {PATTERNS[0][1]: (":", "="), PATTERNS[1][1]: (*(p for p in KEY_PREFIXES if p != "akia"), "AKIA")}
 _digit = re.compile(r"\d")
 _named = re.compile("|".join(map(re.escape, sorted([*_gender_of, *_forms], key=len, reverse=True))))
 _title = re.compile(rf"\b(?:{_titles})\b")
@@ -447,7 +449,9 @@ def spans(text: str, taken: _Taken | None = None) -> list[tuple[int, int, str, C
     for kind, pattern, make, valid in PATTERNS:
         if kind == "email" and "@" not in text or kind in ("card", "phone", "ip", "iban", "national") and not digits and make is not ipv6:
             continue
-        if kind == "name" and not _named.search(text):
+        if kind == "name" and not _named.search(text) or make is ipv6 and text.count(":") < 2:
+            continue
+        if kind == "secret" and not any(sign in text for sign in _key_signs[pattern]):
             continue
         for m in pattern.finditer(text):
             start, end = m.span(m.lastindex or 0)
