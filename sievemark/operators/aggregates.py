@@ -160,3 +160,59 @@ def profile(manifest: DataFrame, label: str, measures: Sequence[str], texts: Seq
     return out.unionByName(
         rows(for_each, "describe", F.concat_ws("/", label, "measure"), F.col("v"), F.col("stat"))
     )
+
+
+def profile_sections(
+    manifest: DataFrame,
+    label: str,
+    split: str,
+    pattern: str,
+    classes: Sequence[str],
+    splits: Sequence[str],
+    sides: tuple[str, str],
+    group: str,
+    min_pattern: int = 5,
+    common: int = 10,
+) -> DataFrame:
+    """The tables beside :func:`profile` as one long table (section, key, stat, value).
+
+    Class by given split over all rows (a missing class is ``?``), name pattern by class over kept rows (patterns of
+    at least ``min_pattern`` rows), the most common sizes, warnings and described sides of valid rows, how many
+    groups of kept rows have each size, and per class the longer side and the size in KiB. Pairs that do not occur
+    are 0. The first two are pivots over given values, so they need no scan for the columns.
+    """
+    valid, ok = manifest.where("is_valid"), manifest.where("status = 'ok'")
+
+    def rows(df: DataFrame, section: str, key: str | Column, stat: str | Column, value: str | Column) -> DataFrame:
+        cells = {"key": (key, "string"), "stat": (stat, "string"), "value": (value, "double")}
+        return df.select(
+            F.lit(section).alias("section"),
+            *[(F.col(c) if isinstance(c, str) else c).cast(t).alias(n) for n, (c, t) in cells.items()],
+        )
+
+    def crossed(df: DataFrame, section: str, row: str, column: str, values: Sequence[str], least: int) -> DataFrame:
+        wide = crosstab(df.select(F.col(row).alias("key"), F.col(column).alias("c")), "key", "c", values, least)
+        return rows(wide.unpivot("key", list(values), "stat", "value"), section, "key", "stat", "value")
+
+    def described(df: DataFrame, section: str, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+        table = describe(long_measures(df, keys, measures), [*keys, "measure"])
+        long = table.unpivot([*keys, "measure"], ["mean", "p01", "p25", "median", "p75", "p99"], "stat", "value")
+        return rows(long, section, F.concat_ws("/", *keys, "measure"), "stat", "value")
+
+    count = F.lit("count")
+    size = F.concat_ws("x", *[F.col(c).cast("long") for c in sides])
+    sizes = value_counts(valid.where(F.col(sides[0]).isNotNull() & F.col(sides[1]).isNotNull()), size)
+    shape = ok.select(label, F.greatest(*sides).alias("long_side"), (F.col("bytes") / 1024).alias("kb"))
+    parts = [
+        crossed(manifest.withColumn(label, F.coalesce(label, F.lit("?"))), f"{split}_by_class", label, split, splits, 0),
+        crossed(ok.where(F.col(pattern).isNotNull()), "pattern_by_class", pattern, label, classes, min_pattern),
+        rows(sizes.orderBy(F.col("n").desc(), "value").limit(common), "common_size", "value", count, "n"),
+        rows(reason_histogram(valid, "warnings"), "warning", "reason", count, "n"),
+        rows(group_sizes(ok, group), "group_size", "size", F.lit("groups"), "groups"),
+        described(valid, "sides", [], list(sides)),
+        described(shape.where(F.col(label).isNotNull()), "resolution_by_class", [label], ["long_side", "kb"]),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

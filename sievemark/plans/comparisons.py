@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievemark.functions import arrays
+from sievemark.functions import arrays, rules
 from sievemark.functions.hashing import hash_uniform
 from sievemark.operators import aggregates, joins, rollups
 from sievemark.operators.metrics import cells, core_metrics, predicted
-from sievemark.plans.datasets import CLASSES, MANIFEST, SCORED, frozen_scored, manifest, scored
+from sievemark.plans.datasets import CLASSES, LANGS, MANIFEST, SCORED, frozen_scored, manifest, scored
 from sievemark.plans.duplicates import _PRECEDENCE, _precedence
 from sievemark.plans.evaluation import _TWO, _sql_bins, _sql_metrics
 from sievemark.plans.registry import Tables, query, rounded
@@ -289,6 +289,43 @@ def data_profile(t: Tables):
     return rounded(aggregates.profile(freeze(_profiled(t)), "lang", ["bytes", "n_chars"], ["source"]), 4)
 
 
+def _sql_described(key: str, rows: str) -> str:
+    """(key, stat, value) rows of the described ``v`` of a subquery with ``key``."""
+    stats = ", ".join(f"quantile_cont(v, {q}) AS {n}" for n, q in (("p01", 0.01), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p99", 0.99)))
+    return f"UNPIVOT (SELECT {key} AS key, avg(v) AS mean, {stats} FROM ({rows}) GROUP BY 1) ON mean, p01, p25, median, p75, p99 INTO NAME stat VALUE value"
+
+
+_SECTION_SPLITS = ("0", "1", "2", "3")
+
+
+@query(f"""WITH {_PRECEDENCE}, p AS (SELECT f.status, f.status <> 'invalid' AS is_valid, f.path, f.duplicate_of, m.lang, m.source, m.bytes, m.n_chars,
+  (m.doc_id % 4)::VARCHAR AS given, m.bytes / m.n_chars AS ratio FROM final f JOIN manifest m USING (path)),
+ok AS (SELECT * FROM p WHERE status = 'ok'), valid AS (SELECT * FROM p WHERE is_valid),
+langs AS (SELECT unnest({list(LANGS)}) AS lang), givens AS (SELECT unnest({list(_SECTION_SPLITS)}) AS given),
+a AS (SELECT coalesce(lang, '?') AS lang, given FROM p),
+b AS (SELECT source FROM ok WHERE source IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (lang IN (SELECT lang FROM langs)) >= 5),
+s1 AS ({_sql_described("m", "SELECT 'bytes' AS m, bytes::DOUBLE AS v FROM valid UNION ALL SELECT 'n_chars', n_chars FROM valid")}),
+s2 AS ({_sql_described("lang || '/' || m", "SELECT lang, 'long_side' AS m, greatest(bytes, n_chars)::DOUBLE AS v FROM ok UNION ALL SELECT lang, 'kb', bytes / 1024.0 FROM ok")})
+SELECT section, key, stat, round(value, 4) AS value FROM (
+ SELECT 'given_by_class' AS section, l.lang AS key, g.given AS stat, count(a.lang)::DOUBLE AS value
+   FROM (SELECT DISTINCT lang FROM a) l CROSS JOIN givens g LEFT JOIN a ON a.lang = l.lang AND a.given = g.given GROUP BY 2, 3
+ UNION ALL SELECT 'pattern_by_class', b.source, l.lang, count(ok.path) FROM b CROSS JOIN langs l LEFT JOIN ok ON ok.source = b.source AND ok.lang = l.lang GROUP BY 2, 3
+ UNION ALL SELECT * FROM (SELECT 'common_size', bytes || 'x' || n_chars, 'count', count(*) FROM valid GROUP BY 2 ORDER BY 4 DESC, 2 LIMIT 10)
+ UNION ALL SELECT * FROM (SELECT 'warning', 'aspect', 'count', count(*) FROM valid WHERE NOT (ratio BETWEEN 1.0 AND 1.02) HAVING count(*) > 0)
+ UNION ALL SELECT 'group_size', size::VARCHAR, 'groups', count(*) FROM (SELECT count(*) AS size FROM ok GROUP BY source) GROUP BY 2
+ UNION ALL SELECT 'sides', key, stat, value FROM s1 UNION ALL SELECT 'resolution_by_class', key, stat, value FROM s2)""")
+def data_profile_sections(t: Tables):
+    """Crosstabs, common sizes, warnings, group sizes and described sides of the profiled documents."""
+    m = _precedence(t).withColumn("is_valid", F.col("status") != "invalid")
+    m = m.withColumn("given", (F.col("doc_id") % 4).cast("string"))
+    m = m.withColumn("warnings", rules.aspect_warnings(F.col("bytes"), F.col("n_chars"), 1.0, 1.02))
+    kept = freeze(m.select("is_valid", "status", "lang", "source", "given", "bytes", "n_chars", "warnings"))
+    sections = aggregates.profile_sections(
+        kept, "lang", "given", "source", LANGS, _SECTION_SPLITS, ("bytes", "n_chars"), "source"
+    )
+    return rounded(sections, 4)
+
+
 @query(f"""WITH {MANIFEST} SELECT lang, round(quantile_cont(greatest(bytes, n_chars)::DOUBLE, 0.5), 4) AS median_side, round(quantile_cont(bytes / 1024.0::DOUBLE, 0.5), 4) AS median_kb,
   round(quantile_cont(len(string_split(text, chr(10)))::DOUBLE, 0.5), 4) AS median_lines FROM manifest GROUP BY 1""")
 def confound_table(t: Tables):
