@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievemark.functions import arrays, rules
 from sievemark.functions.hashing import hash_uniform
-from sievemark.operators import aggregates, joins, rollups
+from sievemark.operators import aggregates, joins, matrix, rollups
 from sievemark.operators.metrics import cells, core_metrics, predicted
 from sievemark.plans.datasets import CLASSES, LANGS, MANIFEST, SCORED, frozen_scored, manifest, scored
 from sievemark.plans.duplicates import _PRECEDENCE, _precedence
@@ -253,6 +253,56 @@ def decision_matrix(t: Tables):
     return joins.optional_join(base, parts, "model")
 
 
+_STATS = """s AS (SELECT o_orderpriority AS bundle, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(min(o_totalprice), 4) AS low, round(max(o_totalprice), 4) AS high,
+  round(avg((o_orderstatus = 'F')::INT), 6) AS f, round(avg((o_orderstatus = 'O')::INT), 6) AS o, round(avg((o_orderstatus = 'P')::INT), 6) AS p FROM orders GROUP BY 1)"""
+
+
+@query(f"""WITH {_STATS}, b AS (SELECT bundle FROM s UNION ALL SELECT '6-UNKNOWN'), m AS (SELECT mean FROM s WHERE bundle = '2-HIGH'),
+ev AS (SELECT * FROM s WHERE bundle <> '5-LOW'), rb AS (SELECT * FROM s WHERE bundle IN ('1-URGENT', '5-LOW')), od AS (SELECT * FROM s WHERE bundle <> '2-HIGH'),
+bm AS (SELECT * FROM s WHERE bundle <> '3-MEDIUM')
+SELECT b.bundle, 'm' || ev.bundle AS model, ev.f AS val_macro_f1, ev.mean AS test_macro_f1, ev.low AS test_ci_low, ev.high AS test_ci_high, ev.n AS test_errors, ev.o AS ece_after,
+  rb.f AS relative_robustness_sev1_3, rb.o AS relative_robustness_sev1_5, rb.p AS background_only_acc, NULL::DOUBLE AS leaf_only_acc,
+  CASE od.n % 2 WHEN 0 THEN 'energy' WHEN 1 THEN 'knn' END AS ood_scorer, CASE WHEN od.n IS NULL THEN NULL WHEN od.n % 2 = 0 THEN od.f ELSE od.o END AS ood_auroc_near,
+  CASE WHEN od.n IS NULL THEN NULL WHEN od.n % 2 = 0 THEN od.p ELSE od.f END AS ood_auroc_far, od.o AS accepted_share, od.p AS accepted_accuracy, od.n AS ood_test_accepted,
+  NULL::DOUBLE AS external_auroc, NULL::DOUBLE AS external_accuracy, bm.mean AS onnx_mb, bm.low AS params_m, bm.low AS latency_model_p50_ms, bm.high AS latency_model_p95_ms, bm.mean AS latency_end_to_end_p50_ms,
+  CASE WHEN b.bundle IN ('1-URGENT', '3-MEDIUM') THEN round(m.mean - s.mean, 4) END AS diff_main_minus_this, CASE WHEN b.bundle IN ('1-URGENT', '3-MEDIUM') THEN s.low END AS paired_ci_low,
+  CASE WHEN b.bundle IN ('1-URGENT', '3-MEDIUM') THEN s.high END AS paired_ci_high, b.bundle = '2-HIGH' AS is_main
+FROM b CROSS JOIN m LEFT JOIN s USING (bundle) LEFT JOIN ev ON ev.bundle = b.bundle LEFT JOIN rb ON rb.bundle = b.bundle LEFT JOIN od ON od.bundle = b.bundle LEFT JOIN bm ON bm.bundle = b.bundle""")
+def full_decision_matrix(t: Tables):
+    """All fields of the comparison, from JSON documents of differing shape that are written and read back by kind."""
+
+    def share(status: str) -> Column:
+        return F.round(F.avg((F.col("o_orderstatus") == status).cast("double")), 6)
+
+    price = F.col("o_totalprice")
+    s = freeze(t("orders").groupBy(F.col("o_orderpriority").alias("bundle")).agg(
+        F.count("*").alias("n"), F.round(F.avg(price), 4).alias("mean"), F.round(F.min(price), 4).alias("low"),
+        F.round(F.max(price), 4).alias("high"), share("F").alias("f"), share("O").alias("o"), share("P").alias("p"),
+    ))
+    shapes = {
+        "eval": ("bundle <> '5-LOW'", """named_struct('model', concat('m', bundle), 'val', named_struct('macro_f1', f), 'test', named_struct('macro_f1', mean, 'errors', n,
+            'bootstrap_95ci', named_struct('macro_f1', named_struct('lo', low, 'hi', high)), 'calibration', named_struct('ece_after', o)))"""),
+        "robustness": ("bundle in ('1-URGENT', '5-LOW')", """named_struct('relative_robustness', named_struct('severity_1_3', f, 'severity_1_5', o),
+            'shortcut', named_struct('background_only', named_struct('accuracy', p), 'leaf_only', 'none'))"""),
+        "ood": ("bundle <> '2-HIGH'", """named_struct('scorer', if(n % 2 = 0, 'energy', 'knn'), 'test', named_struct(
+            'energy', named_struct('near', named_struct('auroc', f), 'far', named_struct('auroc', p)), 'knn', named_struct('near', named_struct('auroc', o), 'far', named_struct('auroc', f))),
+            'decisions', named_struct('test', named_struct('accepted_share', o, 'accepted_accuracy', p), 'ood_test', named_struct('counts', named_struct('accepted:None', n))))"""),
+        "benchmark": ("bundle <> '3-MEDIUM'", """named_struct('onnx_mb', mean, 'params_m', low, 'extra', array(1, 2),
+            'model_only', named_struct('p50_ms', low, 'p95_ms', high), 'end_to_end', named_struct('p50_ms', mean))"""),
+    }
+    parts = [s.where(rows).select(F.lit(kind).alias("kind"), "bundle", F.to_json(F.expr(shape)).alias("value")) for kind, (rows, shape) in shapes.items()]
+    main = F.max(F.when(F.col("bundle") == "2-HIGH", F.col("mean")))
+    rest = s.agg(main.alias("main"), F.collect_list(F.struct("bundle", "mean", "low", "high")).alias("all"))  # a row per priority
+    paired = rest.selectExpr("'paired' as kind", "'all' as bundle", """to_json(named_struct('main', '2-HIGH', 'comparisons', map_from_entries(
+        transform(filter(all, r -> r.bundle in ('1-URGENT', '3-MEDIUM')), r -> struct(r.bundle, named_struct('diff', round(main - r.mean, 4), 'lo', r.low, 'hi', r.high)))))) as value""")
+    root = scratch_path(t.spark, "results")
+    for part in [*parts, paired]:
+        part.write.mode("append").partitionBy("kind", "bundle").text(root)
+    layout = {kind: rf"/kind={kind}/bundle=([^/]+)/" for kind in (*shapes, "external", "paired")}
+    bundles = s.select("bundle").unionByName(t.spark.createDataFrame([("6-UNKNOWN",)], "bundle string"))
+    return matrix.result_matrix(bundles, tables.read_variants(t.spark, root, layout))
+
+
 @query("""WITH a AS (SELECT event_type AS condition, round(avg((value > 40)::INT), 6) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1),
 b AS (SELECT event_type AS condition, round(avg((value > 40)::INT), 6) AS v FROM events WHERE event_id % 2 = 1 AND event_type <> 'view' GROUP BY 1)
 SELECT condition, b.v AS before, a.v AS after, round(a.v - b.v, 6) AS change FROM a LEFT JOIN b USING (condition)""")

@@ -110,3 +110,25 @@ def read_documents(spark: SparkSession, folder: str, kinds: dict[str, T.StructTy
             continue
         out[kind] = df.withColumn(name, F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1))
     return out
+
+
+# Where result documents lie below a folder: kind, and a pattern whose group is the bundle (none: of all bundles).
+LAYOUT = {
+    "eval": r"/eval/([^/]+)/metrics\.json$",
+    "robustness": r"/robustness/([^/]+)/robustness\.json$",
+    "ood": r"/ood/([^/]+)/ood\.json$",
+    "external": r"/ood/([^/]+)/external\.json$",
+    "benchmark": r"/benchmark/([^/]+)\.json$",
+    "paired": r"/metrics/()paired\.json$",
+}
+
+
+def read_variants(spark: SparkSession, folder: str, layout: dict[str, str] | None = None) -> DataFrame:
+    """``(bundle, kind, doc)`` of every result document below ``folder``, in one scan; a broken document is a NULL VARIANT."""
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
+    path = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
+    found = [
+        F.when(F.regexp_like(path, F.lit(p)), F.struct(F.regexp_extract(path, p, 1).alias("bundle"), F.lit(kind).alias("kind")))
+        for kind, p in (layout or LAYOUT).items()
+    ]
+    return files.select(F.coalesce(*found).alias("at"), F.try_parse_json("value").alias("doc")).where("at is not null").select("at.*", "doc")
