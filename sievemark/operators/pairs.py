@@ -264,7 +264,9 @@ def nearest_variants(
 
     A NULL array and NULL entries are left out of the bank.
     """
-    spread = bank.select(F.explode(bank_variants).alias("_variant"))
+    # written first: explode filters on the array, and a filter repeats the array's whole expression for each entry
+    known = stored(bank.select(F.col(bank_variants).alias("_variants")), "variants")
+    spread = known.select(F.explode("_variants").alias("_variant"))
     return nearest_distance(queries, query_key, query_signature, spread, "_variant", seen_within, bank_rows)
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,17 @@ def test_word_signature_matches_plain_python(spark):
         assert got[i] == (value - (1 << 64) if value >> 63 else value)
 
 
+def test_word_signature_over_cuts_and_repeated_keys(spark, monkeypatch):
+    """Texts of many words are summed in pieces; rows of one key are one text, as when each word was a row."""
+    words = [f"w{i % 700}" for i in range(2000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:900])), (2, " ".join(words[900:])), (3, None), (4, "...")], "id int, t string")
+    want = {r.id: r.signature for r in hashing.text_signatures(df, "id", "t").collect()}
+    assert want[1] == want[2] and want[3] == want[4] == 0
+    whole = hashing._bit_counts(pa.array([words, [""], words[:300]]))
+    monkeypatch.setattr(hashing, "WORDS", 64)
+    assert hashing._bit_counts(pa.array([words, [""], words[:300]])).equals(whole)
+
+
 def test_probability_arrays(spark):
     p = F.array(*[F.lit(v) for v in (0.4, 0.3, 0.2, 0.1)])
     flat = F.array(*[F.lit(0.25)] * 4)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sievemark.functions.hashing import text_signatures
 from sievemark.operators import components, pairs, vector_pairs
 
 
@@ -93,6 +94,18 @@ def test_nearest_by_parts_equals_all_pairs(spark, noisy_hashes, monkeypatch, rad
     assert got == {i: (d, None if d is None else d <= 8) for i, d in enumerate(want)}
 
 
+def test_turned_signatures_are_not_computed_again_by_a_filter(spark, monkeypatch):
+    """explode filters on its array; with the array's expression inlined the code outgrew the compiler."""
+    banks = []
+    monkeypatch.setattr(pairs, "nearest_distance", lambda q, key, s, bank, *rest: banks.append(bank))
+    one = text_signatures(spark.createDataFrame([(1, "a b c")], "i long, t string"), "i", "t")
+    s = F.col("signature")
+    turned = F.array(s, *[F.shiftleft(s, 8 * k).bitwiseOR(F.shiftrightunsigned(s, 64 - 8 * k)) for k in range(1, 8)])
+    pairs.nearest_variants(one, "i", "signature", one.select(F.when(F.col("i") > 0, turned).alias("v")), "v")
+    plan = banks[0].where("_variant is not null").distinct()._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 5000 and banks[0].count() == 8
+
+
 def vectors(spark, x, labels=None):
     rows = [(i, [float(f) for f in v], int(labels[i]) if labels is not None else 0) for i, v in enumerate(x)]
     return spark.createDataFrame(rows, "i long, v array<double>, label int").repartition(5)
