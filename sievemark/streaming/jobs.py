@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievemark.operators.ordered import with_running_sums
 from sievemark.session import scratch_path
 
 
@@ -46,8 +47,8 @@ def gate_stream(rows: DataFrame, decide: Callable[[], Column], name: str = "deci
 def log_monitor(events: DataFrame, ts: str, window: str, kind: str, failed: Column, value: str) -> DataFrame:
     """Requests, failures and latency percentiles per window and kind.
 
-    ``percentile_approx`` keeps a bounded sketch per window; an exact percentile would keep every
-    distinct value as state.
+    ``percentile_approx`` keeps a bounded sketch per window, so beyond some 10,000 values its percentiles are near
+    ones; :func:`value_cells` and :func:`latencies` give exact ones for a larger state.
     """
     return events.groupBy(F.window(ts, window).alias("w"), kind).agg(
         F.count("*").alias("n"),
@@ -58,6 +59,31 @@ def log_monitor(events: DataFrame, ts: str, window: str, kind: str, failed: Colu
     )
 
 
+def value_cells(events: DataFrame, ts: str, window: str, kind: str, failed: Column, value: str) -> DataFrame:
+    """Requests and failures per window, kind and value: what exact percentiles need.
+
+    The state is a row for each distinct value of a window and kind, keyed by all three, so a busy kind is spread over
+    all tasks. :func:`latencies` turns the drained cells into one row per window and kind.
+    """
+    cells = events.groupBy(F.window(ts, window).alias("w"), kind, value).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(failed.cast("long")), F.lit(0).cast("long")).alias("failed")
+    )
+    return cells.select(F.col("w.start").alias("start"), kind, value, "n", "failed")
+
+
+def latencies(cells: DataFrame, kind: str, value: str, percents: dict[str, int]) -> DataFrame:
+    """Requests, failures and exact percentiles (the value at rank ceil(n * percent / 100)) per window and kind.
+
+    Values are put in order over all tasks; no window or kind is gathered in one. NULL values count as requests only.
+    """
+    known = cells.withColumn("known", F.when(F.col(value).isNotNull(), F.col("n")).otherwise(F.lit(0).cast("long")))
+    run = with_running_sums(known, [value], ["n", "failed", "known"], ["start", kind])
+    at = {name: F.expr(f"(known_total * {p} + 99) div 100 - 1") for name, p in percents.items()}
+    before, upto = F.col("known_before"), F.col("known_before") + F.col("known")
+    picks = [F.max(F.when((rank >= before) & (rank < upto), F.col(value))).alias(name) for name, rank in at.items()]
+    return run.groupBy("start", kind).agg(F.max("n_total").alias("n"), F.max("failed_total").alias("failed"), *picks)
+
+
 def suppress_copies(rows: DataFrame, keys: list[str]) -> DataFrame:
     """First row of each content within the watermark; later copies are dropped."""
     return rows.dropDuplicatesWithinWatermark(keys)

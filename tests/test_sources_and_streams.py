@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievemark.operators import joins
+from sievemark.plans.registry import Tables
+from sievemark.plans.streams import log_monitor
 from sievemark.session import checkpoint_root
 from sievemark.sources import tables
 from sievemark.streaming import jobs
@@ -73,6 +75,19 @@ def test_streams_over_several_files(spark, tmp_path):
     assert done == {"00:00": (18, 1), "01:30": (18, 2)}
 
 
+def test_monitor_is_exact_beyond_a_sketch(spark, tmp_path):
+    """40,000 values in one window are more than a sketch holds; kinds without a value count their requests."""
+    n = 40_000
+    value = F.when(F.col("id") < n, F.pmod(F.col("id") * 7919, F.lit(n)) + F.rand(3) / 2)
+    kind = F.when(F.col("id") < n, F.lit("a")).when(F.col("id") < n + 3, F.lit("b"))
+    rows = spark.range(n + 5).select(kind.alias("event_type"), value.alias("value"), F.expr("timestamp_seconds(1704067200 + id % 20000)").alias("ts"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    values = sorted(r.value for r in spark.read.parquet(str(tmp_path / "events.parquet")).where("value is not null").collect())
+    got = {r.event_type: (r.n, r.failed, r.p50, r.p95) for r in log_monitor(Tables(spark, str(tmp_path))).collect()}
+    assert got["a"] == (n, sum(v > 80 for v in values), values[n // 2 - 1], values[n * 95 // 100 - 1])
+    assert got["b"] == (3, 0, None, None) and got[None] == (2, 0, None, None)
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     root = checkpoint_root(spark)
     assert root == spark.sparkContext.getCheckpointDir()
