@@ -1,10 +1,11 @@
-"""Near copies by exact Jaccard similarity of word shingles; candidates come from banded MinHash.
-
-Texts are near copies if the sets of their 5-word shingles have a Jaccard similarity of at least 4/5.
-A 64-bit fingerprint cannot find these pairs: at 0.8 about ten bits differ on average and fifteen often,
-and masks that cover so many positions keep too few bits to tell texts apart. Instead each text gets
-BANDS keys of ROWS minima each. A pair of similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS:
-0.9999 at 0.8, more above. Each candidate is then verified on the whole shingle sets, so no pair below the
+"""Near copies by SimHash fingerprints under covering masks (operator 8), widened by MinHash, verified exactly.
+
+Texts are near copies if the sets of their 5-word shingles have a Jaccard similarity of at least 4/5. Each text
+has the SimHash fingerprint of its shingles and one key for each covering mask of :mod:`simhash`, so every pair
+within RADIUS bits is a candidate without fail. At 0.8 about ten bits differ on average and fifteen often, and masks
+that cover so many positions keep too few bits to tell texts apart. So each text also gets BANDS keys of ROWS
+minima each: a pair of similarity s shares one of these with probability 1 - (1 - s^ROWS)^BANDS, 0.9999 at 0.8
+and more above. Each candidate of either kind is then verified on the whole shingle sets, so no pair below the
 threshold is linked.
 
 Texts with equal words (letter case A-Z and blanks set aside) are one node. Buckets of one node are dropped
@@ -28,12 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievemark.llm import simhash
 from sievemark.llm.common import texts, with_columns
 from sievemark.operators.components import connected_components
 from sievemark.session import stored
 
 SHINGLE = 5
 SIMILAR = (4, 5)  # the least Jaccard similarity, as a fraction
+RADIUS = 4  # differing bits of fingerprints that no mask misses
 BANDS, ROWS = 24, 5
 SEED = 43
 BLOCK = 512  # nodes of a bucket that are dealt to one block
@@ -41,6 +44,9 @@ BLOCK = 512  # nodes of a bucket that are dealt to one block
 _random = np.random.default_rng(SEED)
 _turn = _random.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64)
 _stretch = _random.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+_masks = np.array(simhash.covering_masks(RADIUS), np.uint64)
+_mask_turn = _random.integers(0, 2**64, len(_masks), np.uint64)
+_mask_stretch = _random.integers(0, 2**64, len(_masks), np.uint64) | np.uint64(1)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -68,6 +74,17 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(lowest.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
+def mask_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each covering mask: what the mask keeps of the fingerprint, turned one to one for that mask."""
+    kept = np.uint64(simhash.majority(hashes) & (1 << 64) - 1) & _masks
+    return ((kept ^ _mask_turn) * _mask_stretch).view(np.int64)
+
+
+def keys(hashes: np.ndarray) -> np.ndarray:
+    """All keys of a shingle set: texts that share one are candidates."""
+    return np.concatenate([mask_keys(hashes), band_keys(hashes)])
+
+
 def _nodes(docs: DataFrame, text: str, keep: list[str] | None = None) -> DataFrame:
     def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         return {"_node": pa.array([node_of(words_of(t)) for t in texts(batch, text)], pa.int64())}
@@ -79,7 +96,7 @@ def _printed(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         words = [words_of(t) for t in texts(batch, text)]
         nodes = pa.array([node_of(w) for w in words], pa.int64())
-        return {"_node": nodes, "_bands": pa.array([band_keys(shingles(w)) for w in words], pa.list_(pa.int64()))}
+        return {"_node": nodes, "_bands": pa.array([keys(shingles(w)) for w in words], pa.list_(pa.int64()))}
 
     return with_columns(docs, "_node long, _bands array<long>", compute, keep)
 

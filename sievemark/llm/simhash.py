@@ -46,7 +46,11 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
-    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], np.uint64)
+    return majority(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed fingerprint of 64-bit hashes."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 4096):
         part = hashes[at : at + 4096].view(np.uint8).reshape(-1, 8)

@@ -6,7 +6,7 @@ import pytest
 from fixtures_llm import SCHEMA, documents
 
 import corpus_pipeline
-from sievemark.llm import near
+from sievemark.llm import near, simhash
 
 
 def plain_survivors(rows):
@@ -63,6 +63,28 @@ def test_stage_finds_copies_far_apart_in_fingerprints(spark):
     assert sorted(r.doc_id for r in out.collect()) == list(range(0, 40, 2))
 
 
+def test_fingerprints_under_masks_give_candidates_of_their_own(spark):
+    """Operator 8's method is a step of the stage: masked fingerprints alone link texts within the radius."""
+    rng = random.Random(5)
+    rows, nodes = [], []
+    for g in range(20):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join([*base, "more"]))]
+    for i, text in rows:
+        words = near.words_of(text.encode())
+        found = near.shingles(words)
+        assert set(near.mask_keys(found)) | set(near.band_keys(found)) == set(near.keys(found))
+        nodes.append((near.node_of(words), i, [int(k) for k in near.mask_keys(found)]))
+    close = {(i, i + 1) for i in range(0, 40, 2) if len(set(nodes[i][2]) & set(nodes[i + 1][2]))}
+    fingerprints = [simhash.majority(near.shingles(near.words_of(t.encode()))) for _, t in rows]
+    within = {(i, i + 1) for i in range(0, 40, 2) if ((fingerprints[i] ^ fingerprints[i + 1]) & (1 << 64) - 1).bit_count() <= near.RADIUS}
+    assert within and within <= close
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = near.linked(docs, spark.createDataFrame(nodes, "node long, first long, bands array<long>"), "doc_id", "text").collect()
+    place = {n[0]: n[1] for n in nodes}
+    assert {tuple(sorted((place[r.a], place[r.b]))) for r in links} == close
+
+
 def test_repeated_and_missing_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
     rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, b, "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "s", 1), (None, a, "en", "s", 1)]
