@@ -154,6 +154,15 @@ def number_groups(members: DataFrame, group: str, first_seen: str) -> DataFrame:
     return placed.select(group, (F.col("_position") - 1).alias("group_id"))
 
 
+def near_counts(
+    manifest: DataFrame, path: str = "path", digest: str = "sha256", label: str = "label", signature: str = "signature", max_distance: int = 5
+) -> DataFrame:
+    """The near-pair counts of :func:`assign_groups` over plain signatures, without its components and group numbers."""
+    ok = mark_exact(manifest, path, digest, label).where("status = 'ok'").select(path, signature, label)
+    nodes = freeze(content_nodes(ok, path, signature, label))
+    return met_counts(nodes, stored(near_facts(nodes, max_distance), "met"))
+
+
 def assign_groups(
     manifest: DataFrame,
     path: str = "path",

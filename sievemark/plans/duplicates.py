@@ -201,9 +201,12 @@ def variant_groups(t: Tables):
     return groups.assign_groups(m, max_distance=DISTANCE, variant_list="variants")[0].select("path", "status", "duplicate_of", "group_id")
 
 
+def _signed(t: Tables, label: str):
+    return signed_documents(t, label).withColumn("status", F.lit("ok"))
+
+
 def _grouped(t: Tables, label: str = "lang"):
-    m = signed_documents(t, label).withColumn("status", F.lit("ok"))
-    return groups.assign_groups(m, max_distance=DISTANCE)
+    return groups.assign_groups(_signed(t, label), max_distance=DISTANCE)
 
 
 @query(f"WITH RECURSIVE {_sql_groups('lang')} SELECT path, status, duplicate_of, group_id FROM grouped")
@@ -219,7 +222,7 @@ def near_conflict_groups(t: Tables):
 
 @query(f"""WITH RECURSIVE {_sql_groups('lang')} SELECT (SELECT count(*) FROM near) // 2 AS near_pairs, (SELECT count(*) FROM near WHERE NOT same) // 2 AS cross_label_pairs""")
 def near_pair_counts(t: Tables):
-    return _grouped(t)[1]
+    return groups.near_counts(_signed(t, "lang"), max_distance=DISTANCE)
 
 
 @query(f"""WITH RECURSIVE {_sql_groups('lang')}, sizes AS (SELECT group_id, count(*) AS size FROM grouped WHERE group_id IS NOT NULL GROUP BY 1)

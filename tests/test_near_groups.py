@@ -82,6 +82,21 @@ def test_empty_and_lonely_nodes(spark):
     assert near_groups.near_facts(lone, 5).count() == 0
 
 
+def test_counts_alone_need_no_components(spark, monkeypatch):
+    """The counts of a grouping, label conflicts and copies included, without one round of components."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**40, 12)
+    rows = [(f"p{i:03}", f"d{i % 70}", "ab"[int(rng.integers(2))], int(base[i % 12] ^ (1 << int(rng.integers(3))))) for i in range(90)]
+    df = spark.createDataFrame(rows, "path string, sha256 string, label string, signature long").withColumn("status", F.lit("ok"))
+    want = groups.assign_groups(df, max_distance=3)[1].first()
+
+    def never(*_, **__):
+        raise AssertionError("components for counts")
+
+    monkeypatch.setattr(groups, "connected_components", never)
+    assert groups.near_counts(df, max_distance=3).first() == want and want.near_pairs > 0
+
+
 def test_variants_are_used_only_if_every_ok_row_has_them(spark):
     rows = [("a", "s1", "x", 0b1111, [0b1111, 0xFF00]), ("b", "s2", "x", 0xFF00, [0xFF00, -1]), ("c", "s3", "y", -1, [-1, 1 << 40])]
     schema = "path string, sha256 string, label string, signature long, variants array<long>"
