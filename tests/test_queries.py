@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from sievemark.plans import gating
 from tools.check import TABLES, canonical
 from tools.plans import shapes
 
@@ -36,3 +37,15 @@ def test_query_equals_its_sql_and_has_no_cross_join(spark, db, name):
     cur = db.execute(entry.oracle_sql()[name])
     names = [d[0] for d in cur.description]
     assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(cur.fetchall(), names)
+
+
+@pytest.mark.parametrize("name", ["gate_rejections"])
+def test_answers_without_a_score_search_no_neighbours(spark, db, monkeypatch, name):
+    def search(*args, **kwargs):
+        raise AssertionError("the result has no score in it")
+
+    monkeypatch.setattr(gating, "kth_cosine", search)
+    df = entry.queries()[name](spark, FOLDER)
+    cur = db.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in cur.description]
+    assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(cur.fetchall(), names)
