@@ -39,7 +39,7 @@ def test_query_equals_its_sql_and_has_no_cross_join(spark, db, name):
     assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(cur.fetchall(), names)
 
 
-@pytest.mark.parametrize("name", ["gate_rejections"])
+@pytest.mark.parametrize("name", ["gate_rejections", "condition_confusion"])
 def test_answers_without_a_score_search_no_neighbours(spark, db, monkeypatch, name):
     def search(*args, **kwargs):
         raise AssertionError("the result has no score in it")
