@@ -172,6 +172,17 @@ def test_kth_neighbour_broadcast_and_cells_agree(spark, clustered, k, block):
         np.testing.assert_allclose([rows[i] for i in range(len(q))], want)
 
 
+@pytest.mark.parametrize("key,vector", [("id", "v"), ("vec", "id"), ("cell", "vec")])
+def test_kth_neighbour_takes_any_column_names(spark, clustered, key, vector):
+    x, _ = clustered
+    asked, bank = vectors(spark, x[::3]).toDF(key, vector, "label"), vectors(spark, x[1::3])
+    sent, cells = (
+        {r[key]: r.kth for r in vector_pairs.kth_cosine(asked, key, vector, bank, "i", "v", 5, bank_bytes=size).collect()}
+        for size in (64 << 20, 0)
+    )
+    assert cells == pytest.approx(sent) and len(cells) == len(x[::3])
+
+
 def test_nearest_of_a_bank_holds_a_slice_of_similarities():
     """Memory of one batch: a view of each slice's last column kept all 4,000 x 5,000 similarities (160 MB)."""
     rng = np.random.default_rng(8)
