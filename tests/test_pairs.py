@@ -1,13 +1,17 @@
 from __future__ import annotations
 
+import os
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sievemark.functions.hashing import text_signatures
 from sievemark.operators import components, pairs, vector_pairs
+from sievemark.session import freeze
 
 
 def signatures(spark, values, key="i"):
@@ -195,6 +199,44 @@ def test_nearest_of_a_bank_holds_a_slice_of_similarities():
     np.testing.assert_allclose(best[:, 0], np.sort(x @ y.T, axis=1)[:, -3])
 
 
+def workers_mb(spark):
+    """Most memory that any of the current Python workers has held, in MB."""
+
+    def held(batches):
+        list(batches)
+        peaks = []
+        for status in Path("/proc").glob("[0-9]*/status"):
+            try:
+                fields = dict(line.split(":", 1) for line in status.read_text().splitlines())
+            except OSError:  # ended meanwhile
+                continue
+            if int(fields["PPid"]) == os.getppid() and "VmHWM" in fields:
+                peaks.append(int(fields["VmHWM"].split()[0]) / 1024)
+        yield pa.RecordBatch.from_pydict({"mb": [max(peaks)]})
+
+    return spark.range(0, 8, 1, 1).mapInArrow(held, "mb double").first()["mb"]
+
+
+@pytest.mark.parametrize("bank_bytes", [64 << 20, 0])
+def test_memory_of_workers_does_not_follow_the_bank(spark, bank_bytes, monkeypatch):
+    """A full batch against 2,000 and 20,000 rows that are sent: a worker held every similarity, 1.6 GB of the larger bank."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(20_000, 8))
+    bank = freeze(vectors(spark, x))
+    asked = freeze(vectors(spark, x[:10_000]).coalesce(1))
+    peaks = []
+    for rows in (2_000, 20_000):
+        monkeypatch.setitem(spark.sparkContext.environment, "TEST_WORKERS", f"{bank_bytes} {rows}")  # workers of their own
+        near = vector_pairs.kth_cosine(asked, "i", "v", bank.where(F.col("i") < rows), "i", "v", 5, bank_bytes=bank_bytes)
+        got = {r.i: r.kth for r in near.collect()}
+        peaks.append(workers_mb(spark))
+    assert peaks[1] - peaks[0] < 250
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(got) == 10_000
+    for i in range(0, 10_000, 997):
+        assert got[i] == pytest.approx(np.sort(unit @ unit[i])[-5])
+
+
 def roots(n, edges):
     parent = list(range(n))
 
